@@ -198,13 +198,14 @@ class Bound:
         pages = placed.groupBy(*columns, page.alias("page")).agg(items.alias("_items"))
         body = F.col("_items") if wrap is None else F.struct(F.col("_items").alias(wrap))
         names = [F.lit(n) for n in params]
-        return pages.select(
+        landing = pages.select(
             F.lit(endpoint).alias("endpoint"),
             F.map_from_arrays(F.array(*names), F.array(*[F.col(c) for c in columns])).alias("params"),
             "page",
             F.lit(200).alias("status"),
             F.to_json(body).alias("body"),
         )
+        return materialize(landing, "landing")
 
     def _repo_parts(self, rows: DataFrame) -> DataFrame:
         parts = F.split("repo_id", "/")
