@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forgelake.operators.ordering import CHUNK_ROWS, with_index, with_next, with_sum_before
+from forgelake.operators.ordering import with_index, with_next, with_sum_before
 from forgelake.session import materialize
 
 # A lookup table up to this many rows is broadcast; beyond, the join shuffles.
@@ -22,7 +22,7 @@ LIST_LENGTH = 1000
 
 
 def transitions(
-    log: DataFrame, entity: str, order: Sequence[str], state: str, seq: str, *, chunk_rows: int = CHUNK_ROWS
+    log: DataFrame, entity: str, order: Sequence[str], state: str, seq: str, *, chunk_rows: int | None = None
 ) -> DataFrame:
     """Consecutive states of each entity of an ordered log."""
     narrow = log.select(*dict.fromkeys([entity, *order, state, seq]))
@@ -69,7 +69,7 @@ def state_targets(chain: DataFrame, state: str) -> DataFrame:
     return chain.filter(F.col("from_state") == state).orderBy("seq").select("seq", "to_state")
 
 
-def target_lists(chain: DataFrame, *, length: int = LIST_LENGTH, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def target_lists(chain: DataFrame, *, length: int = LIST_LENGTH, chunk_rows: int | None = None) -> DataFrame:
     """Ordered targets per state, as numbered lists of at most ``length`` entries.
 
     A state's whole list is its lists in order of ``part``; a state may have any number of them.
@@ -99,7 +99,7 @@ def draw(seed: int, walker: str | Column, step: int, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), n)
 
 
-def draw_table(chain: DataFrame, *, chunk_rows: int = CHUNK_ROWS, max_slots: int = MAX_SLOTS) -> tuple[DataFrame, DataFrame]:
+def draw_table(chain: DataFrame, *, chunk_rows: int | None = None, max_slots: int = MAX_SLOTS) -> tuple[DataFrame, DataFrame]:
     """Tables a draw is looked up in: per state and slot, and per state.
 
     Each target owns the range ``lo .. hi - 1`` of its state's ``total`` numbers. The numbers are
@@ -137,7 +137,7 @@ def walk(
     steps: int,
     seed: int,
     *,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
     max_slots: int = MAX_SLOTS,
 ) -> DataFrame:

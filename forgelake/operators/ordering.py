@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from forgelake.session import materialize, scratch_path
 
+# Rows a chunk holds at least; the session setting of this name overrides the default.
+CHUNK_ROWS_KEY = "forgelake.chunk.rows"
 CHUNK_ROWS = 2_000_000
 MAX_CHUNKS = 4096
 # Rows a single task may sort for a top-n or a shallow page.
@@ -29,8 +31,9 @@ TOP_ROWS = 100_000
 _STRIDE = 64
 
 
-def _hot_cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int) -> DataFrame | None:
+def _hot_cuts(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int | None) -> DataFrame | None:
     """Sorted cut points per hot key, or None when every key fits into a chunk."""
+    chunk_rows = chunk_rows or int(df.sparkSession.conf.get(CHUNK_ROWS_KEY, str(CHUNK_ROWS)))
     total = df.count()
     if total <= chunk_rows:
         return None
@@ -83,7 +86,7 @@ def with_previous(
     name: str,
     *,
     following: bool = False,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Add the value of the preceding (or following) row of the same key, NULL at the end."""
     step = F.lead if following else F.lag
@@ -103,7 +106,7 @@ def with_previous(
     )
 
 
-def with_next(df, keys, order, value, name, *, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def with_next(df, keys, order, value, name, *, chunk_rows: int | None = None) -> DataFrame:
     """Add the value of the following row of the same key."""
     return with_previous(df, keys, order, value, name, following=True, chunk_rows=chunk_rows)
 
@@ -115,7 +118,7 @@ def with_sum_before(
     value: Column,
     name: str,
     *,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Add the sum of ``value`` over all earlier rows of the same key, 0 at the first."""
     before = (Window.unboundedPreceding, -1)
@@ -136,7 +139,7 @@ def with_sum_before(
 
 
 def with_index(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, *, chunk_rows: int = CHUNK_ROWS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, *, chunk_rows: int | None = None
 ) -> DataFrame:
     """Add the 1-based position of a row within its key."""
     counted = with_sum_before(df, keys, order, F.lit(1).cast("bigint"), name, chunk_rows=chunk_rows)

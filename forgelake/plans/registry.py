@@ -267,9 +267,9 @@ def repo_search_language(b: Bound) -> DataFrame:
     return catalog.search_repos(b.repo(), language="Brand#17")
 
 
-@query(f"{with_views('repo')} SELECT {_SUMMARY_SQL} FROM repo WHERE stars >= 950")
+@query(f"{with_views('repo')} SELECT {_SUMMARY_SQL} FROM repo WHERE stars >= 910")
 def repo_search_min_stars(b: Bound) -> DataFrame:
-    return catalog.search_repos(b.repo(), min_stars=950)
+    return catalog.search_repos(b.repo(), min_stars=910)
 
 
 _TICKETS = ", ".join(TICKET)
@@ -479,7 +479,7 @@ VISITS = 100
     SELECT seed_id, login FROM reach"""
 )
 def bfs_reach(b: Bound) -> DataFrame:
-    return frontier.expand(b.contributor(), b.seeds()).select("seed_id", "login")
+    return frontier.reach(b.contributor(), b.seeds()).select("seed_id", "login")
 
 
 def _levels_sql(count: int) -> str:

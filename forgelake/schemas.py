@@ -2,26 +2,31 @@
 
 from pyspark.sql import types as T
 
+_TEXT, _NUMBER, _FLAG, _TIME = T.StringType(), T.LongType(), T.BooleanType(), T.TimestampType()
 
-CONTACT = T.StructType.fromDDL(
-    "id STRING, login STRING, url STRING, avatar STRING, company STRING, email STRING, "
-    "location STRING, bio STRING, hash STRING, updated_at TIMESTAMP"
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+CONTACT = _struct(
+    id=_TEXT, login=_TEXT, url=_TEXT, avatar=_TEXT, company=_TEXT, email=_TEXT, location=_TEXT, bio=_TEXT, hash=_TEXT,
+    updated_at=_TIME,
 )
-REPO = T.StructType.fromDDL(
-    "id STRING, name STRING, owner STRING, url STRING, description STRING, stars BIGINT, "
-    "language STRING, has_open_license BOOLEAN, license STRING, hash STRING, "
-    "updated_at TIMESTAMP, createdAt TIMESTAMP"
+REPO = _struct(
+    id=_TEXT, name=_TEXT, owner=_TEXT, url=_TEXT, description=_TEXT, stars=_NUMBER, language=_TEXT,
+    has_open_license=_FLAG, license=_TEXT, hash=_TEXT, updated_at=_TIME, createdAt=_TIME,
 )
-PULL_REQUEST = T.StructType.fromDDL(
-    "id STRING, repo_id STRING, title STRING, url STRING, state STRING, body STRING, "
-    "author STRING, created_at TIMESTAMP, updated_at TIMESTAMP, hash STRING"
+PULL_REQUEST = _struct(
+    id=_TEXT, repo_id=_TEXT, title=_TEXT, url=_TEXT, state=_TEXT, body=_TEXT, author=_TEXT, created_at=_TIME,
+    updated_at=_TIME, hash=_TEXT,
 )
-ISSUE = T.StructType([*PULL_REQUEST.fields, T.StructField("responses", T.StringType())])
-TRANSITION = T.StructType.fromDDL("seq BIGINT, from_state STRING, to_state STRING")
-COUNTS = T.StructType.fromDDL("contacts BIGINT, issues BIGINT, pull_requests BIGINT, repositories BIGINT")
-CHAIN_POSITION = T.StructType.fromDDL("current_url STRING, visited ARRAY<STRING>, timestamp TIMESTAMP")
+ISSUE = T.StructType([*PULL_REQUEST.fields, T.StructField("responses", _TEXT)])
+TRANSITION = _struct(seq=_NUMBER, from_state=_TEXT, to_state=_TEXT)
+COUNTS = _struct(contacts=_NUMBER, issues=_NUMBER, pull_requests=_NUMBER, repositories=_NUMBER)
+CHAIN_POSITION = _struct(current_url=_TEXT, visited=T.ArrayType(_TEXT), timestamp=_TIME)
 
 # One row per fetched page; a failed fetch lands with its status and a NULL body.
-LANDING = T.StructType.fromDDL("endpoint STRING, params MAP<STRING, STRING>, page INT, status INT, body STRING")
-
-ENTITIES = {"contacts": CONTACT, "issues": ISSUE, "pull_requests": PULL_REQUEST, "repositories": REPO}
+LANDING = _struct(
+    endpoint=_TEXT, params=T.MapType(_TEXT, _TEXT), page=T.IntegerType(), status=T.IntegerType(), body=_TEXT
+)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from forgelake.operators.ordering import CHUNK_ROWS
 from forgelake.operators.upsert import classify, written
 
 
@@ -75,7 +74,7 @@ def upsert_stream(
     *,
     stamp: Callable[[], Column] | None = None,
     compact_every: int | None = None,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Start a deduplicating upsert of a stream into ``log``; rows keep their arrival order.

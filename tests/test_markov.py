@@ -1,0 +1,135 @@
+"""The chain's unit tests, and draws against plain Python."""
+
+import hashlib
+import random
+
+import pytest
+
+from forgelake.operators import catalog, markov
+
+ROWS = "seq bigint, from_state string, to_state string"
+
+
+def chain_of(spark, *pairs):
+    return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], ROWS)
+
+
+def counts(chain):
+    return tuple(markov.chain_counts(chain).first())
+
+
+def targets(chain, state):
+    return [r.to_state for r in markov.state_targets(chain, state).collect()]
+
+
+def walkers_of(spark, *states):
+    return spark.createDataFrame(list(enumerate(states)), "walker bigint, state string")
+
+
+def test_empty_chain(spark):
+    assert counts(chain_of(spark, ("a", "b")).limit(0)) == (0, 0)
+
+
+def test_added_transitions_are_kept_in_order(spark):
+    chain = chain_of(spark, ("state1", "state2"), ("state1", "state3"))
+    assert targets(chain, "state1") == ["state2", "state3"]
+    more = spark.createDataFrame([(9, "state1", "state2")], ROWS)
+    assert targets(markov.append(chain, more), "state1") == ["state2", "state3", "state2"]
+
+
+def test_single_target_is_always_next(spark):
+    chain = chain_of(spark, ("state1", "state2"))
+    got = markov.next_states(chain, walkers_of(spark, "state1", "state1"), seed=1)
+    assert {r.next_state for r in got.collect()} == {"state2"}
+
+
+def test_unknown_state_has_no_next(spark):
+    chain = chain_of(spark, ("state1", "state2"))
+    got = markov.next_states(chain, walkers_of(spark, "unknown", "state2", "state1"), seed=1)
+    assert {r.walker: r.next_state for r in got.collect()} == {0: None, 1: None, 2: "state2"}
+
+
+def test_remove_takes_the_first_occurrence(spark):
+    chain = chain_of(spark, ("a", "b"), ("a", "c"), ("a", "b"), ("x", "b"))
+    removals = spark.createDataFrame([("a", "b"), ("x", "b"), ("no", "where")], "from_state string, to_state string")
+    left = markov.remove_first(chain, removals)
+    assert [(r.seq, r.to_state) for r in left.orderBy("seq").collect()] == [(1, "c"), (2, "b")]
+    assert counts(left) == (1, 2)
+
+
+def test_state_and_transition_counts(spark):
+    assert counts(chain_of(spark, ("state1", "state2"), ("state2", "state3"), ("state3", "state1"))) == (3, 3)
+    assert counts(chain_of(spark, ("state1", "state2"), ("state1", "state3"), ("state2", "state3"))) == (2, 3)
+
+
+def test_clear(spark):
+    assert counts(markov.clear(chain_of(spark, ("a", "b")))) == (0, 0)
+
+
+@pytest.fixture(scope="module")
+def pairs():
+    rng = random.Random(2)
+    # State "hub" holds a third of the transitions and leads to many targets, one of them heavy.
+    hub = [("hub", "heavy") if rng.random() < 0.5 else ("hub", f"s{rng.randrange(60)}") for _ in range(500)]
+    rest = [(f"s{rng.randrange(40)}", rng.choice(["hub", f"s{rng.randrange(60)}"])) for _ in range(1000)]
+    return rng.sample(hub + rest, 1500)
+
+
+def python_walk(pairs, start, walker, steps, seed):
+    lists = {}
+    for a, b in pairs:
+        lists.setdefault(a, []).append(b)
+    path = [start]
+    for step in range(1, steps + 1):
+        options = sorted(lists.get(path[-1], []))
+        digest = hashlib.sha256(f"{seed}|{walker}|{step}".encode()).hexdigest()
+        path.append(options[int(digest[:15], 16) % len(options)] if options else None)
+    return path
+
+
+@pytest.mark.parametrize("options", [{}, {"chunk_rows": 12, "broadcast_rows": 0, "max_slots": 7}, {"max_slots": 1}])
+def test_walk_draws_from_the_multiset(spark, pairs, options):
+    starts = ["hub"] * 60 + [f"s{i}" for i in range(60)] + [None]
+    rows = markov.walk(chain_of(spark, *pairs), walkers_of(spark, *starts), 5, 42, **options).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r.walker, r.step)):
+        got.setdefault(r.walker, []).append(r.state)
+    assert got == {i: python_walk(pairs, s, i, 5, 42) for i, s in enumerate(starts)}
+
+
+@pytest.mark.parametrize("chunk_rows", [20, 10_000])
+def test_target_lists(spark, pairs, chunk_rows):
+    want = {}
+    for a, b in pairs:
+        want.setdefault(a, []).append(b)
+    rows = markov.target_lists(chain_of(spark, *pairs), length=30, chunk_rows=chunk_rows).collect()
+    assert max(len(r.targets) for r in rows) == 30
+    got = {}
+    for r in sorted(rows, key=lambda r: r.part):
+        got.setdefault(r.from_state, []).extend(r.targets)
+    assert got == want
+
+
+def test_weights_sum_to_one(spark, pairs):
+    weights = markov.weights(chain_of(spark, *pairs))
+    sums = weights.groupBy("from_state").sum("weight").collect()
+    assert all(abs(r[1] - 1) < 1e-9 for r in sums)
+    heavy = weights.filter("from_state = 'hub' AND to_state = 'heavy'").first()
+    assert heavy.n == pairs.count(("hub", "heavy"))
+
+
+@pytest.mark.parametrize("chunk_rows", [15, 10_000])
+def test_transitions_of_a_log(spark, chunk_rows):
+    rng = random.Random(8)
+    log = [(rng.choice(["hot", "hot", "u1", "u2"]), rng.randrange(30), i, rng.choice("xyz")) for i in range(400)]
+    df = spark.createDataFrame(log, "user string, ts int, id int, state string")
+    got = markov.transitions(df, "user", ["ts", "id"], "state", "id", chunk_rows=chunk_rows)
+    want = set()
+    for user in {r[0] for r in log}:
+        mine = sorted((r for r in log if r[0] == user), key=lambda r: (r[1], r[2]))
+        want |= {(a[2], a[3], b[3]) for a, b in zip(mine, mine[1:])}
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_visited_users_are_counted_once(spark):
+    assert catalog.distinct_users(spark.createDataFrame([("a",), ("b",), ("a",)], "login string")).first().n == 2
