@@ -19,6 +19,7 @@ BROADCAST_ROWS = 200_000
 # Slots a state's draws are spread over, at most.
 MAX_SLOTS = 1 << 16
 LIST_LENGTH = 1000
+SPREAD = 4096
 
 
 def transitions(
@@ -153,8 +154,10 @@ def walk(
         start, "_state", "left"
     )
     for step in range(1, steps + 1):
+        # Walkers that have ended look up slots that do not exist, spread so that they stay apart.
+        nowhere = -1 - F.pmod(F.xxhash64("walker"), F.lit(SPREAD))
         drawn = now.withColumn("_r", draw(seed, "walker", step, F.col("_total"))).withColumn(
-            "_at", F.floor(F.col("_r") / F.col("_width"))
+            "_at", F.coalesce(F.floor(F.col("_r") / F.col("_width")), nowhere)
         )
         hit = (
             (F.col("_state") == F.col("_from"))

@@ -24,7 +24,7 @@ from forgelake.session import materialize, scratch_path
 # Rows a chunk holds at least; the session setting of this name overrides the default.
 CHUNK_ROWS_KEY = "forgelake.chunk.rows"
 CHUNK_ROWS = 2_000_000
-MAX_CHUNKS = 4096
+MAX_CHUNKS = 16384
 # Rows a single task may sort for a top-n or a shallow page.
 TOP_ROWS = 100_000
 

@@ -74,26 +74,28 @@ def upsert_stream(
     *,
     stamp: Callable[[], Column] | None = None,
     compact_every: int | None = None,
+    persist: bool = False,
     chunk_rows: int | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Start a deduplicating upsert of a stream into ``log``; rows keep their arrival order.
 
     ``stamp`` gives ``updated_at`` of written rows. Each micro-batch compares with the stored rows
-    of its own keys only.
+    of its own keys only. Several passes read the batch, which files serve well column by column;
+    ``persist`` keeps the batch of a source, or of transformations, that cost more to repeat.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        # Several passes read the batch; spilling to disk is fine and a lost part is recomputed.
-        batch = batch.persist()
+        rows = batch.persist() if persist else batch
         try:
-            stored = log.stored_for(batch, batch_id)
-            rows = written(classify(batch, log.keys, log.order, identity, stored, chunk_rows=chunk_rows))
+            stored = log.stored_for(rows, batch_id)
+            fresh = written(classify(rows, log.keys, log.order, identity, stored, chunk_rows=chunk_rows))
             if stamp is not None:
-                rows = rows.withColumn("updated_at", stamp())
-            log.write(rows, batch_id)
+                fresh = fresh.withColumn("updated_at", stamp())
+            log.write(fresh, batch_id)
         finally:
-            batch.unpersist()
+            if persist:
+                rows.unpersist()
         if compact_every and (batch_id + 1) % compact_every == 0:
             log.compact(batch_id)
 
