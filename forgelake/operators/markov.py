@@ -6,6 +6,7 @@ with one hub; either way nothing below gathers the transitions of a state in one
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -145,8 +146,9 @@ def walk(
     """Walk ``walkers(walker, state)`` for some steps: one row per walker and step.
 
     Step 0 is the start. A state without outgoing transitions, or an unknown one, is followed by
-    NULL.
+    NULL. The same seed gives the same walks; seed 0 is replaced by the clock.
     """
+    seed = seed or time.time_ns()
     slots, states = draw_table(chain, chunk_rows=chunk_rows, max_slots=max_slots)
     slots, states = _sized(slots, broadcast_rows), _sized(states, broadcast_rows)
     start = states.select(F.col("from_state").alias("_state"), F.col("total").alias("_total"), F.col("width").alias("_width"))

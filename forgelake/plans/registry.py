@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forgelake.functions import text
 from forgelake.functions.identity import (
     ISSUE_PREFIX,
     REPO_IDENTITY,
@@ -18,7 +19,6 @@ from forgelake.functions.identity import (
     repo_key,
     shown_hash,
 )
-from forgelake.functions.text import parse_stars
 from forgelake.operators import catalog, frontier, markov, upsert
 from forgelake.plans.bindings import HUB, Bound, with_views
 from forgelake.session import scratch_path
@@ -33,14 +33,13 @@ NOW = "2024-01-01 00:00:00"
 TICKET = ("id", "repo_id", "title", "url", "state", "author", "created_at", "updated_at")
 
 
-def query(sql: str | None = None):
-    """Register a query over the bindings under the function's name."""
+def query(sql: str):
+    """Register a query over the bindings, and its SQL, under the function's name."""
 
     def register(build: Callable[[Bound], DataFrame]):
         name = build.__name__
         QUERIES[name] = lambda spark, folder: build(Bound(spark, folder))
-        if sql is not None:
-            ORACLES[name] = sql
+        ORACLES[name] = sql
         return build
 
     return register
@@ -209,14 +208,18 @@ def pr_upsert(b: Bound) -> DataFrame:
 
 @query(
     f"""{with_views('repo', 'issue', 'pr')}, doomed AS (SELECT id FROM repo WHERE language = 'Brand#2')
-    SELECT 'repositories' AS entity, COUNT(*) AS n FROM repo WHERE id NOT IN (SELECT id FROM doomed)
-    UNION ALL SELECT 'issues', COUNT(*) FROM issue WHERE repo_id NOT IN (SELECT id FROM doomed)
-    UNION ALL SELECT 'pull_requests', COUNT(*) FROM pr WHERE repo_id NOT IN (SELECT id FROM doomed)"""
+    SELECT 'repositories' AS entity, id AS key FROM repo WHERE id NOT IN (SELECT id FROM doomed)
+    UNION ALL SELECT 'issues', repo_id || '/' || id FROM issue WHERE repo_id NOT IN (SELECT id FROM doomed)
+    UNION ALL SELECT 'pull_requests', repo_id || '/' || id FROM pr WHERE repo_id NOT IN (SELECT id FROM doomed)"""
 )
 def repo_delete_cascade(b: Bound) -> DataFrame:
     repo = b.repo()
     doomed = repo.filter(F.col("language") == "Brand#2")
-    return catalog.table_counts(upsert.delete_repos(doomed, repo, b.issue(), b.pr()))
+    left = upsert.delete_repos(doomed, repo, b.issue(), b.pr())
+    keys = {"repositories": F.col("id"), "issues": F.concat_ws("/", "repo_id", "id"), "pull_requests": F.concat_ws("/", "repo_id", "id")}
+    return reduce(
+        DataFrame.unionByName, [left[name].select(F.lit(name).alias("entity"), key.alias("key")) for name, key in keys.items()]
+    )
 
 
 # Catalog reads -----------------------------------------------------------------------------------
@@ -456,14 +459,14 @@ def one_hop_budget(b: Bound) -> DataFrame:
     CASE WHEN regexp_matches(CAST(p_size AS VARCHAR), '^[0-9]+$') THEN CAST(p_size AS BIGINT) ELSE 0 END AS signed,
     CAST(0 AS BIGINT) AS word, CAST(0 AS BIGINT) AS fraction FROM part"""
 )
-def parse_star_texts(b: Bound) -> DataFrame:
+def parse_stars(b: Bound) -> DataFrame:
     size, number = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
     return b.table("part").select(
         "p_partkey",
-        parse_stars(F.concat(F.lit(" "), size, F.lit(","), number, F.lit(" "))).alias("grouped"),
-        parse_stars(F.concat(F.lit("+"), size)).alias("signed"),
-        parse_stars("p_name").alias("word"),
-        parse_stars(F.concat(size, F.lit(".5"))).alias("fraction"),
+        text.parse_stars(F.concat(F.lit(" "), size, F.lit(","), number, F.lit(" "))).alias("grouped"),
+        text.parse_stars(F.concat(F.lit("+"), size)).alias("signed"),
+        text.parse_stars("p_name").alias("word"),
+        text.parse_stars(F.concat(size, F.lit(".5"))).alias("fraction"),
     )
 
 

@@ -119,7 +119,7 @@ def organisation_repos(
     )
     sightings = found.select(
         "org",
-        F.concat_ws("/", *[parts[i] for i in id_parts]).alias("id"),
+        F.concat_ws("/", *[F.get(parts, F.lit(i)) for i in id_parts]).alias("id"),
         F.struct("page", "selector_rank", "pos", "href").alias("_first"),
     )
     # A minimum per repository instead of a ranking window: combined before the shuffle.
@@ -129,8 +129,8 @@ def organisation_repos(
     return firsts.select(
         "org",
         "id",
-        parts[id_parts[0]].alias("owner"),
-        parts[id_parts[-1]].alias("name"),
+        F.get(parts, F.lit(id_parts[0])).alias("owner"),
+        F.get(parts, F.lit(id_parts[-1])).alias("name"),
         F.concat(F.lit(base_url), "f.href").alias("url"),
         "f.page",
         "f.selector_rank",
@@ -198,7 +198,7 @@ def profile_cards(
         element_text(F.regexp_extract(article, PARAGRAPH, 1)).alias("_description"),
         element_text(F.regexp_extract(article, language, 1)).alias("_language"),
     ).select("*", path_parts(without_leading_slash("_a.href")).alias("_parts"))
-    owner, name = F.col("_parts")[0], F.col("_parts")[1]
+    owner, name = F.get("_parts", F.lit(0)), F.get("_parts", F.lit(1))
     return cards.filter(F.startswith(F.col("_a.href"), F.lit("/")) & (F.size("_parts") >= 2)).select(
         *keep,
         F.struct("_segment", "_a.inside", "_a.i").alias("pos"),

@@ -19,6 +19,11 @@ SKEWED = [
     "markov_remove", "markov_walk", "stream_upsert",
 ]
 
+TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP",
+}
+
 
 def connect(folder):
     con = duckdb.connect()
@@ -42,9 +47,11 @@ def table(columns, rows):
 def assert_agrees(spark, folder, name):
     df = QUERIES[name](spark, folder)
     got = [tuple(r) for r in df.collect()]
-    result = connect(folder).execute(ORACLES[name])
+    con = connect(folder)
+    described = con.execute(f"DESCRIBE {ORACLES[name]}").fetchall()
+    assert {f.name: TYPES[f.dataType.simpleString()] for f in df.schema.fields} == {d[0]: d[1] for d in described}
+    result = con.execute(ORACLES[name])
     columns = [d[0] for d in result.description]
-    assert sorted(df.columns) == sorted(columns)
     assert got, "no rows to compare"
     assert table(df.columns, got) == table(columns, result.fetchall())
 
