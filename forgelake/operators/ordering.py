@@ -86,11 +86,16 @@ def with_previous(
     name: str,
     *,
     following: bool = False,
+    sized_by: DataFrame | None = None,
     chunk_rows: int | None = None,
 ) -> DataFrame:
-    """Add the value of the preceding (or following) row of the same key, NULL at the end."""
+    """Add the value of the preceding (or following) row of the same key, NULL at the end.
+
+    Hot keys and cuts are taken from ``sized_by``, by default the table itself. A part of the table
+    will do when the rest adds few rows per key.
+    """
     step = F.lead if following else F.lag
-    cuts = _hot_cuts(df, keys, order, chunk_rows)
+    cuts = _hot_cuts(df if sized_by is None else sized_by, keys, order, chunk_rows)
     if cuts is None:
         return df.withColumn(name, step(value).over(Window.partitionBy(*keys).orderBy(*order)))
     rows = _with_chunk(df, keys, order, cuts)
