@@ -9,6 +9,9 @@ How far the small tables can grow: a key counts as hot only above ``total / MAX_
 there are at most ``MAX_CHUNKS`` hot keys, and one row in ``total / MAX_CHUNKS`` becomes a cut, so
 there are about ``MAX_CHUNKS`` cuts over all keys together. Both are therefore broadcast.
 
+The price is one count of the input when the plan is made, and one count per key if the input is
+larger than a chunk; both read the key columns only.
+
 Order columns must be unique within a key; their values compare with nulls first.
 """
 

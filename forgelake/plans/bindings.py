@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgelake.functions.identity import with_fingerprint, CONTACT_IDENTITY
+from forgelake.functions.identity import CONTACT_IDENTITY, with_fingerprint
 from forgelake.operators.markov import transitions
 from forgelake.operators.ordering import with_index
 from forgelake.session import configure, materialize
@@ -66,14 +66,17 @@ class Bound:
             F.col("p_brand").alias("language"),
             F.col("p_type").alias("license"),
             F.lit(False).alias("has_open_license"),
-            (F.col("p_size") == 1).alias("_prs_only"),
         )
 
     def _lines(self) -> DataFrame:
-        """Order lines with their repository; repositories of size 1 take pull requests only."""
-        repo = self.repo().select("part_key", F.col("id").alias("repo_id"), "url", "description", "_prs_only")
-        lines = self.table("lineitem").join(repo, F.col("l_partkey") == F.col("part_key"))
-        return lines.withColumn("is_pr", (F.col("l_returnflag") == "R") | F.col("_prs_only"))
+        """Order lines marked as issue or pull request; repositories of size 1 take only the latter."""
+        part = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+        lines = self.table("lineitem").join(part, "l_partkey")
+        return lines.withColumn("is_pr", (F.col("l_returnflag") == "R") | (F.col("p_size") == 1))
+
+    def _with_repo(self, lines: DataFrame) -> DataFrame:
+        repo = self.repo().select(F.col("part_key").alias("l_partkey"), F.col("id").alias("repo_id"), "url", "description")
+        return lines.join(repo, "l_partkey")
 
     def _ticket(self, lines: DataFrame, *more: str) -> DataFrame:
         customer = self.table("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("author"))
@@ -93,7 +96,7 @@ class Bound:
 
     def raw_issues(self) -> DataFrame:
         """Issue listing rows with the pull requests mixed in."""
-        lines = self._lines().withColumn("pull_request", F.when(F.col("is_pr"), F.col("url")))
+        lines = self._with_repo(self._lines()).withColumn("pull_request", F.when(F.col("is_pr"), F.col("url")))
         return self._ticket(lines, "pull_request", F.col("l_suppkey").alias("tie"))
 
     def _stored(self, pulls: bool) -> DataFrame:
@@ -101,8 +104,7 @@ class Bound:
         lines = self._lines().filter(F.col("is_pr") == pulls)
         keys = ["l_partkey", "l_orderkey", "l_linenumber"]
         first = lines.groupBy(*keys).agg(F.min(F.struct("l_suppkey", "l_shipdate", "l_linestatus")).alias("f"))
-        repo = self.repo().select(F.col("part_key").alias("l_partkey"), F.col("id").alias("repo_id"), "url", "description")
-        return self._ticket(first.select(*keys, "f.*").join(repo, "l_partkey"))
+        return self._ticket(self._with_repo(first.select(*keys, "f.*")))
 
     def issue(self) -> DataFrame:
         return self._stored(False)
@@ -321,14 +323,14 @@ VIEWS = {
                'part-' || CAST(p.p_partkey AS VARCHAR) AS name, c.c_name AS owner,
                'https://hub.example/' || c.c_name || '/part-' || CAST(p.p_partkey AS VARCHAR) AS url,
                p.p_name AS description, CAST(FLOOR(p.p_retailprice) AS BIGINT) AS stars, p.p_brand AS language,
-               p.p_type AS license, FALSE AS has_open_license, p.p_size = 1 AS prs_only
+               p.p_type AS license, FALSE AS has_open_license, p.p_size AS size
         FROM part p JOIN customer c ON c.c_custkey = p.p_partkey % (SELECT COUNT(*) FROM customer)""",
     "raw_issues": """
         SELECT CAST(l.l_orderkey * 10 + l.l_linenumber AS VARCHAR) AS id, r.id AS repo_id, r.description AS title,
                r.url || '/issues/' || CAST(l.l_orderkey * 10 + l.l_linenumber AS VARCHAR) AS url,
                CASE WHEN l.l_linestatus = 'O' THEN 'open' ELSE 'closed' END AS state, c.c_name AS author,
                o.o_orderdate AS created_at, l.l_shipdate AS updated_at,
-               CASE WHEN l.l_returnflag = 'R' OR r.prs_only THEN r.url END AS pull_request, l.l_suppkey AS tie
+               CASE WHEN l.l_returnflag = 'R' OR r.size = 1 THEN r.url END AS pull_request, l.l_suppkey AS tie
         FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey
         JOIN repo r ON r.part_key = l.l_partkey""",
     "issue": """
