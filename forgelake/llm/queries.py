@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgelake.llm import chat, language, packing, token_files
+from forgelake.llm import chat, html_text, language, packing, token_files
 from forgelake.llm.common import table
 from forgelake.session import scratch_path
 
@@ -83,3 +83,9 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     held_out = language.fold("doc_id", 4) == 2
     model = language.train(docs.filter(~held_out))
     return language.predict(docs, model, ["doc_id", held_out.alias("held_out")])
+
+
+@query
+def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_text.extract(table(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
