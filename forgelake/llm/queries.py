@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgelake.llm import chat, html_text, language, packing, token_files
+from forgelake.llm import chat, decontaminate, html_text, language, packing, token_files
 from forgelake.llm.common import table
 from forgelake.session import scratch_path
 
@@ -89,3 +89,10 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
 def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
     found = html_text.extract(table(spark, folder, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.find(docs, table(spark, folder, "benchmark"))
+    return found.select("doc_id", F.explode(decontaminate.MATCHES).alias("m")).select("doc_id", "m.*")

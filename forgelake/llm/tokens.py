@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
-from itertools import chain
 
 import numpy as np
 
@@ -40,29 +39,37 @@ class Encoder:
         return [np.array(x.ids, "<u4") for x in found]
 
     def _learn(self, words: Iterable[str]) -> None:
-        words = list(words)
-        plain = [w for w in words if self._border is not None and "<|" not in w]
-        for word, ids in zip(alone := [w for w in words if w not in set(plain)] if len(plain) < len(words) else [],
-                             self._raw(alone), strict=True):
+        plain, alone = [], []
+        for word in words:
+            (alone if self._border is None or "<|" in word else plain).append(word)
+        for word, ids in zip(alone, self._raw(alone), strict=True):
             self._known[word] = ids.tobytes()
         groups = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
         joined = self._raw([f" {_BORDER} ".join(g) for g in groups])
         for group, ids in zip(groups, joined, strict=True):
-            cuts = np.flatnonzero(ids == self._border)
+            cuts = (4 * np.flatnonzero(ids == self._border)).tolist()
             data, start = ids.tobytes(), 0
-            for word, cut in zip(group, [*cuts.tolist(), len(ids)], strict=True):
-                self._known[word] = data[4 * start : 4 * cut]
-                start = cut + 1
+            for word, cut in zip(group, [*cuts, len(data)], strict=True):
+                self._known[word] = data[start:cut]
+                start = cut + 4
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        known = self._known.get
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set(chain.from_iterable(split)).difference(self._known)
-        if len(self._known) + len(new) > self._max_words:
-            self._known = {"": b""}
-            new = set(chain.from_iterable(split)) - {""}
+        found = [list(map(known, words)) for words in split]
+        new, holes = set(), []
+        for words, ids in zip(split, found, strict=True):
+            if None in ids:
+                at = [i for i, x in enumerate(ids) if x is None]
+                new.update([words[i] for i in at])
+                holes.append((words, ids, at))
         self._learn(new)
-        known = self._known.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        for words, ids, at in holes:
+            for i in at:
+                ids[i] = known(words[i])
+        if len(self._known) > self._max_words:
+            self._known = {"": b""}
+        return [b"".join(ids) for ids in found]
 
 
 def default_path() -> str:
