@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgelake.llm import chat, decontaminate, html_text, language, packing, token_files
+from forgelake.llm import chat, decontaminate, html_text, language, packing, quality, token_files
 from forgelake.llm.common import table
 from forgelake.session import scratch_path
 
@@ -96,3 +96,11 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontaminate.find(docs, table(spark, folder, "benchmark"))
     return found.select("doc_id", F.explode(decontaminate.MATCHES).alias("m")).select("doc_id", "m.*")
+
+
+@query
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    found = quality.judge(docs)
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select("doc_id", *counts, "base_failed", "kept", "distance")
