@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgelake.llm import chat, decontaminate, html_text, language, packing, quality, token_files
+from forgelake.llm import chat, decontaminate, html_text, language, near_dedup, packing, quality, token_files
 from forgelake.llm.common import table
 from forgelake.session import scratch_path
 
@@ -104,3 +104,9 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     found = quality.judge(docs)
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return found.select("doc_id", *counts, "base_failed", "kept", "distance")
+
+
+@query
+def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return near_dedup.classes(docs).select("doc_id", "class_id", "kept")
