@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgelake.llm import chat, decontaminate, html_text, language, near_dedup, packing, quality, token_files
+from forgelake.llm import chat, decontaminate, html_text, language, line_dedup, near_dedup, packing, quality, token_files
 from forgelake.llm.common import table
 from forgelake.session import scratch_path
 
@@ -110,3 +110,12 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return near_dedup.classes(docs).select("doc_id", "class_id", "kept")
+
+
+@query
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    removed = F.aggregate("_deleted", F.lit(0).cast("bigint"), lambda acc, d: acc + d["n"])
+    return line_dedup.deduplicate(docs).select(
+        "doc_id", "text", F.coalesce(removed, F.lit(0).cast("bigint")).alias("n_deleted"), F.col("_deleted").alias("deleted")
+    )
