@@ -191,23 +191,31 @@ def train(
     return LanguageFilter(languages, slices, np.array(fill) ** HASHES, sizes)
 
 
-def predict(docs: DataFrame, model: LanguageFilter, keep: list[Column | str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of each row with ``lang_pred`` and ``score``; reads nothing else but the text."""
+def predict(
+    docs: DataFrame,
+    model: LanguageFilter,
+    keep: list[Column | str],
+    text_col: str = "text",
+    names: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """The columns ``keep`` of each row, the language and its score, called ``names``; of the row itself
+    nothing but the text is read."""
     spark = prepare(docs.sparkSession)
     kept = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     shared = spark.sparkContext.broadcast(model)
-    names = [f.name for f in kept.schema.fields[:-1]]
+    given = [f.name for f in kept.schema.fields[:-1]]
+    lang_name, score_name = names
 
     def run(batches) -> Iterator[dict[str, list]]:
         for batch in batches:
-            found = [shared.value.predict(t) for t in batch.column(len(names)).to_pylist()]
+            found = [shared.value.predict(t) for t in batch.column(len(given)).to_pylist()]
             yield {
-                **{n: batch.column(i) for i, n in enumerate(names)},
-                "lang_pred": [lang for lang, _ in found],
-                "score": [score for _, score in found],
+                **{n: batch.column(i) for i, n in enumerate(given)},
+                lang_name: [lang for lang, _ in found],
+                score_name: [score for _, score in found],
             }
 
-    schema = kept.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    schema = kept.drop("_text").schema.add(lang_name, "string").add(score_name, "double")
     return map_batches(kept, run, schema)
 
 

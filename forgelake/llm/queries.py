@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgelake.llm import chat, decontaminate, html_text, language, line_dedup, near_dedup, packing, quality, token_files
+from forgelake.llm import (
+    chat,
+    decontaminate,
+    html_text,
+    language,
+    line_dedup,
+    near_dedup,
+    packing,
+    quality,
+    token_files,
+    toxicity,
+)
 from forgelake.llm.common import table
 from forgelake.session import scratch_path
 
@@ -119,3 +130,12 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.deduplicate(docs).select(
         "doc_id", "text", F.coalesce(removed, F.lit(0).cast("bigint")).alias("n_deleted"), F.col("_deleted").alias("deleted")
     )
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = language.fold("doc_id", 5) == 0
+    labels = table(spark, folder, "labels").filter(~held_out)
+    model = toxicity.train(docs.filter(~held_out), labels)
+    return toxicity.predict(docs, model, ["doc_id", held_out.alias("held_out")])
