@@ -38,6 +38,8 @@ DIMENSIONS = 16
 FILTERS = 8
 WIDTHS = (1, 2, 3)
 EPOCHS = 4
+# Steps that training takes at least, in further epochs where the sample is small.
+MIN_STEPS = 400
 BATCH = 32
 RATE = 0.1
 # Rows of a language that calibration needs of either class, else the threshold of all languages holds.
@@ -283,7 +285,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 0) -> Classifier:
     counts = np.array([len(f) for f in features])
     flat, starts = np.array([x for f in features for x in f]), np.cumsum(counts) - counts
     network = Network(seed)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-MIN_STEPS * BATCH // len(train)))):
         turn = rng.permutation(len(train))
         for start in range(0, len(turn), BATCH):
             chosen = turn[start : start + BATCH]
@@ -343,4 +345,4 @@ def predict(docs: DataFrame, model: Classifier, keep: list[Column | str], text_c
                 "predicted": [int(s >= 0.5) for s in scores],
             }
 
-    return map_batches(kept, run, kept.drop("_text").schema.add("score", "double").add("predicted", "int"))
+    return map_batches(kept, run, kept.drop("_text").schema.add("score", "double").add("predicted", "integer"))
