@@ -37,11 +37,15 @@ BUCKETS = 1 << 17
 DIMENSIONS = 16
 FILTERS = 8
 WIDTHS = (1, 2, 3)
-EPOCHS = 4
+EPOCHS = 3
+# Training texts a hashed row must occur in; rarer rows stay zero, as they could only be learned by heart.
+MIN_TEXTS = 3
+# Texts at which a row's first value is half its log-odds.
+SHRINK = 4
 # Steps that training takes at least, in further epochs where the sample is small.
-MIN_STEPS = 400
+MIN_STEPS = 60
 BATCH = 32
-RATE = 0.1
+RATE = 0.03
 # Rows of a language that calibration needs of either class, else the threshold of all languages holds.
 MIN_CALIBRATION = 20
 GRAM = 5
@@ -85,7 +89,7 @@ class Network:
     def __init__(self, seed: int = 0):
         rng = np.random.default_rng(seed)
         offsets = sum(WIDTHS)
-        self.embeddings = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
+        self.embeddings = rng.normal(0, 0.02, (BUCKETS, DIMENSIONS)).astype(np.float32)
         # One block of columns per (width, offset in the window).
         self.filters = rng.normal(0, 0.3, (DIMENSIONS, offsets * FILTERS)).astype(np.float32)
         self.biases = np.zeros(len(WIDTHS) * FILTERS, np.float32)
@@ -93,6 +97,21 @@ class Network:
         self.bias = np.zeros(1, np.float32)
         self.sums = {n: np.full_like(getattr(self, n), 1e-3) for n in ("embeddings", "filters", "biases", "output", "bias")}
 
+    def start(self, texts: list[np.ndarray], labels: np.ndarray, flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> None:
+        """First values from document counts: the first dimension of a row is its log-odds of the classes,
+        drawn to zero where texts are few; rows of too few texts stay zero for good."""
+        seen = np.zeros((2, BUCKETS))
+        for text, label in zip(texts, labels.tolist(), strict=True):
+            words = np.unique(text)
+            seen[label, np.unique(flat[ragged(starts[words], counts[words])])] += 1
+        totals = np.bincount(labels, minlength=2)
+        odds = np.log((seen[1] + 0.5) / (totals[1] + 1)) - np.log((seen[0] + 0.5) / (totals[0] + 1))
+        self.frequent = seen.sum(0) >= MIN_TEXTS
+        self.embeddings[:, 0] = 0.3 * odds * seen.sum(0) / (seen.sum(0) + SHRINK)
+        self.embeddings[~self.frequent] = 0
+        self.filters[0, : FILTERS] = np.abs(self.filters[0, : FILTERS]) + 0.5
+        self.output[:FILTERS] = np.abs(self.output[:FILTERS])
+
     def vectors(self, flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Mean embedding of each word, from its feature rows laid end to end."""
         return np.add.reduceat(self.embeddings[flat], starts, axis=0) / counts[:, None].astype(np.float32)
@@ -167,7 +186,8 @@ class Network:
             places, number = np.unique(flat[ragged(starts[words[touched]], n[touched])], return_inverse=True)
             summed = np.zeros((len(places), DIMENSIONS), np.float32)
             np.add.at(summed, number, spread)
-            self._step("embeddings", summed, places)
+            learned = self.frequent[places]
+            self._step("embeddings", summed[learned], places[learned])
         self._step("filters", gradient_filters)
         self._step("biases", back.sum(0))
         self._step("output", (error[:, None] * hidden).sum(0))
@@ -285,6 +305,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 0) -> Classifier:
     counts = np.array([len(f) for f in features])
     flat, starts = np.array([x for f in features for x in f]), np.cumsum(counts) - counts
     network = Network(seed)
+    network.start(words, labels[train], flat, starts, counts)
     for _ in range(max(EPOCHS, -(-MIN_STEPS * BATCH // len(train)))):
         turn = rng.permutation(len(train))
         for start in range(0, len(turn), BATCH):
