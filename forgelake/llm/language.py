@@ -56,6 +56,8 @@ def ngram_hashes(text: str, sizes=SIZES) -> np.ndarray:
     clean = f" {_NOT_LETTERS.sub(' ', text.lower()).strip()} "
     points = np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     inner = points != 32
+    if not inner.any():
+        return np.zeros(0, np.uint64)
     out = []
     value, good = np.zeros(len(points), np.uint64), np.ones(len(points), bool)
     for n in range(1, max(sizes) + 1):
