@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Character references replaced in element text and attributes, in this order.
-CHARACTER_REFERENCES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", " "),
-    ("&middot;", "·"),
-    ("&copy;", "©"),
-    ("&amp;", "&"),
-)
+_REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+_AMPERSANDS = ("&amp;", "&#38;", "&#x26;", "&#X26;")
 
 
 def trimmed(text: str | Column) -> Column:
@@ -29,10 +22,29 @@ def parse_stars(text: str | Column) -> Column:
 
 
 def unescape(text: str | Column) -> Column:
-    out = F.col(text) if isinstance(text, str) else text
-    for name, char in CHARACTER_REFERENCES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    """Text with its character references decoded, each once: numbers, and the names of HTML 4.
+
+    References that are unknown or do not end with a semicolon stay as they are.
+    """
+    given = F.col(text) if isinstance(text, str) else text
+    found = F.array_distinct(F.regexp_extract_all(given, F.lit(_REFERENCE), F.lit(0)))
+    # "&amp;" last, so that what it leaves behind is not taken for another reference.
+    amp = F.filter(found, lambda r: r.isin(*_AMPERSANDS))
+    order = F.concat(F.filter(found, lambda r: ~r.isin(*_AMPERSANDS)), amp)
+    decoded = F.aggregate(order, given, lambda out, ref: F.replace(out, ref, F.coalesce(_character(ref), ref)))
+    return F.when(F.contains(given, F.lit("&")), decoded).otherwise(given)
+
+
+def _character(reference: Column) -> Column:
+    """The character a reference stands for, NULL when there is none."""
+    name = F.substring(reference, F.lit(2), F.length(reference) - 2)
+    digits = F.regexp_extract(name, "^#(?:[xX]([0-9a-fA-F]{1,6})|[0-9]{1,7})$", 1)
+    hexadecimal = F.when(digits != "", digits).otherwise(F.hex(F.regexp_extract(name, "^#([0-9]{1,7})$", 1).try_cast("int")))
+    code = F.conv(hexadecimal, 16, 10).try_cast("bigint")
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    number = F.decode(F.unhex(F.lpad(hexadecimal, 8, "0")), "UTF-32")
+    named = F.create_map(*(F.lit(x) for n, c in sorted(name2codepoint.items()) for x in (n, chr(c))))
+    return F.when(name.startswith("#"), F.when(valid, number)).otherwise(F.try_element_at(named, name))
 
 
 def element_text(markup: str | Column) -> Column:

@@ -192,4 +192,5 @@ def rows_between(
     if offset + limit <= top_rows:
         return df.orderBy(*order).offset(offset).limit(limit)
     placed = with_position(df, order, "_position")
-    return placed.filter(F.col("_position").between(offset + 1, offset + limit)).drop("_position")
+    page = placed.filter(F.col("_position").between(offset + 1, offset + limit))
+    return page.orderBy("_position").drop("_position")

@@ -99,18 +99,23 @@ class Bound:
         lines = self._with_repo(self._lines()).withColumn("pull_request", F.when(F.col("is_pr"), F.col("url")))
         return self._ticket(lines, "pull_request", F.col("l_suppkey").alias("tie"))
 
-    def _stored(self, pulls: bool) -> DataFrame:
+    def _stored(self, pulls: bool, repo_id: str | None) -> DataFrame:
         # One line per key is chosen on narrow columns, before the wide ones are joined.
         lines = self._lines().filter(F.col("is_pr") == pulls)
+        if repo_id is not None:
+            # The lines of one repository are found before anything is grouped; its id is one row.
+            wanted = self.repo().filter(F.col("id") == repo_id).select(F.col("part_key").alias("l_partkey"))
+            lines = lines.join(F.broadcast(wanted), "l_partkey", "left_semi")
         keys = ["l_partkey", "l_orderkey", "l_linenumber"]
         first = lines.groupBy(*keys).agg(F.min(F.struct("l_suppkey", "l_shipdate", "l_linestatus")).alias("f"))
         return self._ticket(self._with_repo(first.select(*keys, "f.*")))
 
-    def issue(self) -> DataFrame:
-        return self._stored(False)
+    def issue(self, repo_id: str | None = None) -> DataFrame:
+        """Stored issues, of all repositories or of one."""
+        return self._stored(False, repo_id)
 
-    def pr(self) -> DataFrame:
-        return self._stored(True)
+    def pr(self, repo_id: str | None = None) -> DataFrame:
+        return self._stored(True, repo_id)
 
     # Sightings in order of arrival -----------------------------------------------------------
 
@@ -384,4 +389,6 @@ def with_views(*names: str, recursive: bool = False) -> str:
     """``WITH`` clause that defines the named views and what they build on."""
     wanted = [v for v in VIEWS if v in names or any(v in NEEDS.get(n, ()) for n in names)]
     head = "WITH RECURSIVE" if recursive else "WITH"
-    return f"{head} " + ",\n".join(f"{v} AS ({VIEWS[v]})" for v in wanted)
+    # Views that several others read are computed once.
+    kept = "" if recursive else "MATERIALIZED "
+    return f"{head} " + ",\n".join(f"{v} AS {kept}({VIEWS[v]})" for v in wanted)

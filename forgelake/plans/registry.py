@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from forgelake.functions import text
 from forgelake.functions.identity import (
+    CONTACT_IDENTITY,
     ISSUE_PREFIX,
     REPO_IDENTITY,
     contact_key,
@@ -23,7 +24,7 @@ from forgelake.operators import catalog, frontier, markov, upsert
 from forgelake.plans.bindings import HUB, Bound, with_views
 from forgelake.session import scratch_path
 from forgelake.sources import pages, responses
-from forgelake.streaming.ingest import WriteLog, live_counts, upsert_stream
+from forgelake.streaming.ingest import WriteLog, live_counts, newest_counts, upsert_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,18 +97,16 @@ def ingest_repos_json(b: Bound) -> DataFrame:
 
 
 @query(
-    f"""{with_views('repo')}, ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY owner ORDER BY part_key) AS i FROM repo)
-    {_REPO_SQL.replace('FROM repo', 'FROM ranked')} WHERE i <= 300"""
+    f"""{with_views('repo')} {_REPO_SQL}"""
 )
 def ingest_starred_json(b: Bound) -> DataFrame:
     return responses.starred_repos(b.landed_repos("starred")).select(*_REPO_FIELDS)
 
 
 @query(
-    f"""{with_views('contact', 'repo', 'contributor')},
-    ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY repo_pos ORDER BY contrib_pos, dst) AS i FROM contributor)
+    f"""{with_views('contact', 'repo', 'contributor')}
     SELECT r.id AS repo_id, c.id, c.login, c.url, '' AS avatar
-    FROM ranked k JOIN repo r ON r.part_key = k.repo_pos JOIN contact c ON c.id = CAST(k.dst AS VARCHAR) WHERE i <= 200"""
+    FROM contributor k JOIN repo r ON r.part_key = k.repo_pos JOIN contact c ON c.id = CAST(k.dst AS VARCHAR)"""
 )
 def ingest_contributors_json(b: Bound) -> DataFrame:
     return responses.contributors(b.landed_contributors()).select("repo_id", "id", "login", "url", "avatar")
@@ -209,9 +208,9 @@ def pr_upsert(b: Bound) -> DataFrame:
 
 @query(
     f"""{with_views('repo', 'issue', 'pr')}, doomed AS (SELECT id FROM repo WHERE language = 'Brand#2')
-    SELECT 'repositories' AS entity, id AS key FROM repo WHERE id NOT IN (SELECT id FROM doomed)
-    UNION ALL SELECT 'issues', repo_id || '/' || id FROM issue WHERE repo_id NOT IN (SELECT id FROM doomed)
-    UNION ALL SELECT 'pull_requests', repo_id || '/' || id FROM pr WHERE repo_id NOT IN (SELECT id FROM doomed)"""
+    SELECT 'repositories' AS entity, id AS key FROM repo WHERE NOT EXISTS (SELECT 1 FROM doomed d WHERE d.id = repo.id)
+    UNION ALL SELECT 'issues', repo_id || '/' || id FROM issue WHERE NOT EXISTS (SELECT 1 FROM doomed d WHERE d.id = issue.repo_id)
+    UNION ALL SELECT 'pull_requests', repo_id || '/' || id FROM pr WHERE NOT EXISTS (SELECT 1 FROM doomed d WHERE d.id = pr.repo_id)"""
 )
 def repo_delete_cascade(b: Bound) -> DataFrame:
     repo = b.repo()
@@ -281,12 +280,12 @@ _TICKETS = ", ".join(TICKET)
 
 @query(f"{with_views('issue')} SELECT {_TICKETS} FROM issue WHERE repo_id = 'Customer#000000007/part-7'")
 def repo_issues(b: Bound) -> DataFrame:
-    return catalog.repo_issues(b.issue(), "Customer#000000007/part-7")
+    return catalog.repo_issues(b.issue("Customer#000000007/part-7"), "Customer#000000007/part-7")
 
 
 @query(f"{with_views('pr')} SELECT {_TICKETS} FROM pr WHERE repo_id = 'Customer#000000007/part-7'")
 def repo_prs(b: Bound) -> DataFrame:
-    return catalog.repo_pull_requests(b.pr(), "Customer#000000007/part-7")
+    return catalog.repo_pull_requests(b.pr("Customer#000000007/part-7"), "Customer#000000007/part-7")
 
 
 @query(
@@ -372,7 +371,7 @@ def _page_rows(b: Bound) -> DataFrame:
 
 def _organisation_links(b: Bound) -> DataFrame:
     return pages.organisation_repos(
-        _page_rows(b), base_url=HUB, selectors=_PAGE_SELECTORS, id_parts=(1,), page_cap=None, now=now()
+        _page_rows(b), base_url=HUB, selectors=_PAGE_SELECTORS, id_parts=(1,), now=now()
     )
 
 
@@ -440,7 +439,7 @@ def profile_page_repos(b: Bound) -> DataFrame:
 
 @query(f"{with_views('repo')} SELECT owner AS org, id, owner, name, url, 1 AS selector_rank FROM repo")
 def listing_page_repos(b: Bound) -> DataFrame:
-    found = pages.organisation_repos(b.listing_pages(), base_url=HUB, page_cap=None, now=now())
+    found = pages.organisation_repos(b.listing_pages(), base_url=HUB, now=now())
     return found.select("org", "id", "owner", "name", "url", "selector_rank")
 
 
@@ -628,7 +627,8 @@ def stream_upsert(b: Bound) -> DataFrame:
     landing, root = scratch_path(b.spark, "landing"), scratch_path(b.spark, "stream")
     schema = b.repo_obs().schema.add("hash", "string").add("updated_at", "timestamp_ntz")
     log = WriteLog(b.spark, f"{root}/table", schema, upsert.REPO_KEY, b.ARRIVAL)
-    half = F.col("l_shipdate") < lines.agg(F.percentile_approx("l_shipdate", 0.5)).first()[0]
+    middle = lines.agg(F.percentile_approx("l_shipdate", 0.5)).first()[0]
+    half = F.coalesce(F.col("l_shipdate") < middle, F.lit(False))
     for part in (lines.filter(half), lines.filter(~half)):
         part.write.mode("append").parquet(landing)
         source = b.repo_obs(b.spark.readStream.schema(lines.schema).parquet(landing))
@@ -636,6 +636,23 @@ def stream_upsert(b: Bound) -> DataFrame:
     return log.state().select("owner", "name", "url", "stars", "hash", "updated_at")
 
 
+@query(ORACLES["contact_upsert"])
+def stream_contacts(b: Bound) -> DataFrame:
+    """Sightings of contacts in two runs: the last one wins, even a sparser one."""
+    sightings = b.contact_obs()
+    landing, root = scratch_path(b.spark, "landing"), scratch_path(b.spark, "stream")
+    schema = sightings.schema.add("hash", "string").add("updated_at", "timestamp_ntz")
+    log = WriteLog(b.spark, f"{root}/table", schema, ["login"], b.CONTACT_ARRIVAL)
+    first = F.col(b.CONTACT_ARRIVAL[0])
+    middle = sightings.agg(F.percentile_approx(first, 0.5)).first()[0]
+    half = F.coalesce(first < middle, F.lit(False))
+    for part in (sightings.filter(half), sightings.filter(~half)):
+        part.write.mode("append").parquet(landing)
+        source = b.spark.readStream.schema(sightings.schema).parquet(landing)
+        upsert_stream(source, log, f"{root}/checkpoint", CONTACT_IDENTITY, stamp=now, last_wins=True).awaitTermination()
+    return log.state().select("login", "url", "company", "hash", "updated_at")
+
+
 @query(
     """SELECT 'repositories' AS entity, COUNT(*) AS n FROM part UNION ALL SELECT 'contacts', COUNT(*) FROM customer
     UNION ALL SELECT 'issues', COUNT(*) FROM lineitem WHERE l_returnflag <> 'R'
@@ -654,9 +671,10 @@ def stream_counts(b: Bound) -> DataFrame:
     root = scratch_path(b.spark, "counts")
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/counts")
+        # A folder per batch: readers of an earlier one are not disturbed.
+        batch.write.mode("overwrite").parquet(f"{root}/counts/batch_id={batch_id}")
 
     sink = counts.writeStream.outputMode("complete").foreachBatch(save)
     sink.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return b.spark.read.parquet(f"{root}/counts")
+    return newest_counts(b.spark, f"{root}/counts", ["repositories", "contacts", "issues", "pull_requests"])
 

@@ -23,8 +23,6 @@ PULL_REQUEST = _struct(
 )
 ISSUE = T.StructType([*PULL_REQUEST.fields, T.StructField("responses", _TEXT)])
 TRANSITION = _struct(seq=_NUMBER, from_state=_TEXT, to_state=_TEXT)
-COUNTS = _struct(contacts=_NUMBER, issues=_NUMBER, pull_requests=_NUMBER, repositories=_NUMBER)
-CHAIN_POSITION = _struct(current_url=_TEXT, visited=T.ArrayType(_TEXT), timestamp=_TIME)
 
 # One row per fetched page; a failed fetch lands with its status and a NULL body.
 LANDING = _struct(

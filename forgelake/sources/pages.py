@@ -18,9 +18,6 @@ from forgelake.functions.identity import repo_id
 from forgelake.functions.text import element_text, path_parts, unescape, without_leading_slash
 from forgelake.operators.ordering import rows_between
 
-# Listing pages read per organisation.
-ORGANISATION_PAGES = 50
-
 NOISE = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>"
 ANCHOR = r"(?is)<a\b[^>]*>"
 HREF = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
@@ -102,7 +99,7 @@ def organisation_repos(
     base_url: str,
     selectors: Sequence[Selector] = ORGANISATION_SELECTORS,
     id_parts: Sequence[int] = (1, 2),
-    page_cap: int | None = ORGANISATION_PAGES,
+    max_pages: int | None = None,
     now: Column | None = None,
 ) -> DataFrame:
     """Listing pages ``(org, page, html)`` to repositories, the first sighting per organisation.
@@ -110,7 +107,7 @@ def organisation_repos(
     Sightings are ordered by page, selector and place on the page. ``id_parts`` names the path
     parts that identify a repository; the first is its owner, the last its name.
     """
-    rows = pages if page_cap is None else pages.filter(F.col("page") <= page_cap)
+    rows = pages if max_pages is None else pages.filter(F.col("page") <= max_pages)
     parts = path_parts("href")
     found = links(rows, selectors, ["org", "page"]).filter(
         F.col("href").startswith("/")

@@ -1,4 +1,8 @@
-"""Sample rows to try the engine on: two contacts, two repositories, two issues, one pull request."""
+"""Sample rows that show the engine's corner cases.
+
+A contact that is seen twice, the second time with less; a repository with several issues and one
+without any; an issue saved again with another address; and an empty table of pull requests.
+"""
 
 from __future__ import annotations
 
@@ -10,21 +14,23 @@ from forgelake import schemas
 
 _URL = "https://hub.example"
 _CONTACTS = [
-    {"login": "ada", "url": f"{_URL}/ada", "company": "Engine Works", "email": "ada@engine.example", "bio": "Kernels"},
-    {"login": "grace", "url": f"{_URL}/grace", "company": "Compilers Ltd", "email": "", "bio": "Languages"},
+    {"id": "31", "login": "mira", "url": f"{_URL}/mira", "location": "Oslo", "bio": "Maps and tides"},
+    {"id": "32", "login": "tomo", "url": f"{_URL}/tomo", "company": "Harbour Lab"},
+    {"id": "31", "login": "mira", "url": f"{_URL}/mira"},
 ]
 _REPOS = [
-    {"name": "kernel", "owner": "ada", "url": f"{_URL}/ada/kernel", "language": "C", "stars": 50000, "description": "A kernel"},
-    {"name": "lang", "owner": "snake", "url": f"{_URL}/snake/lang", "language": "Python", "stars": 60000, "description": "A language"},
+    {"name": "tides", "owner": "mira", "url": f"{_URL}/mira/tides", "language": "Fortran", "stars": 12},
+    {"name": "charts", "owner": "mira", "url": f"{_URL}/mira/charts", "language": "", "stars": 0, "license": "mit"},
+    {"name": "buoys", "owner": "tomo", "url": f"{_URL}/tomo/buoys", "language": "Ada", "stars": 3},
 ]
-# The tickets carry no id, so two of them in one repository would share a key.
 _ISSUES = [
-    {"repo_id": "ada/kernel", "title": "Leak", "url": f"{_URL}/ada/kernel/issues/1", "state": "open", "author": "ada", "body": "Memory leak"},
-    {"repo_id": "snake/lang", "title": "Slow", "url": f"{_URL}/snake/lang/issues/2", "state": "closed", "author": "grace", "body": "Too slow"},
-]
-_PULL_REQUESTS = [
-    {"repo_id": "ada/kernel", "title": "Feature", "url": f"{_URL}/ada/kernel/pull/100", "state": "open", "author": "dev", "body": "Adds it"},
+    {"id": str(n), "repo_id": "mira/tides", "title": title, "url": f"{_URL}/mira/tides/issues/{n}", "state": state, "author": "tomo"}
+    for n, title, state in ((7, "Wrong phase at neap", "open"), (8, "Read gauge files", "closed"), (9, "Leap second", "open"))
+] + [
+    {"id": "1", "repo_id": "tomo/buoys", "title": "Lost signal", "url": f"{_URL}/tomo/buoys/issues/1", "state": "open"},
+    {"id": "1", "repo_id": "tomo/buoys", "title": "Lost signal", "url": f"{_URL}/tomo/buoys/issues/1-moved", "state": "closed"},
 ]
+_PULL_REQUESTS: list[dict] = []
 
 
 def _table(spark: SparkSession, rows: list[dict], schema) -> DataFrame:

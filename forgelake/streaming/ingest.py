@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from forgelake.operators.upsert import classify, written
+from forgelake.functions.identity import with_fingerprint
+from forgelake.operators.upsert import classify, latest, written
+
+
+# Micro-batches after which the log is folded into a base.
+COMPACT_EVERY = 16
 
 
 class WriteLog:
@@ -73,7 +78,8 @@ def upsert_stream(
     identity: tuple[str, ...],
     *,
     stamp: Callable[[], Column] | None = None,
-    compact_every: int | None = None,
+    compact_every: int | None = COMPACT_EVERY,
+    last_wins: bool = False,
     persist: bool = False,
     chunk_rows: int | None = None,
     **trigger,
@@ -81,15 +87,19 @@ def upsert_stream(
     """Start a deduplicating upsert of a stream into ``log``; rows keep their arrival order.
 
     ``stamp`` gives ``updated_at`` of written rows. Each micro-batch compares with the stored rows
-    of its own keys only. Several passes read the batch, which files serve well column by column;
+    of its own keys only. With ``last_wins`` the last row of a key is written whatever is stored, as
+    contacts are saved; nothing stored is then read. Several passes read the batch, which files serve well column by column;
     ``persist`` keeps the batch of a source, or of transformations, that cost more to repeat.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist() if persist else batch
         try:
-            stored = log.stored_for(rows, batch_id)
-            fresh = written(classify(rows, log.keys, log.order, identity, stored, chunk_rows=chunk_rows))
+            if last_wins:
+                fresh = latest(with_fingerprint(rows, identity), log.keys, log.order)
+            else:
+                stored = log.stored_for(rows, batch_id)
+                fresh = written(classify(rows, log.keys, log.order, identity, stored, chunk_rows=chunk_rows))
             if stamp is not None:
                 fresh = fresh.withColumn("updated_at", stamp())
             log.write(fresh, batch_id)
@@ -114,6 +124,15 @@ def live_counts(streams: dict[str, DataFrame]) -> DataFrame:
     return tagged.groupBy("entity").agg(F.count("*").alias("n"))
 
 
+def newest_counts(spark: SparkSession, root: str, names: Sequence[str]) -> DataFrame:
+    """The counts of the newest batch under ``root``, 0 for tables of ``names`` without a row so far."""
+    counts = spark.read.schema("entity string, n bigint, batch_id bigint").parquet(root)
+    newest = counts.agg(F.max("batch_id")).first()[0]
+    found = counts.filter(F.col("batch_id") == newest).select("entity", "n")
+    every = spark.range(1).select(F.explode(F.array(*(F.lit(n) for n in names))).alias("entity"))
+    return every.join(found, "entity", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+
+
 def first_sightings(
     stream: DataFrame, keys: Sequence[str], *, event_time: str | None = None, delay: str | None = None
 ) -> DataFrame:

@@ -10,10 +10,10 @@ def store(spark):
 
 
 def test_round_trip_by_key(store):
-    found = catalog.find_repo(store["repositories"], "ada", "kernel", expand="true").first()
-    assert (found.stars, found.description, found.language) == (50000, "A kernel", "C")
-    assert catalog.find_repo(store["repositories"], "ADA", "kernel").isEmpty()
-    assert catalog.find_contact(store["contacts"], "grace").first().company == "Compilers Ltd"
+    found = catalog.find_repo(store["repositories"], "mira", "tides", expand="true").first()
+    assert (found.stars, found.description, found.language) == (12, "", "Fortran")
+    assert catalog.find_repo(store["repositories"], "MIRA", "tides").isEmpty()
+    assert catalog.find_contact(store["contacts"], "tomo").first().company == "Harbour Lab"
     assert catalog.find_contact(store["contacts"], "nobody").isEmpty()
 
 
@@ -29,15 +29,14 @@ def test_listing_fields_follow_the_options(store):
 
 
 def test_issue_counts_include_zero(spark, store):
-    issues = store["issues"].filter("repo_id = 'ada/kernel'")
-    got = catalog.list_repos(store["repositories"], include_issues="count", issues=issues)
-    assert {r.name: r.issues_count for r in got.collect()} == {"kernel": 1, "lang": 0}
+    got = catalog.list_repos(store["repositories"], include_issues="count", issues=store["issues"])
+    assert {r.name: r.issues_count for r in got.collect()} == {"tides": 3, "charts": 0, "buoys": 2}
 
 
 def test_search(store):
     names = lambda **o: sorted(r.name for r in catalog.search_repos(store["repositories"], **o).collect())
-    assert names() == ["kernel", "lang"] and names(language="C") == ["kernel"] and names(language="c") == []
-    assert names(min_stars=55000) == ["lang"] and names(language="C", min_stars=55000) == []
+    assert names() == ["buoys", "charts", "tides"] and names(language="Ada") == ["buoys"] and names(language="ada") == []
+    assert names(min_stars=5) == ["tides"] and names(language="Ada", min_stars=5) == []
     assert catalog.search_repos(store["repositories"]).columns == list(catalog.SEARCH_FIELDS)
 
 
@@ -75,7 +74,7 @@ def test_tickets_of_one_repository(spark):
 
 def test_counts_include_empty_tables(store):
     tables = {**store, "issues": store["issues"].limit(0)}
-    want = {"contacts": 2, "issues": 0, "pull_requests": 1, "repositories": 2}
+    want = {"contacts": 3, "issues": 0, "pull_requests": 0, "repositories": 3}
     assert {r.entity: r.n for r in catalog.table_counts(tables).collect()} == want
     summary = catalog.table_summary(tables)
     assert summary.columns == sorted(want) and summary.first().asDict() == want

@@ -1,5 +1,8 @@
 """Small hand-made documents for every selector."""
 
+import pytest
+
+from forgelake.functions.text import unescape
 from forgelake.operators.frontier import crawl_transitions, one_hop
 from forgelake.sources import pages
 
@@ -57,8 +60,8 @@ def test_path_shapes_and_noise(spark):
 
 def test_page_limit(spark):
     rows = [("o", n, f"<h3><a href='/o/r{n}'>x</a></h3>") for n in (1, 50, 51)]
-    assert {k[1] for k in repos_of(spark, rows)} == {"o/r1", "o/r50"}
-    assert len(repos_of(spark, rows, page_cap=None)) == 3
+    assert len(repos_of(spark, rows)) == 3
+    assert {k[1] for k in repos_of(spark, rows, max_pages=50)} == {"o/r1", "o/r50"}
 
 
 def test_organisation_sweep_budget(spark):
@@ -119,3 +122,13 @@ def test_first_elements(spark):
     got = pages.first_elements(rows, ["page"], scope="article", elements={"t": pages.block("h1"), "p": pages.PARAGRAPH})
     assert sorted(tuple(r) for r in got.collect()) == [(1, "T<", "one"), (2, "", "")]
 
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [("a&#233;&#x27;b", "aé'b"), ("&eacute;&euro;&copy;", "é€©"), ("&amp;lt; &lt;", "&lt; <"), ("&amp;#233;", "&#233;"),
+     ("&nope; &#0; &#xD800; &amp", "&nope; &#0; &#xD800; &amp"), ("&#38;amp;", "&amp;"), ("&#x1F600;", "😀"), (None, None)],
+)
+def test_character_references(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(unescape("t")).first()[0] == want

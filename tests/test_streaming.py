@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from forgelake.functions.identity import REPO_IDENTITY, with_fingerprint
 from forgelake.operators import upsert
-from forgelake.streaming.ingest import WriteLog, first_sightings, live_counts, upsert_stream
+from forgelake.streaming.ingest import WriteLog, first_sightings, live_counts, newest_counts, upsert_stream
 
 OBS = "owner string, name string, url string, stars bigint, seq bigint"
 
@@ -75,6 +75,24 @@ def test_live_counts(spark, tmp_path):
     assert {r.entity: r.n for r in spark.table("counted").collect()} == {"a": 7, "b": 5}
 
 
+def test_newest_counts_fill_in_empty_tables(spark, tmp_path):
+    for batch, rows in enumerate([[("a", 3)], [("a", 5), ("b", 1)]]):
+        spark.createDataFrame(rows, "entity string, n bigint").write.parquet(str(tmp_path / f"batch_id={batch}"))
+    got = newest_counts(spark, str(tmp_path), ["a", "b", "none"]).collect()
+    assert {r.entity: r.n for r in got} == {"a": 5, "b": 1, "none": 0}
+
+
+def test_last_sighting_of_a_contact_wins_in_a_stream(spark, tmp_path):
+    obs = "login string, url string, company string, seq bigint"
+    schema = T.StructType([*T._parse_datatype_string(obs).fields, T.StructField("hash", T.StringType())])
+    log = WriteLog(spark, str(tmp_path / "table"), schema, ["login"], ["seq"])
+    for rows in ([("a", "u", "full", 1), ("b", "u", "full", 2)], [("a", "u", "", 3)]):
+        spark.createDataFrame(rows, obs).coalesce(1).write.mode("append").parquet(str(tmp_path / "landing"))
+        source = spark.readStream.schema(obs).parquet(str(tmp_path / "landing"))
+        upsert_stream(source, log, str(tmp_path / "checkpoint"), ("login", "url"), last_wins=True).awaitTermination()
+    assert {r.login: r.company for r in log.state().collect()} == {"a": "", "b": "full"}
+
+
 @pytest.mark.parametrize("bounded", [False, True])
 def test_first_sightings_drop_a_returning_fingerprint(spark, tmp_path, bounded):
     rows = [("k", "A", "2024-01-01 00:00:00"), ("k", "B", "2024-01-01 00:00:01"), ("k", "A", "2024-01-01 00:00:02")]
