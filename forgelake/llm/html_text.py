@@ -18,8 +18,9 @@ First pass, in this order:
 * content, if at least ``DENSE`` of its words are stop words; open, if at least ``SPARSE`` are or it
   lies inside an article; boilerplate otherwise.
 
-Open blocks without any decided neighbour are content when they lie inside an article, or when the page
-has no article and no boilerplate at all.
+Blocks that are boilerplate by their container are no neighbours: a menu says nothing about what follows
+it. Open blocks without any decided neighbour are content when they lie inside an article, or when the page
+has no article.
 
 Defined results: a NULL or empty page gives an empty text. Unclosed and unknown tags, quoted ``>``,
 comments and broken references are read as a browser reads them. Repeated rows are read one by one,
@@ -260,17 +261,18 @@ def second_pass(blocks: list[Block], decided: list[bool | None]) -> list[bool]:
 
     Inside an article only neighbours in an article count: what surrounds it says nothing about it.
     """
-    bare = not any(b.article for b in blocks) and not any(d is False for d in decided)
+    bare = not any(b.article for b in blocks)
 
     def nearest(order: range) -> dict[int, tuple[bool, int]]:
         found: dict[int, tuple[bool, int]] = {}
         last: dict[bool, tuple[bool, int] | None] = {True: None, False: None}
         for i in order:
             side = blocks[i].article
-            if decided[i] is not None and not (side and blocks[i].outside):
-                last[side] = (decided[i], 0)
+            if blocks[i].outside:
                 continue
-            if last[side]:
+            if decided[i] is not None:
+                last[side] = (decided[i], 0)
+            elif last[side]:
                 found[i] = last[side]
                 last[side] = (last[side][0], last[side][1] + len(blocks[i].text))
         return found
