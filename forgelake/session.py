@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,8 +21,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-_local_folder: dict[str, str] = {}
-
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
@@ -42,19 +42,25 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
-
-    Only a local-mode session may go without the setting; it then gets a temporary folder.
-    """
+    """Folder all executors can reach, as named by ``spark.checkpoint.dir`` or ``setCheckpointDir``."""
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-    app = spark.sparkContext.applicationId
-    if app not in _local_folder:
-        _local_folder[app] = tempfile.mkdtemp(prefix="forgelake-")
-    return _local_folder[app]
+    return folder.rstrip("/")
+
+
+def name_local_folder(spark: SparkSession) -> SparkSession:
+    """Give a local session without a shared folder one of its own, which goes when the process ends.
+
+    For scripts on one machine; on a cluster the setting must be there, and this does nothing.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
+    if not named and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        folder = tempfile.mkdtemp(prefix="forgelake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
+    return spark
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

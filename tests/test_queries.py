@@ -56,7 +56,7 @@ def assert_agrees(spark, folder, name):
     assert table(df.columns, got) == table(columns, result.fetchall())
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", list(ORACLES))
 def test_query(spark, name):
     assert_agrees(spark, FOLDER, name)
 
