@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from forgelake.session import RUNTIME_CONF
+from forgelake.session import RUNTIME_CONF, name_local_folder
 
 # Rows and bytes an Arrow batch holds at most, so that a batch of long texts stays small.
 BATCH_CONF = {
@@ -20,10 +20,11 @@ BATCH_CONF = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings the operators rely on to an existing session."""
+    """Apply the runtime settings the operators rely on to an existing session, and let a local one
+    without a shared folder have its own."""
     for key, value in {**RUNTIME_CONF, **BATCH_CONF}.items():
         spark.conf.set(key, value)
-    return spark
+    return name_local_folder(spark)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
