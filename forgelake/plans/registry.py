@@ -22,7 +22,7 @@ from forgelake.functions.identity import (
 )
 from forgelake.operators import catalog, frontier, markov, upsert
 from forgelake.plans.bindings import HUB, Bound, with_views
-from forgelake.session import scratch_path
+from forgelake.session import materialize, scratch_path
 from forgelake.sources import pages, responses
 from forgelake.streaming.ingest import WriteLog, live_counts, newest_counts, upsert_stream
 
@@ -206,6 +206,51 @@ def pr_upsert(b: Bound) -> DataFrame:
     return state.select("repo_id", "id", "url", "hash", "updated_at")
 
 
+def _halves(rows: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that arrived before the median of ``by``, and the others, those without a value too."""
+    middle = rows.agg(F.percentile_approx(by, 0.5)).first()[0]
+    early = F.coalesce(F.col(by) < middle, F.lit(False))
+    return rows.filter(early), rows.filter(~early)
+
+
+# The first half of the sightings is stored, the second half comes in: the same state as at once.
+
+
+@query(ORACLES["contact_upsert"])
+def contact_upsert_stored(b: Bound) -> DataFrame:
+    first, second = _halves(b.contact_obs(), b.CONTACT_ARRIVAL[0])
+    stored = materialize(upsert.upsert_contacts(first, b.CONTACT_ARRIVAL, now=now()), "stored-contacts")
+    state = upsert.upsert_contacts(second, b.CONTACT_ARRIVAL, stored, now())
+    return state.select("login", "url", "company", "hash", "updated_at")
+
+
+@query(ORACLES["repo_upsert"])
+def repo_upsert_stored(b: Bound) -> DataFrame:
+    first, second = _halves(b.repo_obs(), b.ARRIVAL[0])
+    stored = materialize(upsert.upsert_repos(first, b.ARRIVAL, now=now()), "stored-repos")
+    state = upsert.upsert_repos(second, b.ARRIVAL, stored, now())
+    return state.select("owner", "name", "url", "stars", "hash", "updated_at")
+
+
+@query(
+    f"""{_REPO_OBS} SELECT hash, owner, name, TIMESTAMP '{NOW}' AS updated_at, stars FROM w WHERE rn = 1"""
+)
+def repo_list_stored(b: Bound) -> DataFrame:
+    """A listing of stored repositories shows their stored hash, not the fallback."""
+    stored = materialize(upsert.upsert_repos(b.repo_obs(), b.ARRIVAL, now=now()), "stored-repos")
+    shown = stored.withColumn("language", F.lit(""))
+    listed = catalog.list_repos(shown, expand="true")
+    return listed.select("hash", "owner", "name", "updated_at", "stars")
+
+
+@query(ORACLES["issue_upsert"])
+def issue_upsert_stored(b: Bound) -> DataFrame:
+    first, second = _halves(b.issue_obs(), b.ARRIVAL[0])
+    stored = materialize(upsert.upsert_issues(first, b.ARRIVAL, now=now()), "stored-issues")
+    state = upsert.upsert_issues(second, b.ARRIVAL, stored, now())
+    return state.select("repo_id", "id", "url", "hash", "updated_at")
+
+
 @query(
     f"""{with_views('repo', 'issue', 'pr')}, doomed AS (SELECT id FROM repo WHERE language = 'Brand#2')
     SELECT 'repositories' AS entity, id AS key FROM repo WHERE NOT EXISTS (SELECT 1 FROM doomed d WHERE d.id = repo.id)
