@@ -397,8 +397,8 @@ def top_contributors(b: Bound) -> DataFrame:
 
 # Where the driver's pages keep their links.
 _PAGE_SELECTORS = (
-    pages.Selector(blocks=(pages.block("nav"), pages.block("li"))),
-    pages.Selector(blocks=(pages.block("ul"),)),
+    pages.Selector(blocks=(pages.Element("nav"), pages.Element("li"))),
+    pages.Selector(blocks=(pages.Element("ul"),)),
 )
 _NOISE_SQL = "regexp_replace(html, '<!--.*?-->|<script\\b[^>]*>.*?</script>|<style\\b[^>]*>.*?</style>', ' ', 'gis')"
 _LINKS_SQL = f"""

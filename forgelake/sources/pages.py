@@ -1,9 +1,9 @@
 """Scraped web pages to repository links, cards and logins.
 
-Elements are found with built-in regular expressions scoped block by block. The patterns use
-neither look-around nor back-references. Comments, scripts and styles are removed first. Unlike a
-real HTML parser, a block ends at the first closing tag of its name, so equally named nested
-blocks are cut short.
+Comments, scripts and styles are removed first. Links are found by reading the tags of a page in order
+with a stack of open elements, in built-in functions, so nested, unclosed and quoted markup is placed as
+in a browser. Texts of cards and articles are cut out by regular expressions; there a block ends at
+the first closing tag of its name.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from forgelake.functions.text import element_text, path_parts, unescape, without
 from forgelake.operators.ordering import rows_between
 
 NOISE = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>"
-ANCHOR = r"(?is)<a\b[^>]*>"
+ANCHOR = r"(?is)^<a\b"
 HREF = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 PARAGRAPH = r"(?is)<p\b[^>]*>(.*?)(?:</p>|<p\b|</article>|$)"
 
@@ -29,37 +29,115 @@ def block(tag: str) -> str:
     return rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"
 
 
-def block_of_class(tag: str, css_class: str) -> str:
-    """As :func:`block`, for elements whose class list holds ``css_class``."""
-    return rf"""(?is)<{tag}\b[^>]*\sclass\s*=\s*["'](?:[^"'>]*\s)?{css_class}(?:\s[^"'>]*)?["'][^>]*>(.*?)</{tag}>"""
+TAG = r"""(?s)</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*+>"""
+CLASS = r"""(?is)\sclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+_VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+_OPEN = "array<struct<name:string,classes:string>>"
+
+
+@dataclass(frozen=True)
+class Element:
+    """An element by tag name and, if given, a class of its class list."""
+
+    tag: str
+    css_class: str | None = None
+
+    def matches(self, opened: Column) -> Column:
+        same = opened["name"] == self.tag
+        if self.css_class is None:
+            return same
+        listed = F.concat(F.lit(" "), F.regexp_replace(opened["classes"], r"\s+", " "), F.lit(" "))
+        return same & F.contains(listed, F.lit(f" {self.css_class} "))
 
 
 @dataclass(frozen=True)
 class Selector:
-    """Anchors inside nested blocks (outermost first) whose tag matches ``anchor``.
+    """Anchors inside nested elements (outermost first) whose tag matches ``anchor``.
 
     ``mention`` demands that the link contains ``/organisation/``.
     """
 
-    blocks: tuple[str, ...] = ()
+    blocks: tuple[Element, ...] = ()
     anchor: str = ANCHOR
     mention: bool = False
 
-    def anchors(self, html: Column) -> Column:
-        found = F.array(html)
-        for pattern in self.blocks:
-            found = F.flatten(F.transform(found, lambda b: F.regexp_extract_all(b, F.lit(pattern), F.lit(1))))
-        return F.flatten(F.transform(found, lambda b: F.regexp_extract_all(b, F.lit(self.anchor), F.lit(0))))
+    def holds(self, anchor: Column) -> Column:
+        """Whether an anchor with its open elements (outermost first) is meant."""
+        found = anchor["tag"].rlike(self.anchor)
+        if not self.blocks:
+            return found
+        met = F.lit(0)
+        step = [(k, e) for k, e in enumerate(self.blocks)]
+
+        def next_met(n: Column, opened: Column) -> Column:
+            out = n
+            for k, element in step:
+                out = F.when((n == k) & element.matches(opened), F.lit(k + 1)).otherwise(out)
+            return out
+
+        return found & (F.aggregate(anchor["open"], met, next_met) == len(self.blocks))
+
+
+def anchors(html: Column) -> Column:
+    """All anchors of a page in order, each with the elements that are open there.
+
+    Tags are read one by one, with a stack of open elements. An end tag closes the innermost open element of
+    its name and all inside it, and is ignored if there is none. A list item or heading that was not
+    closed ends where the next one of its list, or the next heading, begins.
+    """
+
+    def from_end(opened: Column, *names: str | Column) -> Column:
+        """How far from the end the innermost element of a name is; 0 if none is open."""
+        listed = F.reverse(F.transform(opened, lambda o: o["name"]))
+        if len(names) == 1:
+            return F.array_position(listed, names[0])
+        return F.array_position(F.transform(listed, lambda n: n.isin(*names)), F.lit(True))
+
+    def without(opened: Column, last: Column) -> Column:
+        return F.slice(opened, F.lit(1), F.greatest(F.size(opened) - last.cast("int"), F.lit(0)))
+
+    def step(state: Column, tag: Column) -> Column:
+        opened, name, ends = state["open"], tag["name"], tag["ends"]
+        closing = from_end(opened, name)
+        item, its_list = from_end(opened, F.lit("li")), from_end(opened, "ul", "ol", "menu")
+        stale = (name == "li") & (item > 0) & ((its_list == 0) | (item < its_list))
+        heading = name.isin(*_HEADINGS) & F.coalesce(F.try_element_at(opened, F.lit(-1))["name"].isin(*_HEADINGS), F.lit(False))
+        under = F.when(stale, without(opened, item)).when(heading, without(opened, F.lit(1))).otherwise(opened)
+        pushed = F.concat(under, F.array(F.struct(name.alias("name"), tag["classes"].alias("classes"))))
+        now = (
+            F.when(ends & (closing > 0), without(opened, closing))
+            .when(ends | name.isin(*_VOID), opened)
+            .otherwise(pushed)
+            .cast(_OPEN)
+        )
+        here = F.array(F.struct(tag["tag"].alias("tag"), under.cast(_OPEN).alias("open")))
+        found = F.when((name == "a") & ~ends, F.concat(state["found"], here)).otherwise(state["found"])
+        return F.struct(now.alias("open"), found.alias("found"))
+
+    tags = F.transform(
+        F.regexp_extract_all(html, F.lit(TAG), F.lit(0)),
+        lambda t: F.struct(
+            t.alias("tag"),
+            F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][^\s/>]*)", 1)).alias("name"),
+            F.startswith(t, F.lit("</")).alias("ends"),
+            F.concat(*[F.regexp_extract(t, CLASS, g) for g in (1, 2, 3)]).alias("classes"),
+        ),
+    )
+    start = F.struct(
+        F.array().cast(_OPEN).alias("open"), F.array().cast(f"array<struct<tag:string,open:{_OPEN}>>").alias("found")
+    )
+    return F.aggregate(tags, start, step, lambda state: state["found"])
 
 
 # The three ways a listing page links a repository, in order of preference.
 ORGANISATION_SELECTORS = (
     Selector(anchor=r"""(?is)<a\b[^>]*\sdata-hovercard-type\s*=\s*["']?repository["'\s>][^>]*>?"""),
-    Selector(blocks=(block("h3"),)),
-    Selector(blocks=(block_of_class("li", "Box-row"),), mention=True),
+    Selector(blocks=(Element("h3"),)),
+    Selector(blocks=(Element("li", "Box-row"),), mention=True),
 )
 # Where a trending page links its users.
-TRENDING_SELECTORS = (Selector(blocks=(block("article"), block("h1"))),)
+TRENDING_SELECTORS = (Selector(blocks=(Element("article"), Element("h1"))),)
 CARD_HEADING = "h3"
 
 
@@ -75,15 +153,16 @@ def href_of(tag: Column) -> Column:
 
 def links(pages: DataFrame, selectors: Sequence[Selector], keep: Sequence[str], html: str = "html") -> DataFrame:
     """Links of every selector in one pass: ``keep`` + selector_rank, pos, href."""
-    clean = pages.select(*keep, without_noise(html).alias("_html"))
+    # Materialized by the generator, so that a page is read once for all selectors.
+    clean = pages.select(*keep, F.explode(F.array(anchors(without_noise(html)))).alias("_anchors"))
 
     def matches_of(rank: int, selector: Selector) -> Column:
         return F.transform(
-            selector.anchors(F.col("_html")),
-            lambda tag, pos: F.struct(
+            F.filter("_anchors", selector.holds),
+            lambda anchor, pos: F.struct(
                 F.lit(rank).alias("selector_rank"),
                 pos.alias("pos"),
-                href_of(tag).alias("href"),
+                href_of(anchor["tag"]).alias("href"),
                 F.lit(selector.mention).alias("mention"),
             ),
         )
@@ -178,12 +257,12 @@ def profile_cards(
         F.when(F.col("_text").rlike(opening), F.regexp_extract("_text", opening, 1)).otherwise(F.col("_text")).alias("_before"),
         F.when(F.col("_text").rlike(opening), F.regexp_extract("_text", opening, 2)).alias("_after"),
     )
-    heads = Selector(blocks=(block(heading),))
+    heads = Selector(blocks=(Element(heading),))
 
-    def anchors(text: Column, inside: bool) -> Column:
+    def links_in(text: Column, inside: bool) -> Column:
         return F.transform(
-            heads.anchors(F.coalesce(text, F.lit(""))),
-            lambda tag, i: F.struct(F.lit(inside).alias("inside"), i.alias("i"), href_of(tag).alias("href")),
+            F.filter(anchors(F.coalesce(text, F.lit(""))), heads.holds),
+            lambda a, i: F.struct(F.lit(inside).alias("inside"), i.alias("i"), href_of(a["tag"]).alias("href")),
         )
 
     language = r"""(?is)<(?:[a-z][a-z0-9]*)\b[^>]*\sitemprop\s*=\s*["']?programmingLanguage["']?[^>]*>(.*?)</"""
@@ -191,7 +270,7 @@ def profile_cards(
     cards = split.select(
         *keep,
         "_segment",
-        F.explode(F.concat(anchors(F.col("_before"), False), anchors(F.col("_after"), True))).alias("_a"),
+        F.explode(F.concat(links_in(F.col("_before"), False), links_in(F.col("_after"), True))).alias("_a"),
         element_text(F.regexp_extract(article, PARAGRAPH, 1)).alias("_description"),
         element_text(F.regexp_extract(article, language, 1)).alias("_language"),
     ).select("*", path_parts(without_leading_slash("_a.href")).alias("_parts"))

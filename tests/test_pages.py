@@ -36,6 +36,17 @@ def test_each_organisation_selector(spark):
     }
 
 
+def test_nested_unclosed_and_quoted_markup(spark):
+    html = """<a data-hovercard-type="repository" href="/org/hover">x</a>
+      <ul><li class="Box-row"><ul><li>x</li></ul><a href="/org/nested">n</a></li><li><a href="/org/none">n</a></li></ul>
+      <h3><a title="a > b" href="/org/gt">g</a></h3><div><h3><a href="/org/unclosed">u</a></div><a href="/org/after">a</a>
+      <H3><br><img src=x><a href='/org/void'>v</a></H3></h3><a href="/org/stray">s</a>"""
+    got = repos_of(spark, [("org", 1, html)])
+    assert {k[1]: v.selector_rank for k, v in got.items()} == {
+        "org/hover": 1, "org/gt": 2, "org/unclosed": 2, "org/void": 2, "org/nested": 3,
+    }
+
+
 def test_first_sighting_wins_per_organisation(spark):
     h3 = "<h3><a href='/o/r{}'>x</a></h3>"
     hover = "<a data-hovercard-type='repository' href='/o/r/pulse'>x</a>"
