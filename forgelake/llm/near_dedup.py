@@ -10,13 +10,14 @@
 3. Improved consistent weighted sampling draws ``BANDS * BAND_ROWS`` shingles per document, with
    probability equal to the weighted Jaccard similarity that two documents draw the same one. The
    draws of a band together name a bucket.
-4. Texts that are equal word by word are one vertex. In each bucket every vertex is compared with the
-   bucket's leader and with the leader of its random block of about ``BLOCK`` vertices; the leaders change
-   with each round. Compared means: weighted Jaccard similarity of the full shingle sets, computed from
-   the texts, at least ``MIN_SIMILARITY``. Rounds go on, in the buckets that still hold several classes,
-   until one finds no new link. So buckets are compared in time linear in their rows, no bucket is gathered
-   or capped, and links not met directly are found through their class.
-5. Classes are the connected components of the links.
+4. Texts that are equal word by word are one vertex. Vertices that share a bucket are compared: weighted
+   Jaccard similarity of their full shingle sets, computed from the texts, of at least
+   ``MIN_SIMILARITY``. The first round compares each vertex with its bucket's leader, which is the same
+   vertex in most buckets of a group of copies. The next ``ROUNDS`` rounds look at buckets that still hold
+   several classes: up to ``SMALL`` vertices are compared pair by pair, of more each with the two that
+   follow it in a random block of about ``BLOCK``. So a bucket costs time linear in its rows, none is
+   gathered or capped, and in a large group each vertex meets a few dozen others over all bands.
+5. Classes are the connected components of the links; links not met directly are found through them.
 
 Defined results: documents without a word (NULL and empty texts too) are classes of their own. Texts of
 fewer than ``SHINGLE`` words have one shingle. A class is named by its least doc_id; NULL ids come last.
@@ -45,7 +46,8 @@ MIN_SIMILARITY = 0.8
 BANDS, BAND_ROWS = 16, 4
 COMMON = 0.01
 IDF_RANGE = 0.25
-BLOCK = 32
+ROUNDS = 2
+SMALL, BLOCK = 8, 32
 _TABLE = 1 << 11
 _PIECE = 512
 
@@ -147,6 +149,12 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return shared / (total - shared) if total > shared else 1.0
 
 
+def narrow(shingles: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles by the upper half of their hash, ascending, for comparing two texts; equal ones are added up."""
+    values, inverse = np.unique((shingles >> np.uint64(32)).astype(np.uint32), return_inverse=True)
+    return values, np.bincount(inverse, weights, len(values)).astype(np.float32)
+
+
 def common_shingles(texts: DataFrame, size: int, common: float) -> DataFrame:
     """Shingles in more than ``common`` of all rows, with the number of rows they were counted in.
 
@@ -227,11 +235,11 @@ def _shingles_of(sources: DataFrame, keys: DataFrame, chosen: DataFrame, shared,
 
     def run(batches) -> Iterator[dict[str, list]]:
         for batch in batches:
-            found = [shared.value(word_hashes(t), size, idf_range) for t in batch.column(1).to_pylist()]
+            found = [narrow(*shared.value(word_hashes(t), size, idf_range)) for t in batch.column(1).to_pylist()]
             yield {
                 "key": batch.column(0),
                 "shingles": [s.tobytes() for s, _ in found],
-                "weights": [w.astype(np.float32).tobytes() for _, w in found],
+                "weights": [w.tobytes() for _, w in found],
             }
 
     return map_batches(texts, run, "key binary, shingles binary, weights binary")
@@ -244,7 +252,7 @@ def _verified(pairs: DataFrame, payload: DataFrame, min_similarity: float) -> Da
 
     def run(batches) -> Iterator[dict[str, list]]:
         def read(x):
-            return np.frombuffer(x["shingles"], np.uint64), np.frombuffer(x["weights"], np.float32)
+            return np.frombuffer(x["shingles"], np.uint32), np.frombuffer(x["weights"], np.float32)
 
         for batch in batches:
             a, b = (batch.column(i).to_pylist() for i in (2, 3))
@@ -255,26 +263,44 @@ def _verified(pairs: DataFrame, payload: DataFrame, min_similarity: float) -> Da
     return found.withColumn("linked", F.col("similarity") >= min_similarity)
 
 
-def _pairs(members: DataFrame, turn: int, block: int) -> DataFrame:
-    """Pairs to compare: each member with its bucket's and its block's leader, if of another class."""
-    order = F.xxhash64("key", F.lit(turn))
-    leader = F.min_by(F.struct("key", "class"), order)
-    sizes = members.groupBy("bucket").agg(
-        leader.alias("_first"), F.count("*").alias("_n"), F.min("class").alias("_low"), F.max("class").alias("_high")
-    )
-    open_buckets = sizes.filter(F.col("_low") != F.col("_high")).drop("_low", "_high")
-    placed = members.join(open_buckets, "bucket").withColumn(
-        "_block", F.pmod(F.xxhash64("key", F.lit(-1 - turn)), F.ceil(F.col("_n") / block))
-    )
-    blocks = placed.groupBy("bucket", "_block").agg(F.min_by(F.struct("key", "class"), F.xxhash64("key", F.lit(turn + 1000))).alias("_second"))
-    near = placed.join(blocks, ["bucket", "_block"])
-    # One row per member: both of its leaders, without those of its own class.
-    leaders = F.filter(F.array_distinct(F.array("_first", "_second")), lambda x: x["class"] != F.col("class"))
-    return (
-        near.select("key", F.explode(leaders).alias("to"))
-        .select(F.least("key", "to.key").alias("u"), F.greatest("key", "to.key").alias("v"))
-        .distinct()
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+def _leader_pairs(buckets: DataFrame) -> DataFrame:
+    """Each vertex with the leader of each of its buckets."""
+    leaders = buckets.groupBy("bucket").agg(F.min_by("key", F.xxhash64("key")).alias("b"))
+    return _ordered(buckets.join(leaders, "bucket").filter("key != b").select(F.col("key").alias("a"), "b"))
+
+
+def _near_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs of different classes within the buckets that hold several."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("class").alias("_low"), F.max("class").alias("_high"))
+    mixed = sizes.filter(F.col("_low") != F.col("_high")).select("bucket", "_n")
+    blocks = F.when(F.col("_n") <= SMALL, F.lit(1)).otherwise(F.ceil(F.col("_n") / BLOCK))
+    placed = members.join(mixed, "bucket").withColumn("_block", F.pmod(F.xxhash64("key", "bucket", F.lit(turn)), blocks))
+    # A block holds about BLOCK vertices, at random.
+    cell = F.struct(F.xxhash64("key", F.lit(turn)).alias("order"), "key", "class")
+    cells = placed.groupBy("bucket", "_block", "_n").agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
+    reach = F.when(F.col("_n") <= SMALL, F.lit(SMALL)).otherwise(F.lit(2))
+    pairs = F.flatten(
+        F.transform(
+            "_cells",
+            lambda x, i: F.transform(
+                F.filter(F.slice("_cells", i + 2, reach), lambda y: y["class"] != x["class"]),
+                lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")),
+            ),
+        )
     )
+    return _ordered(cells.select(F.explode(pairs).alias("p")).select("p.a", "p.b"))
+
+
+def _with_class(rows: DataFrame, roots: DataFrame | None, column: str) -> DataFrame:
+    """Replace the class in ``column`` by the root it was joined to."""
+    if roots is None:
+        return rows
+    joined = rows.join(roots, rows[column] == roots["u"], "left")
+    return joined.withColumn(column, F.coalesce("root", column)).drop("u", "root")
 
 
 def classes(
@@ -286,9 +312,10 @@ def classes(
     min_similarity: float = MIN_SIMILARITY,
     common: float = COMMON,
     idf_range: float = IDF_RANGE,
-    block: int = BLOCK,
+    rounds: int = ROUNDS,
 ) -> DataFrame:
-    """One row per document: doc_id, text_hash, class_id (least doc_id of the class) and kept."""
+    """One row per document: doc_id, text_hash, class_id (least doc_id of the class), kept and
+    has_words."""
     prepare(docs.sparkSession)
     text = text_or_empty(text_col)
     keys, shared = sketch(docs, id_col, text_col, shingle, common, idf_range)
@@ -299,34 +326,27 @@ def classes(
     buckets = materialize(rows.join(shared_buckets, "bucket"), "buckets")
     chosen = buckets.select("key").distinct()
     payload = materialize(_shingles_of(sources, keys, chosen, shared, shingle, idf_range), "shingles")
-    roots = tried = None
-    links, turn = [], 0
-    while True:
-        members = buckets.withColumn("class", F.col("key"))
-        if roots is not None:
-            members = buckets.join(roots, buckets["key"] == roots["u"], "left").select(
-                "key", "bucket", F.coalesce("root", "key").alias("class")
-            )
-        pairs = _pairs(members, turn, block)
+    labels, tried = keys.select("doc_id", "text_hash", F.col("key").alias("class")), None
+    members = buckets.withColumn("class", F.col("key"))
+    for turn in range(1 + rounds):
+        pairs = _near_pairs(members, turn) if turn else _leader_pairs(buckets)
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         found = materialize(_verified(pairs, payload, min_similarity), f"compared-{turn}")
-        new = found.filter("linked").select("u", "v")
-        if new.isEmpty():
-            break
-        links.append(new)
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.unionByName(more)
-        roots = components(edges)
-        failed = found.filter("not linked").select("u", "v")
-        tried = failed if tried is None else tried.unionByName(failed)
-        turn += 1
-    if roots is not None:
-        labelled = keys.join(roots, keys["key"] == roots["u"], "left").withColumn("class", F.coalesce("root", "key")).drop("u", "root")
-    else:
-        labelled = keys.withColumn("class", F.col("key"))
-    labelled = labelled.drop("bands")
+        compared = found.select("u", "v")
+        tried = compared if tried is None else tried.unionByName(compared)
+        links = found.filter("linked").select("u", "v")
+        if links.isEmpty():
+            continue
+        # Links between the classes so far; a class is joined to the least of those it reaches.
+        if turn:
+            now = members.select("key", "class").distinct()
+            for end in ("u", "v"):
+                links = links.join(now.select(F.col("key").alias(end), F.col("class").alias(f"_{end}")), end).drop(end).withColumnRenamed(f"_{end}", end)
+        roots = components(links)
+        members = materialize(_with_class(members, roots, "class"), f"members-{turn}")
+        labels = materialize(_with_class(labels, roots, "class"), f"labels-{turn}")
+    labelled = labels
     # The least row of each class; NULL ids sort last.
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
     firsts = labelled.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min(place).alias("_first"))
@@ -336,6 +356,7 @@ def classes(
         "text_hash",
         F.coalesce(F.col("_first.doc_id"), F.col("doc_id")).alias("class_id"),
         (F.col("class").isNull() | (F.col("_first") == place)).alias("kept"),
+        F.col("class").isNotNull().alias("has_words"),
     )
 
 
@@ -343,11 +364,11 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """One document of each class, with all columns of ``docs``."""
     found = classes(docs, id_col=id_col, text_col=text_col, **options).filter("kept")
     kept = materialize(
-        found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("_copies")), "kept"
-    ).select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"), "_copies")
+        found.groupBy("doc_id", "text_hash", "has_words").agg(F.count("*").alias("_copies")), "kept"
+    ).select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"), F.col("has_words").alias("_words"), "_copies")
     text = text_or_empty(text_col)
     # A row without words is a class of its own, and so stays however often it occurs.
-    rows = docs.withColumn("_words", F.lower(text).rlike(r"(?U)\w")).withColumn("_own_hash", F.xxhash64(text))
+    rows = docs.withColumn("_own_hash", F.xxhash64(text))
     chosen = rows.join(kept, rows[id_col].eqNullSafe(kept["_kept_id"]) & (rows["_own_hash"] == kept["_kept_hash"]))
     single = chosen.filter((F.col("_copies") == 1) | ~F.col("_words"))
     out = single
