@@ -227,7 +227,8 @@ def _shingles_of(sources: DataFrame, keys: DataFrame, chosen: DataFrame, shared,
     rows = keys.join(chosen, "key", "left_semi").groupBy("key").agg(F.min(place).alias("at"))
     named = materialize(rows.select("key", F.col("at.doc_id").alias("_id1"), F.col("at.text_hash").alias("_hash1")), "vertices")
     same = sources["_id0"].eqNullSafe(named["_id1"]) & (sources["_hash0"] == named["_hash1"])
-    texts = sources.join(named, same).select("key", "_text")
+    # A merge join at every size: whether the vertices happen to be few enough to broadcast shall not matter.
+    texts = sources.join(named.hint("merge"), same).select("key", "_text")
     repeated = keys.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1")
     if not repeated.isEmpty():
         # Rows equal in id and text stand for one vertex, so all but one of them go.
