@@ -13,10 +13,14 @@
 4. Texts that are equal word by word are one vertex. Vertices that share a bucket are compared: weighted
    Jaccard similarity of their full shingle sets, computed from the texts, of at least
    ``MIN_SIMILARITY``. The first round compares each vertex with its bucket's leader, which is the same
-   vertex in most buckets of a group of copies. The next ``ROUNDS`` rounds look at buckets that still hold
-   several classes: up to ``SMALL`` vertices are compared pair by pair, of more each with the two that
-   follow it in a random block of about ``BLOCK``. So a bucket costs time linear in its rows, none is
-   gathered or capped, and in a large group each vertex meets a few dozen others over all bands.
+   vertex in most buckets of a group of copies. The next round looks at buckets that still hold several
+   classes: up to ``SMALL`` vertices are compared pair by pair, of more each with the two that follow it in
+   a random block of about ``BLOCK``, which joins most of what belongs together. The vertices of larger
+   buckets that then still hold several classes go through an exact prefix join: a vertex is filed under
+   those of its shingles, rarest first, of which one must be shared by any text at least
+   ``MIN_SIMILARITY`` alike. All pairs of different classes filed under one shingle are compared, unless
+   their sizes and the places of that shingle rule the similarity out. So each two vertices that share a
+   bucket are compared, are ruled out by a bound, or are of one class already; no bucket is capped.
 5. Classes are the connected components of the links; links not met directly are found through them.
 
 Defined results: documents without a word (NULL and empty texts too) are classes of their own. Texts of
@@ -46,8 +50,9 @@ MIN_SIMILARITY = 0.8
 BANDS, BAND_ROWS = 16, 4
 COMMON = 0.01
 IDF_RANGE = 0.25
-ROUNDS = 2
 SMALL, BLOCK = 8, 32
+# Counters for shingles of vertices in crowded buckets; shingles that share one only cost time.
+COUNTERS = 1 << 21
 _TABLE = 1 << 11
 _PIECE = 512
 
@@ -274,10 +279,15 @@ def _leader_pairs(buckets: DataFrame) -> DataFrame:
     return _ordered(buckets.join(leaders, "bucket").filter("key != b").select(F.col("key").alias("a"), "b"))
 
 
-def _near_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of different classes within the buckets that hold several."""
+def _mixed(members: DataFrame) -> DataFrame:
+    """The buckets that hold several classes, and how many vertices."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("_n"), F.min("class").alias("_low"), F.max("class").alias("_high"))
-    mixed = sizes.filter(F.col("_low") != F.col("_high")).select("bucket", "_n")
+    return sizes.filter(F.col("_low") != F.col("_high")).select("bucket", "_n")
+
+
+def _near_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs of different classes within the buckets that hold several: all of up to ``SMALL`` vertices, some of more."""
+    mixed = _mixed(members)
     blocks = F.when(F.col("_n") <= SMALL, F.lit(1)).otherwise(F.ceil(F.col("_n") / BLOCK))
     placed = members.join(mixed, "bucket").withColumn("_block", F.pmod(F.xxhash64("key", "bucket", F.lit(turn)), blocks))
     # A block holds about BLOCK vertices, at random.
@@ -296,6 +306,79 @@ def _near_pairs(members: DataFrame, turn: int) -> DataFrame:
     return _ordered(cells.select(F.explode(pairs).alias("p")).select("p.a", "p.b"))
 
 
+def _shingle_counts(payload: DataFrame) -> np.ndarray:
+    """Per counter, how many vertices have a shingle that it stands for; at least the shingle's own number."""
+
+    def count(batches) -> Iterator[dict[str, pa.Array]]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for shingles in batch.column(0).to_pylist():
+                total[np.frombuffer(shingles, np.uint32) & np.uint32(COUNTERS - 1)] += 1
+        at = np.flatnonzero(total)
+        yield {"at": pa.array(at.astype(np.int32)), "n": pa.array(total[at])}
+
+    counted = map_batches(payload.select("shingles"), count, "at int, n bigint")
+    found = counted.groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(COUNTERS, np.int32)
+    total[found["at"].to_numpy()] = np.minimum(found["n"].to_numpy(), np.iinfo(np.int32).max)
+    return total
+
+
+def _exact_pairs(members: DataFrame, payload: DataFrame, min_similarity: float) -> DataFrame | None:
+    """All pairs of different classes that may be ``min_similarity`` alike, of the vertices in buckets of more than
+    ``SMALL`` that hold several classes; None if there are no such buckets.
+
+    In one order of all shingles, here by number of vertices, what two texts share weighs no more than the
+    rest of either text from their first common shingle on, so at that shingle both rests reach the weight
+    that two texts of their sizes must share. A vertex is filed under the shingles whose rest is large enough
+    for any partner. Shingles of one vertex are left out by the counters, those of one class by a count; of
+    the class most frequent at a shingle, no pairs are formed.
+    """
+    crowded = _mixed(members).filter(F.col("_n") > SMALL).select("bucket")
+    chosen = materialize(members.join(crowded, "bucket", "left_semi").select("key", "class").distinct(), "crowded")
+    if chosen.isEmpty():
+        return None
+    rows = payload.join(chosen, "key").select("shingles", "weights", "key", "class")
+    shared = payload.sparkSession.sparkContext.broadcast(_shingle_counts(rows))
+    # Rounding shall not rule out a pair.
+    least = min_similarity * (1 - 1e-4)
+
+    def file(batches) -> Iterator[dict[str, pa.Array]]:
+        for batch in batches:
+            columns = [[], [], []]
+            lengths = []
+            for shingles, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                shingles, weights = np.frombuffer(shingles, np.uint32), np.frombuffer(weights, np.float32)
+                counts = shared.value[shingles & np.uint32(COUNTERS - 1)]
+                order = np.lexsort((shingles, counts))
+                rest = np.cumsum(weights[order][::-1], dtype=float)[::-1]
+                keep = (rest >= least * rest[0]) & (counts[order] > 1)
+                for column, values in zip(columns, (shingles[order][keep], np.full(keep.sum(), rest[0]), rest[keep]), strict=True):
+                    column.append(values)
+                lengths.append(int(keep.sum()))
+            again = pa.array(np.repeat(np.arange(len(lengths)), lengths))
+            shingle, size, rest = (pa.array(np.concatenate(c)) for c in columns)
+            yield {
+                "shingle": shingle.cast(pa.int64()),
+                "key": batch.column(2).take(again),
+                "class": batch.column(3).take(again),
+                "size": size,
+                "rest": rest,
+            }
+
+    filed = materialize(map_batches(rows, file, "shingle bigint, key binary, class binary, size double, rest double"), "filed")
+    by_class = filed.groupBy("shingle", "class").agg(F.count("*").alias("n"))
+    mixed = by_class.groupBy("shingle").agg(F.max_by("class", F.struct("n", "class")).alias("most"), F.count("*").alias("k")).filter("k > 1")
+    placed = materialize(filed.join(mixed.drop("k"), "shingle"), "filed-mixed")
+    left = placed.filter(F.col("class") != F.col("most")).select(
+        "shingle", F.col("key").alias("a"), F.col("class").alias("_class"), F.col("size").alias("_size"), F.col("rest").alias("_rest")
+    )
+    may_link = F.least("rest", "_rest") * (1 + least) >= (F.col("size") + F.col("_size")) * least
+    once = (F.col("class") == F.col("most")) | (F.col("a") < F.col("key"))
+    pairs = left.join(placed, (left["shingle"] == placed["shingle"]) & (F.col("class") != F.col("_class")) & once & may_link)
+    return _ordered(pairs.select("a", F.col("key").alias("b")))
+
+
 def _with_class(rows: DataFrame, roots: DataFrame | None, column: str) -> DataFrame:
     """Replace the class in ``column`` by the root it was joined to."""
     if roots is None:
@@ -313,7 +396,6 @@ def classes(
     min_similarity: float = MIN_SIMILARITY,
     common: float = COMMON,
     idf_range: float = IDF_RANGE,
-    rounds: int = ROUNDS,
 ) -> DataFrame:
     """One row per document: doc_id, text_hash, class_id (least doc_id of the class), kept and
     has_words."""
@@ -329,8 +411,13 @@ def classes(
     payload = materialize(_shingles_of(sources, keys, chosen, shared, shingle, idf_range), "shingles")
     labels, tried = keys.select("doc_id", "text_hash", F.col("key").alias("class")), None
     members = buckets.withColumn("class", F.col("key"))
-    for turn in range(1 + rounds):
-        pairs = _near_pairs(members, turn) if turn else _leader_pairs(buckets)
+    for turn in range(3):
+        if turn < 2:
+            pairs = _near_pairs(members, turn) if turn else _leader_pairs(buckets)
+        else:
+            pairs = _exact_pairs(members, payload, min_similarity)
+        if pairs is None:
+            break
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         found = materialize(_verified(pairs, payload, min_similarity), f"compared-{turn}")

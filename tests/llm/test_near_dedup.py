@@ -123,3 +123,34 @@ def test_common_shingles_counts(documents):
     counts = near_dedup.common_shingles(docs.select("text"), 5, 0.01)
     assert counts.agg(F.sum("rows")).first()[0] == 200
     assert max(r["n"] for r in counts.collect()) == 200
+
+
+def test_a_crowded_bucket_is_compared_as_by_brute_force(documents):
+    """Most texts are one passage and a long own part, too long to be alike; a few with a short own part are."""
+    rng = random.Random(8)
+    passage = sentence(rng, 160)
+    rows = [(i, " ".join([*passage, *sentence(rng, 36)])) for i in range(300)]
+    # Only with each other above 0.8, and what they share is in all texts; the second kind lacks a piece of the passage.
+    rows += [(300 + i, " ".join([*passage, *sentence(rng, 4)])) for i in range(6)]
+    rows += [(400 + i, " ".join([*passage[:118], *sentence(rng, 3)])) for i in range(6)]
+    texts = dict(rows)
+    sets = {i: shingles(t) for i, t in texts.items()}
+    # No shingle counts as common, so all weigh the same.
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(documents(rows), common=2.0).collect()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    below = above = 0
+    for i in texts:
+        for j in filter(i.__gt__, texts):
+            alike = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            above, below = above + (alike >= 0.8), below + (0.6 < alike < 0.8)
+            if alike >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert above == 30 and below > 1000 and len({find(i) for i in texts}) == 302
+    assert got == {i: find(i) for i in texts}
