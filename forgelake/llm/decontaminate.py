@@ -1,27 +1,31 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment (operator 3).
+"""Benchmark decontamination: shared words, then Smith-Waterman alignment (operator 3).
 
-Two passes over the documents. The first counts in how many documents each word n-gram of a test item
-occurs. The seeds of an item are the rarer half of its n-grams, so that every item has seeds, however
-often its text was copied. The second pass joins documents to items by seeds, cuts a window around the
-diagonals the seeds lie on, and aligns item and window word by word. The score is the alignment's share
-of the item's own score: 1 for a whole copy, less with edits. Items are few beside documents: they are
-broadcast in blocks of at most ``BLOCK_WORDS`` words on average, and each block is held against all
-documents, so nothing about a document is shuffled and a passage in a third of all documents is no
-hot key.
+One pass over the documents finds every test item whose best local alignment with the document reaches
+the least score. The score is the alignment's share of the item's own score: 1 for a whole copy, less
+with edits. An item is aligned with the places that three bounds leave, none of which can rule out an
+alignment that reaches the score:
 
-Before aligning, the words an item shares with the window give an upper bound of the score, which leaves
-out only what cannot reach the threshold.
+1. At least ``min_score`` of the item's words occur in the document. Documents are held against all items
+   at once, by lists of the items each word occurs in.
+2. So many of the document's words within the longest passage such an alignment can cover are words of the
+   item. Passages that overlap are one place.
+3. Matches for all words of the item in some part of the document, less a step for each word in between,
+   make up the score; and so do the place's words when none counts more often than the item has it.
+
+Items are few beside documents: they are broadcast in blocks of at most ``BLOCK_WORDS`` words on average,
+and each block is held against all documents, so nothing about a document is shuffled and a passage in a
+third of all documents is no hot key.
 
 Defined results: documents and items with a NULL or empty text match nothing. Items of fewer than
-``SEED_WORDS`` words have one seed: all their words. Items with the same text all match. Rows that
-repeat are judged one by one. Of several places in one document the best counts, the first on a tie.
-An empty benchmark or table gives no matches.
+``WHOLE_WORDS`` words match only as a whole, all their words in a row. Items with the same text all match.
+Rows that repeat are judged one by one. Of several places in one document the best counts, the first on a
+tie. An empty benchmark or table gives no matches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,9 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forgelake.llm.common import map_batches, prepare, text_or_empty, type_of
-from forgelake.llm.words import WORD, ngram_hashes, word_hashes
+from forgelake.llm.words import WORD, word_hashes
 
-SEED_WORDS = 3
+# Items of fewer words match only as a whole.
+WHOLE_WORDS = 3
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 # Words of test items that are broadcast at once.
@@ -42,58 +47,54 @@ _BITS = 20
 
 @dataclass
 class Items:
-    """Test items with the n-grams that are looked up, by length."""
+    """Test items, and for each of their words the items it occurs in."""
 
     ids: list
     words: list[np.ndarray]
-    # Per n: sorted distinct n-grams, and for each the (item, position) pairs between two offsets.
-    grams: dict[int, np.ndarray] = field(default_factory=dict)
-    places: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
-    marks: dict[int, np.ndarray] = field(default_factory=dict)
+    lengths: np.ndarray
+    # Sorted distinct words; per item the numbers of its words there and how often it has each.
+    vocabulary: np.ndarray
+    numbers: list[np.ndarray]
+    counts: list[np.ndarray]
+    # For each word the items that have it and how often, between two offsets.
+    first: np.ndarray
+    item: np.ndarray
+    often: np.ndarray
+    marks: np.ndarray
 
     @staticmethod
-    def of(rows: list[tuple], seed_words: int) -> Items:
-        found = Items([], [])
+    def of(rows: list[tuple]) -> Items:
+        ids, words = [], []
         for key, text in rows:
-            words = word_hashes(text or "")
-            if len(words):
-                found.ids.append(key)
-                found.words.append(words)
-        found.index([np.ones(max(1, len(w) - seed_words + 1), bool) for w in found.words], seed_words)
-        return found
-
-    def index(self, kept: list[np.ndarray], seed_words: int) -> None:
-        by_n: dict[int, list] = {}
-        for item, (words, keep) in enumerate(zip(self.words, kept, strict=True)):
-            n = min(seed_words, len(words))
-            at = np.flatnonzero(keep)
-            by_n.setdefault(n, []).append((ngram_hashes(words, n)[at], np.full(len(at), item), at))
-        self.grams, self.places, self.marks = {}, {}, {}
-        for n, parts in by_n.items():
-            hashes, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(hashes, kind="stable")
-            grams, first = np.unique(hashes[order], return_index=True)
-            self.grams[n] = grams
-            self.places[n] = (np.append(first, len(hashes)), item[order], at[order])
-            marks = np.zeros(1 << _BITS, bool)
-            marks[grams >> np.uint64(64 - _BITS)] = True
-            self.marks[n] = marks
-
-    def lookup(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Per n: positions in the text and numbers of the n-grams found there."""
-        for n, grams in self.grams.items():
-            hashes = ngram_hashes(words, n)
-            at = np.flatnonzero(self.marks[n][hashes >> np.uint64(64 - _BITS)])
-            number = np.minimum(np.searchsorted(grams, hashes[at]), len(grams) - 1)
-            same = grams[number] == hashes[at]
-            yield n, at[same], number[same]
-
-
-def rarer_half(words: np.ndarray, frequency: dict[int, int], seed_words: int) -> np.ndarray:
-    """Which n-grams of an item become seeds: those not above its median document frequency."""
-    hashes = ngram_hashes(words, min(seed_words, len(words)))
-    counts = np.array([frequency.get(h, 0) for h in hashes.tolist()])
-    return counts <= np.sort(counts)[(len(counts) - 1) // 2]
+            found = word_hashes(text or "")
+            if len(found):
+                ids.append(key)
+                words.append(found)
+        lengths = np.array([len(w) for w in words], np.int64)
+        vocabulary = np.unique(np.concatenate([*words, np.zeros(0, np.uint64)]))
+        distinct = [np.unique(w, return_counts=True) for w in words]
+        numbers, counts = [np.searchsorted(vocabulary, w) for w, _ in distinct], [n for _, n in distinct]
+        number, often = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (numbers, counts))
+        order = np.argsort(number, kind="stable")
+        item = np.repeat(np.arange(len(words)), [len(n) for n in numbers])[order]
+        first = np.searchsorted(number[order], np.arange(len(vocabulary) + 1))
+        marks = np.zeros(1 << _BITS, bool)
+        marks[vocabulary >> np.uint64(64 - _BITS)] = True
+        return Items(ids, words, lengths, vocabulary, numbers, counts, first, item, often[order], marks)
+
+    def lookup(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the items' words in a text, and their numbers."""
+        at = np.flatnonzero(self.marks[words >> np.uint64(64 - _BITS)])
+        number = np.minimum(np.searchsorted(self.vocabulary, words[at]), len(self.vocabulary) - 1)
+        same = self.vocabulary[number] == words[at]
+        return at[same], number[same]
+
+    def shared(self, number: np.ndarray) -> np.ndarray:
+        """Per item, how many of its words are among the given ones, each as often as given at most."""
+        number, given = np.unique(number, return_counts=True)
+        length = self.first[number + 1] - self.first[number]
+        rows = np.repeat(self.first[number] - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
+        return np.bincount(self.item[rows], np.minimum(self.often[rows], np.repeat(given, length)), len(self.ids))
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
@@ -120,40 +121,48 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return score, end - length, end
 
 
+def _places(at: np.ndarray, need: int, width: int) -> Iterator[tuple[int, int]]:
+    """Ranges of the ascending positions ``at`` that hold all passages of ``width`` words with ``need`` of them."""
+    starts = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < width) if len(at) >= need else np.zeros(0, np.int64)
+    if not len(starts):
+        return
+    apart = np.flatnonzero(at[starts[1:]] - at[starts[:-1] + need - 1] >= width) + 1
+    for part in np.split(starts, apart):
+        yield int(part[0]), int(part[-1]) + need
+
+
 def matches(words: np.ndarray, items: Items, min_score: float) -> list[tuple[int, float, int, int]]:
     """Items found in a text: number, score, start and end in words."""
     found = []
-    pairs = []
-    for n, at, number in items.lookup(words):
-        if not len(at):
-            continue
-        first, item, place = items.places[n]
-        counts = first[number + 1] - first[number]
-        rows = np.repeat(first[number] - np.append(0, np.cumsum(counts)[:-1]), counts) + np.arange(counts.sum())
-        pairs.append((item[rows], np.repeat(at, counts) - place[rows]))
-    if not pairs:
+    at, number = items.lookup(words)
+    if not len(at):
         return found
-    item, diagonal = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    order = np.lexsort((diagonal, item))
-    item, diagonal = item[order], diagonal[order]
-    lengths = np.array([len(w) for w in items.words])[item]
-    apart = np.append(True, (item[1:] != item[:-1]) | (np.diff(diagonal) > lengths[1:]))
-    starts = np.flatnonzero(apart)
-    best: dict[int, tuple[float, int, int]] = {}
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(item)], strict=True):
-        target = items.words[item[a]]
-        slack = len(target) // 2 + 1
-        low = max(0, int(diagonal[a]) - slack)
-        window = words[low : int(diagonal[b - 1]) + len(target) + slack]
-        # Words of the item that the window has at all bound the score from above.
-        if np.count_nonzero(np.isin(target, window)) < min_score * len(target):
+    for key in np.flatnonzero(items.shared(number) >= min_score * items.lengths - 1e-9).tolist():
+        target, length = items.words[key], len(items.words[key])
+        least = min_score if length >= WHOLE_WORDS else 1.0
+        need = max(1, int(np.ceil(least * length - 1e-9)))
+        # Every word between the matches costs a step, and only so many leave the score.
+        width = length + int(MATCH * length * (1 - least) / -max(MISMATCH, GAP) + 1e-9)
+        where = np.minimum(np.searchsorted(items.numbers[key], number), len(items.numbers[key]) - 1)
+        own = items.numbers[key][where] == number
+        hits, where = at[own], where[own]
+        # A match for each of the item's words from one to another, less the steps in between.
+        slope = (MATCH + 1) * np.arange(len(hits)) - hits
+        if (slope - np.minimum.accumulate(slope)).max(initial=0) + MATCH < least * MATCH * length - 1e-9:
             continue
-        score, start, end = align(target, window)
-        share = score / (MATCH * len(target))
-        key = int(item[a])
-        if share >= min_score and share > best.get(key, (0.0,))[0]:
-            best[key] = (share, low + start, low + end)
-    return [(k, *v) for k, v in sorted(best.items())]
+        best = (0.0, 0, 0)
+        for a, b in _places(hits, need, width):
+            place = hits[a:b]
+            if np.minimum(np.bincount(where[a:b], minlength=len(items.counts[key])), items.counts[key]).sum() < need:
+                continue
+            low = int(place[0])
+            score, start, end = align(target, words[low : int(place[-1]) + 1])
+            share = score / (MATCH * length)
+            if share >= least and share > best[0]:
+                best = (share, low + start, low + end)
+        if best[0]:
+            found.append((key, *best))
+    return found
 
 
 def _spans(text: str, found: list[tuple[int, float, int, int]]) -> list[tuple[int, int]]:
@@ -166,7 +175,6 @@ def find(
     docs: DataFrame,
     benchmark: DataFrame,
     *,
-    seed_words: int = SEED_WORDS,
     min_score: float = MIN_SCORE,
     block_words: int = BLOCK_WORDS,
     text_col: str = "text",
@@ -193,11 +201,9 @@ def find(
     out = docs.withColumn(MATCHES, F.array().cast(T.ArrayType(match)))
     for number in range(blocks):
         mine = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == number)
-        block = Items.of([(r["id"], r["text"]) for r in mine.orderBy("id", "text").collect()], seed_words)
+        block = Items.of([(r["id"], r["text"]) for r in mine.orderBy("id", "text").collect()])
         if not block.ids:
             continue
-        frequency = _document_frequency(docs.select(text_or_empty(text_col)), spark.sparkContext.broadcast(block))
-        block.index([rarer_half(w, frequency, seed_words) for w in block.words], seed_words)
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared) -> Iterator[dict[str, list]]:
@@ -221,25 +227,6 @@ def find(
     return out
 
 
-def _document_frequency(texts: DataFrame, shared) -> dict[int, int]:
-    """In how many rows each n-gram of the items occurs; at most one row per n-gram and task is shuffled,
-    and the result has one per n-gram of the block."""
-
-    def count(batches) -> Iterator[dict[str, list]]:
-        items = shared.value
-        totals = {n: np.zeros(len(g), np.int64) for n, g in items.grams.items()}
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for n, _, number in items.lookup(word_hashes(text)):
-                    totals[n][np.unique(number)] += 1
-        for n, total in totals.items():
-            seen = np.flatnonzero(total)
-            yield {"gram": items.grams[n][seen].view(np.int64).tolist(), "n": total[seen].tolist()}
-
-    rows = map_batches(texts, count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    return {r["gram"] % (1 << 64): r["n"] for r in rows}
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no test item was found."""
     return find(docs, benchmark, **options).filter(F.size(MATCHES) == 0).drop(MATCHES)

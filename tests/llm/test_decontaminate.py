@@ -100,3 +100,46 @@ def test_spans_name_the_passage(documents, benchmark):
 def test_empty_tables(documents, benchmark):
     assert found(documents([]), benchmark) == {}
     assert found(documents([(1, "a b c")]), benchmark.limit(0)) == {1: {}}
+
+
+@pytest.mark.parametrize("every", [2, 3, 4, 5])
+@pytest.mark.parametrize("edit", ["replace", "insert", "drop"])
+def test_an_edited_copy_that_is_the_only_trace_scores_as_in_the_plain_table(every, edit):
+    """Edits up to and beyond the threshold; few or no 3-grams of the item are left in any document."""
+    rng = random.Random(every)
+    passed = 0
+    for n in (5, 12, 30, 31):
+        item = words(rng, n)
+        copy = []
+        for i, w in enumerate(item):
+            changed = i % every == every - 1
+            copy += [w, "new"] if changed and edit == "insert" else [w] if not changed else ["new"] * (edit == "replace")
+        text = [*words(rng, 40), *copy, *words(rng, 40)]
+        items = decontaminate.Items.of([(0, " ".join(item)), (1, " ".join(words(rng, 30)))])
+        got = {k: s for k, s, _, _ in decontaminate.matches(word_hashes(" ".join(text)), items, 0.5)}
+        want = plain_smith_waterman(item, text) / (2 * n)
+        assert got == ({0: want} if want >= 0.5 else {})
+        passed += want >= 0.5
+    assert passed == 4 or (every, edit) in {(2, "replace"), (3, "replace"), (2, "drop")}
+
+
+def test_all_documents_and_items_of_a_small_vocabulary_match_the_plain_table():
+    rng = random.Random(9)
+    items = [[f"v{rng.randrange(30)}" for _ in range(rng.randrange(3, 14))] for _ in range(20)]
+    held = decontaminate.Items.of([(i, " ".join(x)) for i, x in enumerate(items)])
+    some = 0
+    for n in range(60):
+        text = [f"v{rng.randrange(30)}" for _ in range(rng.randrange(1, 60))]
+        got = {k: s for k, s, _, _ in decontaminate.matches(word_hashes(" ".join(text)), held, 0.5)}
+        scores = {i: plain_smith_waterman(x, text) / (2 * len(x)) for i, x in enumerate(items)}
+        assert got == {i: s for i, s in scores.items() if s >= 0.5}
+        some += len(got)
+    assert some > 20
+
+
+def test_a_query_finds_an_edited_copy_without_half_of_its_3_grams(documents, benchmark):
+    rng = random.Random(10)
+    item = benchmark.filter("item_id = 6").first()["text"].split()
+    copy = ["other" if i % 4 == 3 else w for i, w in enumerate(item)]
+    got = found(documents([(1, " ".join([*words(rng, 50), *copy, *words(rng, 50)])), (2, " ".join(words(rng, 90)))]), benchmark)
+    assert got[1].keys() == {6} and 0.6 < got[1][6] < 0.7 and got[2] == {}
