@@ -44,6 +44,8 @@ MIN_COUNT = 3
 # Rows of the bit-sliced filter (a power of two), and rows per n-gram.
 ROWS = 1 << 21
 HASHES = 3
+# Standard deviations above the false positives from which n-grams count as covered.
+NOISE = 6
 # Characters looked up at a time.
 _SLICE = 1 << 20
 _WORD = 63
@@ -105,15 +107,22 @@ class LanguageFilter:
                     found[w * _WORD + b] += np.count_nonzero(masks & masks.dtype.type(1 << b))
         return total, found
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def judge(self, text: str | None) -> tuple[str, float, float, int]:
+        """Language, score, share of the n-grams that the language covers beyond its false positives, and their
+        number. The share is 0 if it is within ``NOISE`` standard deviations of the false positives."""
         if not self.languages or not text or not _LETTER.search(text):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0, 0
         total, found = self.hits(text)
         counts = np.maximum(0.0, (found - total * self.false_rates) / (1 - self.false_rates))
         best = int(np.argmax(counts))
         rest = np.delete(counts, best).max(initial=0.0)
         share = counts[best] / (counts[best] + rest) if counts[best] > 0 else 0.0
-        return self.languages[best], float(share)
+        p = self.false_rates[best]
+        clear = counts[best] * (1 - p) > NOISE * np.sqrt(total * p * (1 - p))
+        return self.languages[best], float(share), float(counts[best] / total) if clear else 0.0, total
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.judge(text)[:2]
 
 
 def train(
@@ -198,26 +207,25 @@ def predict(
     model: LanguageFilter,
     keep: list[Column | str],
     text_col: str = "text",
-    names: tuple[str, str] = ("lang_pred", "score"),
+    names: tuple[str, ...] = ("lang_pred", "score"),
 ) -> DataFrame:
-    """The columns ``keep`` of each row, the language and its score, called ``names``; of the row itself
-    nothing but the text is read."""
+    """The columns ``keep`` of each row, the language and its score, called ``names``, with two more names also
+    the covered share and the number of n-grams; of the row itself nothing but the text is read."""
     spark = prepare(docs.sparkSession)
     kept = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     shared = spark.sparkContext.broadcast(model)
     given = [f.name for f in kept.schema.fields[:-1]]
-    lang_name, score_name = names
-
     def run(batches) -> Iterator[dict[str, list]]:
         for batch in batches:
-            found = [shared.value.predict(t) for t in batch.column(len(given)).to_pylist()]
+            found = [shared.value.judge(t) for t in batch.column(len(given)).to_pylist()]
             yield {
                 **{n: batch.column(i) for i, n in enumerate(given)},
-                lang_name: [lang for lang, _ in found],
-                score_name: [score for _, score in found],
+                **{n: [x[i] for x in found] for i, n in enumerate(names)},
             }
 
-    schema = kept.drop("_text").schema.add(lang_name, "string").add(score_name, "double")
+    schema = kept.drop("_text").schema
+    for name, kind in zip(names, ("string", "double", "double", "long"), strict=False):
+        schema = schema.add(name, kind)
     return map_batches(kept, run, schema)
 
 
