@@ -18,6 +18,7 @@ from forgelake.llm import (
     quality,
     token_files,
     toxicity,
+    whitening,
 )
 from forgelake.llm.common import table
 from forgelake.session import scratch_path
@@ -139,3 +140,9 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").filter(~held_out)
     model = toxicity.train(docs.filter(~held_out), labels)
     return toxicity.predict(docs, model, ["doc_id", held_out.alias("held_out")])
+
+
+@query
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found, column, _ = whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    return whitening.by_component(found, column, ["vec_id"])
