@@ -60,6 +60,14 @@ def type_of(df: DataFrame, name: str) -> T.DataType:
     return next(f.dataType for f in df.schema.fields if f.name == name)
 
 
+def free_name(base: str, taken: list[str]) -> str:
+    """A column name that is not taken, whatever the case."""
+    lower = {c.lower() for c in taken}
+    while base.lower() in lower:
+        base = "_" + base
+    return base
+
+
 def row_salt(buckets: int, seed: int = 0) -> Column:
     """A bucket per row that does not follow any column, so that no hot value fills one.
 

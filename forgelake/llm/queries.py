@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgelake.llm import (
+    bpe,
     chat,
     decontaminate,
     html_text,
@@ -146,3 +147,8 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
     found, column, _ = whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
     return whitening.by_component(found, column, ["vec_id"])
+
+
+@query
+def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(table(spark, folder, "documents"), ["doc_id"])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgelake.llm.common import map_batches, prepare
+from forgelake.llm.common import free_name, map_batches, prepare
 from forgelake.session import materialize
 
 COMPONENTS = 16
@@ -223,14 +223,6 @@ def _identity_errors(projected: DataFrame, fits: dict[int, Fit]) -> None:
         f.identity_error = float(np.abs(found[k] / f.n - np.eye(k)).max())
 
 
-def free_name(base: str, taken: list[str]) -> str:
-    """A column name that is not taken, whatever the case."""
-    lower = {c.lower() for c in taken}
-    while base.lower() in lower:
-        base = "_" + base
-    return base
-
-
 def whiten(
     rows: DataFrame, *, vector_col: str = "embedding", components: int = COMPONENTS, weights: str = "one"
 ) -> tuple[DataFrame, str, dict[int, Fit]]:
