@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from forgelake.llm import (
     bpe,
     chat,
+    collocations,
     decontaminate,
     html_text,
     language,
@@ -152,3 +153,57 @@ def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), ["doc_id"])
+
+
+@query
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents").select("text", "lang"))
+
+
+# Runs of each length over whole pieces, with neither chunks nor pruning; whole numbers of 128 bits.
+ORACLES["op13_collocations"] = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), parsed AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w : w <> '') AS w, count(*) AS copies
+  FROM pieces GROUP BY lang, w
+), lengths AS MATERIALIZED (SELECT lang, w, copies, unnest(range(1, 6)) AS words FROM parsed),
+grams AS (
+  SELECT lang, words, copies,
+    unnest(list_transform(range(1, CAST(len(w) AS BIGINT) - words + 2),
+                          lambda i : array_to_string(w[i:i + words - 1], ' '))) AS phrase
+  FROM lengths WHERE len(w) >= words
+), totals AS MATERIALIZED (
+  SELECT lang, CAST(sum(copies * len(w)) AS HUGEINT) AS n FROM parsed GROUP BY lang
+), f AS MATERIALIZED (
+  SELECT lang, phrase, words, CAST(sum(copies) AS HUGEINT) AS n FROM grams GROUP BY ALL HAVING sum(copies) >= 100
+), cuts AS (
+  SELECT lang, phrase, words, n AS a, unnest(range(1, words)) AS k, string_split(phrase, ' ') AS p FROM f WHERE words > 1
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.n AS l, y.n AS r, t.n, (1000 * c.a * t.n) // (x.n * y.n) AS score
+  FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(p[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(p[k + 1:], ' ')
+  JOIN totals t ON t.lang = c.lang
+), weakest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), sizes AS (
+  SELECT lang, n, words, unnest(range(2, words)) AS size, string_split(phrase, ' ') AS p FROM f WHERE words > 2
+), starts AS (
+  SELECT lang, n, size, p, unnest(range(1, words - size + 2)) AS i FROM sizes
+), around AS (
+  SELECT lang, array_to_string(p[i:i + size - 1], ' ') AS phrase, max(n) AS n FROM starts GROUP BY ALL
+), kept AS (
+  SELECT w.* FROM weakest w LEFT JOIN around o ON o.lang = w.lang AND o.phrase = w.phrase
+  WHERE o.n IS NULL OR 100 * o.n < 100 * w.a
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+    CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+    CAST(score AS BIGINT) AS score
+  FROM kept
+)
+SELECT * FROM ranked WHERE rank <= 2000
+"""

@@ -1,0 +1,132 @@
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from forgelake.llm import collocations, queries
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def brute(rows, min_count, max_words=5, top=2000):
+    """The same by plain counting of all runs."""
+    f, n = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", lowered):
+            words = [w for w in re.split("[ \t]+", piece) if w]
+            n[lang] += len(words)
+            for size in range(1, max_words + 1):
+                f.update((lang, *words[i : i + size]) for i in range(len(words) - size + 1))
+    candidates = {k: a for k, a in f.items() if len(k) > 2 and a >= min_count}
+    out = []
+    for (lang, *words), a in candidates.items():
+        score, k = min((1000 * a * n[lang] // (f[lang, *words[:k]] * f[lang, *words[k:]]), k) for k in range(1, len(words)))
+        covered = any(
+            lang == other and len(longer) > len(words) and 100 * b >= 100 * a
+            and any(longer[i : i + len(words)] == words for i in range(len(longer) - len(words) + 1))
+            for (other, *longer), b in candidates.items()
+        )
+        if not covered:
+            out.append((lang, -score, -a, " ".join(words).encode(), f[lang, *words[:k]], f[lang, *words[k:]], n[lang]))
+    ranked, rank = [], Counter()
+    for lang, score, a, phrase, left, right, total in sorted(out):
+        rank[lang] += 1
+        if rank[lang] <= top:
+            ranked.append((lang, rank[lang], phrase.decode(), -a, left, right, total, -score))
+    return ranked
+
+
+def some_rows(seed, n=150):
+    rng = random.Random(seed)
+    words = ["the", "The", "of", "új", "x-y", "'s", "Éa", "a", "b"] + [f"w{i}" for i in range(30)]
+    passage = " ".join(rng.choices(words, k=60))
+    rows = []
+    for i in range(n):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\t", " ", ". ", ",", "\n", " \x0b"]) for _ in range(rng.randrange(80)))
+        rows.append((f"{text} {passage} {text}" if i % 3 == 0 else text, rng.choice(["en", "en", None, "und", "fr"])))
+    return rows + [(None, "en"), ("", None), ("...", "fr"), rows[0], rows[0]]
+
+
+def listed(df):
+    return [tuple(r) for r in df.orderBy("lang", "rank").collect()]
+
+
+@pytest.mark.parametrize("spacing", [1, 3, 1000])
+def test_phrases_equal_plain_counting(spark, spacing):
+    rows = some_rows(spacing)
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    for min_count in (5, 40):
+        assert listed(collocations.mine(docs, min_count=min_count, spacing=spacing)) == brute(rows, min_count)
+    assert listed(collocations.mine(docs, min_count=8, spacing=spacing, top=7, max_words=3)) == brute(rows, 8, 3, 7)
+
+
+@pytest.mark.parametrize("spacing", [1, 2, 5, 100])
+def test_chunks_hold_each_run_once(spacing):
+    rng = random.Random(spacing)
+    for _ in range(50):
+        text = "".join(rng.choice("abc") + rng.choice([" ", " ", " ", "."]) for _ in range(rng.randrange(60))).encode()
+        want, got = Counter(), Counter()
+        for piece in text.split(b"."):
+            w = piece.split()
+            want.update(tuple(w[i : i + n]) for n in range(1, 6) for i in range(len(w) - n + 1))
+        for chunk, last, own in collocations.chunks_of(text, 4, spacing):
+            w = chunk.split(b" ")
+            assert own == (len(w) if last else len(w) - 4)
+            got.update(tuple(w[i : i + n]) for n in range(1, 6) for i in range(own) if i + n <= len(w))
+        assert got == want
+
+
+def test_equal_passages_share_chunks():
+    rng = random.Random(3)
+    passage = " ".join(f"w{rng.randrange(1000)}" for _ in range(400))
+    a, b = (set(c for c, _, _ in collocations.chunks_of(f"{x} {passage} {x}".encode(), 4, 16)) for x in ("left", "right side"))
+    assert len(a & b) > 0.8 * len(a)
+
+
+def test_counter_adds_up_in_parts_and_prunes_only_what_is_rare():
+    rng = random.Random(1)
+    chunks = [("en", " ".join(rng.choices("abcdefgh", k=rng.randrange(5, 30))).encode(), i % 2 == 0, i % 4 + 1) for i in range(200)]
+    counts = []
+    for limit in (1, 50, 10**6):
+        counter, total = collocations._Counter(1, 5, 4, None), Counter()
+        for i, c in enumerate(chunks):
+            counter.add(*c)
+            if len(counter.ids) >= limit or i == len(chunks) - 1:
+                for part in counter.take():
+                    for lang, phrase, words, n in zip(*(part[k] if isinstance(part[k], list) else part[k].to_pylist() for k in ("lang", "phrase", "words", "n")), strict=True):
+                        assert len(phrase.split()) == words
+                        total[lang, phrase] += n
+        counts.append(total)
+    assert counts[0] == counts[1] == counts[2]
+
+
+def test_long_texts_are_cut_between_pieces():
+    text = b"one two. three\tfour, five " * 50
+    parts = list(collocations._slices(text, 40))
+    assert b"".join(parts) == text and len(parts) > 10
+    whole = Counter(collocations.chunks_of(text, 4, 16))
+    assert sum((Counter(collocations.chunks_of(p, 4, 16)) for p in parts), Counter()) == whole
+
+
+def test_corner_cases(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert collocations.mine(empty).collect() == []
+    # Columns that clash with names of the operator are not read.
+    rows = [("a b c", "en")] * 100 + [(None, None)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    for name in ("chunk", "phrase", "words", "n", "a", "l", "rank", "copies", "last"):
+        docs = docs.withColumn(name, F.lit("x"))
+    assert listed(collocations.mine(docs)) == [("en", 1, "a b c", 100, 100, 100, 300, 3000)]
+
+
+def test_products_beyond_64_bits(spark):
+    runs = spark.createDataFrame(
+        [("en", b"a", 1, 3 * 10**12), ("en", b"b", 1, 4 * 10**12), ("en", b"a b", 2, 10**12)], "lang string, phrase binary, words int, n long"
+    )
+    totals = spark.createDataFrame([("en", 7 * 10**12)], "lang string, total long")
+    [row] = collocations.rank_phrases(runs, totals, 10).collect()
+    assert row["score"] == 1000 * 10**12 * 7 * 10**12 // (12 * 10**24)
