@@ -3,17 +3,19 @@
 **Encoding.** Merging pairs by rank cuts a piece of text so that no two neighbours would have merged across
 their border; and a cut in which no two neighbours would is the one that merging makes. So a transducer can
 read bytes from left to right without merging anything: it holds a thread for each suffix of what it has read
-that begins some token. A thread knows the token before that suffix. With each byte, exactly one thread
-ends a token that stands next to its predecessor, and that begins the next thread. What all threads
-have cut alike is emitted; the longest token bounds how far that lies behind. This is the subset construction of
-a nondeterministic transducer with the undecided output kept in the state. States and steps are made when a
-text first needs them, and kept.
+that begins some token. A thread is the token before that suffix and the suffix's place in the tree of tokens.
+With each byte, exactly one thread ends a token that stands next to its predecessor: that token is the step's
+output, and begins the next thread. The sets of threads are the states of the subset construction. A step between
+states is made when texts need it for the second time, and kept; a text that no step leads on is followed by its
+threads alone, which costs less than making states that nothing comes back to. Of the outputs, those on the path that all threads
+share are emitted: how far that lies behind is bounded by the longest tokens.
 
 Whether two tokens can be neighbours follows from the merges along their common border: the pieces at it, and
 the ranks at which each is merged away from it.
 
 A text is split by the pattern first. A piece that is a token is that token; others run through the transducer.
-Pieces repeat, so each worker remembers what short ones gave.
+Words repeat, so each worker remembers what short ones gave: a run of blanks with what follows it is split on its
+own, since a run of white space begins a piece whatever is before it.
 
 **Decoding.** The bytes of tokens are joined, and a state machine over UTF-8 follows token by token, in a table
 of (state, token) that fills as it is used. What is given out always ends at the end of a character, also where
@@ -29,8 +31,11 @@ text of any length is split in slices. An empty table gives no rows.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
-from os.path import commonprefix
+import gc
+import re
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +47,16 @@ from pyspark.sql import types as T
 from forgelake.llm.common import free_name, map_batches, prepare, text_or_empty
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-# Pieces a worker remembers, and the longest of them in characters.
-MAX_PIECES = 250_000
-LONGEST_PIECE = 48
+# Words and pieces a worker remembers, some 200 bytes each, and the longest of them in characters.
+MAX_WORDS = 500_000
+MAX_PIECES = 200_000
+LONGEST_KNOWN = 48
 # States, pairs of tokens and (state, token) steps that are kept.
-MAX_STATES = 20_000
-MAX_PAIRS = 400_000
+MAX_STATES = 40_000
+MAX_PAIRS = 300_000
 MAX_STEPS = 400_000
+# Bytes of a piece after which the transducer emits what is sure.
+EMIT_EVERY = 64
 # Characters of a text that are split at once, about, and ids that are decoded at once.
 SLICE = 1 << 20
 IDS_AT_ONCE = 1 << 16
@@ -57,18 +65,14 @@ _NONE = -1
 
 
 class State:
-    """What a text so far leaves open. A thread: undecided ids, the token before its suffix, the suffix."""
+    """The threads a text so far leaves, longest suffix first: token before the suffix, and the suffix's node."""
 
     __slots__ = ("threads", "steps")
 
-    def __init__(self, threads: tuple):
+    def __init__(self, threads: tuple[tuple[int, int], ...]):
         self.threads = threads
-        self.steps: dict[int, tuple[tuple[int, ...], State]] = {}
-
-    @property
-    def rest(self) -> tuple[int, ...]:
-        """The undecided ids, should the text end here."""
-        return self.threads[-1][0]
+        # For each byte the token that ends with it, and the state after it; None if it was needed once so far.
+        self.steps: dict[int, tuple[int, State] | None] = {}
 
 
 class Transducer:
@@ -77,14 +81,28 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
-        self._prefixes = {t[:n] for t in ranks for n in range(1, len(t))}
+        self._sizes = {i: len(t) for t, i in ranks.items()}
+        # The tree of tokens: children by (node, byte), and for each node its token and depth, and if it has children.
+        self._children: dict[int, int] = {}
+        self._token, self._depth, self._inner = [_NONE], [0], [True]
+        for token, number in ranks.items():
+            node = 0
+            for byte in token:
+                self._inner[node] = True
+                key = node << 8 | byte
+                node = self._children.setdefault(key, len(self._token))
+                if node == len(self._token):
+                    self._token.append(_NONE)
+                    self._depth.append(self._depth[key >> 8] + 1)
+                    self._inner.append(False)
+            self._token[node] = number
         self._borders: dict[int, tuple | None] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._max_states = max_states
         self._restart()
 
     def _restart(self) -> None:
-        self.start = State((((), _NONE, b""),))
+        self.start = State(((_NONE, 0),))
         self._states = {self.start.threads: self.start}
 
     def merge(self, data: bytes) -> tuple[list[bytes], list, list]:
@@ -114,11 +132,12 @@ class Transducer:
 
     def neighbours(self, a: int, b: int) -> bool:
         """Whether merging leaves ``b`` next to ``a``, or alone where ``a`` is none."""
-        found = self._pairs.get((a, b))
+        key = (a + 1) << 32 | b
+        found = self._pairs.get(key)
         if found is None:
             if len(self._pairs) >= MAX_PAIRS:
                 self._pairs.clear()
-            found = self._pairs[a, b] = self._neighbours(a, b)
+            found = self._pairs[key] = self._neighbours(a, b)
         return found
 
     def _neighbours(self, a: int, b: int) -> bool:
@@ -141,58 +160,126 @@ class Transducer:
             else:
                 j += 1
 
-    def _step(self, state: State, byte: int) -> tuple[tuple[int, ...], State]:
-        threads, ended = [], None
-        for undecided, last, suffix in state.threads:
-            suffix += bytes((byte,))
-            if suffix in self._prefixes:
-                threads.append((undecided, last, suffix))
-            if ended is None:
-                token = self.ranks.get(suffix)
-                if token is not None and self.neighbours(last, token):
-                    ended = ((*undecided, token), token, b"")
-        if ended is None:
-            raise ValueError(f"byte {byte} has no token")
-        threads.append(ended)
-        sure = commonprefix([t[0] for t in threads])
-        reached = tuple((t[0][len(sure) :], *t[1:]) for t in threads)
-        if reached not in self._states and len(self._states) >= self._max_states:
-            self._restart()
-        found = sure, self._states.setdefault(reached, State(reached))
-        state.steps[byte] = found
-        return found
+    def _follow(self, threads: Iterable[tuple[int, int]], data: bytes, ended: list[int]) -> list[tuple[int, int]]:
+        """Follow threads through ``data``, and those that begin within it, one after another, longest suffix first. Adds
+        to ``ended`` the token that ends with each byte, and gives the threads that are left."""
+        children, tokens, inner, pairs = self._children, self._token, self._inner, self._pairs
+        found, left, size = [_NONE] * len(data), [], len(data)
+        given = list(threads)
+        first = len(given) - 1
+        for number in range(first + size + 1):
+            if number <= first:
+                last, node = given[number]
+                at = 0
+            else:
+                # All threads that can end a token here have been followed.
+                at = number - first
+                last, node = found[at - 1], 0
+                if last < 0:
+                    raise ValueError(f"byte {data[at - 1]} has no token")
+            while at < size:
+                node = children.get(node << 8 | data[at])
+                if node is None:
+                    break
+                token = tokens[node]
+                if token >= 0 and found[at] < 0:
+                    fits = pairs.get((last + 1) << 32 | token)
+                    if fits or (fits is None and self.neighbours(last, token)):
+                        found[at] = token
+                at += 1
+            else:
+                if inner[node]:
+                    left.append((last, node))
+        ended += found
+        return left
+
+    def _step(self, state: State, byte: int) -> tuple[int, State]:
+        ended: list[int] = []
+        reached = tuple(self._follow(state.threads, bytes((byte,)), ended))
+        after = self._states.get(reached)
+        if after is None:
+            if len(self._states) >= self._max_states:
+                self._restart()
+            after = self._states[reached] = State(reached)
+        state.steps[byte] = ended[0], after
+        return ended[0], after
+
+    def _read(self, data: bytes, threads: State | Sequence[tuple[int, int]], ended: list[int]) -> State | Sequence[tuple[int, int]]:
+        """Add to ``ended`` the token that ends with each byte; the state, or the threads, after the last one."""
+        if not isinstance(threads, State):
+            return self._follow(threads, data, ended)
+        state = threads
+        for at, byte in enumerate(data):
+            step = state.steps.get(byte, False)
+            if step is False:
+                # Needed for the first time: followed by its threads.
+                state.steps[byte] = None
+                return self._follow(state.threads, data[at:], ended)
+            token, state = step or self._step(state, byte)
+            ended.append(token)
+        return state
+
+    def _path(self, ended: list[int], stop: int) -> list[int]:
+        """The tokens that lead to the place ``stop``; ``ended`` has the token that ends at each place from 1."""
+        path = []
+        while stop:
+            path.append(ended[stop - 1])
+            stop -= self._sizes[path[-1]]
+        return path[::-1]
 
     def emit(self, data: Iterable[int]) -> Iterator[int]:
-        """Ids of one piece, each as soon as no further byte can change it."""
-        state = self.start
-        for byte in data:
-            sure, state = state.steps.get(byte) or self._step(state, byte)
-            yield from sure
-        yield from state.rest
+        """Ids of one piece, as soon as no further byte can change them; checked every ``EMIT_EVERY`` bytes."""
+        state, ended, data = self.start, [], iter(data)
+        while part := bytes(islice(data, EMIT_EVERY)):
+            state = self._read(part, state, ended)
+            threads = state.threads if isinstance(state, State) else state
+            # Where the paths of all threads meet.
+            places = {len(ended) - self._depth[node] for _, node in threads}
+            while len(places) > 1:
+                last = max(places)
+                places.remove(last)
+                places.add(last - self._sizes[ended[last - 1]])
+            sure = places.pop()
+            yield from self._path(ended, sure)
+            del ended[:sure]
+        yield from self._path(ended, len(ended))
 
     def piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
-        return [whole] if whole is not None else list(self.emit(data))
+        if whole is not None:
+            return [whole]
+        if len(data) > EMIT_EVERY:
+            return list(self.emit(data))
+        ended: list[int] = []
+        self._read(data, self.start, ended)
+        return self._path(ended, len(ended))
 
 
-class _Pieces(dict):
-    """Ids of pieces as little-endian unsigned 32-bit."""
+class _Known(dict):
+    """What short texts gave. When it is full, it starts again and keeps what is asked for once more."""
 
-    def __init__(self, transducer: Transducer):
+    def __init__(self, make, room: int):
         super().__init__()
-        self._transducer = transducer
+        self._make, self._room, self._before = make, room, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self._transducer.piece(piece.encode()), "<u4").tobytes()
-        if len(piece) <= LONGEST_PIECE:
-            if len(self) >= MAX_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def __missing__(self, text: str) -> bytes:
+        found = self._before.get(text)
+        if found is None:
+            found = self._make(text)
+            if len(text) > LONGEST_KNOWN:
+                return found
+        if len(self) >= self._room // 2:
+            self._before = dict(self)
+            self.clear()
+        self[text] = found
+        return found
 
 
 # A run of white space begins a piece, whatever is before it; so a text may be cut there.
 _CUT = regex.compile(r"(?<=\S)\s")
+# Runs of the blanks that are common, with what follows; and white space of any other kind.
+_WORDS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+_OTHER_BLANKS = regex.compile(r"[^\S \t\n\r]")
 
 
 def slices(text: str, size: int = SLICE) -> Iterator[str]:
@@ -208,16 +295,28 @@ def slices(text: str, size: int = SLICE) -> Iterator[str]:
 
 
 class Encoder:
-    """Ids of whole texts."""
+    """Ids of whole texts, as little-endian unsigned 32-bit."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self._split = regex.compile(pattern).findall
-        self._known = _Pieces(self.transducer)
+        self._pieces = _Known(self._of_piece, MAX_PIECES)
+        self._words = _Known(self._by_piece, MAX_WORDS)
+
+    def _of_piece(self, piece: str) -> bytes:
+        ids = self.transducer.piece(piece.encode())
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _by_piece(self, text: str) -> bytes:
+        return b"".join(map(self._pieces.__getitem__, self._split(text)))
+
+    def _part(self, text: str) -> bytes:
+        if _OTHER_BLANKS.search(text):
+            return self._by_piece(text)
+        return b"".join(map(self._words.__getitem__, _WORDS.findall(text)))
 
     def encode(self, text: str) -> bytes:
-        known = self._known.__getitem__
-        return b"".join([b"".join(map(known, self._split(part))) for part in slices(text)])
+        return b"".join([self._part(part) for part in slices(text)])
 
 
 # Bytes that may follow in each state, and the state after them. 0 is the end of a character; 1 to 3 bytes
@@ -325,6 +424,10 @@ def encoder(path: str, pattern: str) -> Encoder:
     """The encoder of this worker process."""
     if (path, pattern) not in _encoders:
         _encoders[path, pattern] = Encoder(read_ranks(path), pattern)
+        # The tables stay for good: the collector need not look through them again and again.
+        gc.collect()
+        gc.freeze()
+        gc.set_threshold(100_000, 50, 100)
     return _encoders[path, pattern]
 
 

@@ -42,7 +42,7 @@ def test_transducer_equals_merging_for_any_vocabulary(seed):
         parts = bpe.Transducer(ranks).merge(data)[0]
         pairs = [a + b for a, b in zip(parts, parts[1:], strict=False) if len(a + b) < 12]
         ranks.setdefault(rng.choice(pairs), len(ranks))
-    own, library = bpe.Transducer(ranks, max_states=50), tiktoken.Encoding("x", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+    own, library = bpe.Transducer(ranks, max_states=rng.choice([5, 50, 5000])), tiktoken.Encoding("x", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
     for n in [1, 2, 3, 5, 9, 30, 200]:
         for _ in range(30):
             text = "".join(rng.choices(letters, k=n))
@@ -62,7 +62,7 @@ def test_ids_are_emitted_as_soon_as_they_are_sure():
     given = 0
     for i in own.emit(watched(data)):
         given += len(own.tokens[i])
-        assert read - given <= 2 * max(map(len, RANKS))
+        assert read - given <= 3 * max(map(len, RANKS)) + bpe.EMIT_EVERY
     assert given == len(data)
 
 
