@@ -48,8 +48,7 @@ from forgelake.llm.common import free_name, map_batches, prepare, text_or_empty
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 # Words and pieces a worker remembers, some 200 bytes each, and the longest of them in characters.
-MAX_WORDS = 500_000
-MAX_PIECES = 200_000
+MAX_KNOWN = 600_000
 LONGEST_KNOWN = 48
 # States, pairs of tokens and (state, token) steps that are kept.
 MAX_STATES = 40_000
@@ -300,20 +299,19 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self._split = regex.compile(pattern).findall
-        self._pieces = _Known(self._of_piece, MAX_PIECES)
-        self._words = _Known(self._by_piece, MAX_WORDS)
-
-    def _of_piece(self, piece: str) -> bytes:
-        ids = self.transducer.piece(piece.encode())
+        self._known = _Known(self._of_word, MAX_KNOWN)
+
+    def _of_word(self, text: str) -> bytes:
+        pieces = self._split(text)
+        if len(pieces) > 1:
+            # Words are kept beside pieces: most are one, and a piece on its own is split to itself.
+            return b"".join(map(self._known.__getitem__, pieces))
+        ids = self.transducer.piece(text.encode())
         return pack(f"<{len(ids)}I", *ids)
 
-    def _by_piece(self, text: str) -> bytes:
-        return b"".join(map(self._pieces.__getitem__, self._split(text)))
-
     def _part(self, text: str) -> bytes:
-        if _OTHER_BLANKS.search(text):
-            return self._by_piece(text)
-        return b"".join(map(self._words.__getitem__, _WORDS.findall(text)))
+        words = self._split(text) if _OTHER_BLANKS.search(text) else _WORDS.findall(text)
+        return b"".join(map(self._known.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
         return b"".join([self._part(part) for part in slices(text)])
@@ -374,6 +372,11 @@ class Tables:
     def __init__(self, tokens: dict[int, bytes]):
         self.tokens = tokens
         self.steps = [_Steps(state, tokens) for state in range(8)]
+        # Tokens that lead from the end of a character to the end of a character, whole or malformed.
+        self.whole = np.zeros(max(tokens, default=-1) + 1, bool)
+        for token in tokens:
+            self.whole[token] = self.steps[0].__missing__(token) == (0, 0)
+        self.steps[0].clear()
 
 
 class StreamDecoder:
@@ -383,13 +386,26 @@ class StreamDecoder:
         self._tables = tables
         self._state, self._held = 0, b""
 
-    def feed(self, ids: Iterable[int]) -> bytes:
-        ids = ids if isinstance(ids, list) else list(ids)
+    def feed(self, ids: np.ndarray | Sequence[int]) -> bytes:
+        ids = np.asarray(ids, np.int64)
+        listed = ids.tolist()
         state, held, steps = self._state, len(self._held), self._tables.steps
-        for i in ids:
-            state, tail = steps[state][i]
+        # Between two characters, what begins and ends with whole ones changes nothing: on to the next other token.
+        others = np.flatnonzero(~self._tables.whole[ids]).tolist()
+        others.append(len(listed))
+        at = following = 0
+        while True:
+            if not state:
+                held = 0
+                while others[following] < at:
+                    following += 1
+                at = others[following]
+            if at == len(listed):
+                break
+            state, tail = steps[state][listed[at]]
             held = tail if tail >= 0 else held - tail
-        data = self._held + b"".join(map(self._tables.tokens.__getitem__, ids))
+            at += 1
+        data = self._held + b"".join(map(self._tables.tokens.__getitem__, listed))
         self._state, self._held = state, data[len(data) - held :]
         return data[: len(data) - held]
 
@@ -475,7 +491,7 @@ def decode(encoded: DataFrame, ids_col: str, *, path: str | None = None, as_text
             for data in texts:
                 ids = np.frombuffer(data.as_py() or b"", "<u4")
                 stream = StreamDecoder(known)
-                parts = [stream.feed(ids[i : i + IDS_AT_ONCE].tolist()) for i in range(0, len(ids), IDS_AT_ONCE)]
+                parts = [stream.feed(ids[i : i + IDS_AT_ONCE]) for i in range(0, len(ids), IDS_AT_ONCE)]
                 parts.append(stream.finish())
                 # Parts end with characters, so each can be decoded on its own.
                 out.append("".join([p.decode("utf-8", "replace") for p in parts]) if as_text else b"".join(parts))
