@@ -40,9 +40,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forgelake.llm.common import map_batches, prepare, text_or_empty, type_of
+from forgelake.llm.common import free_name, map_batches, prepare, text_or_empty, type_of
 from forgelake.llm.components import components
-from forgelake.llm.words import shingle_hashes, word_hashes
+from forgelake.llm.words import each_text, shingle_hashes
 from forgelake.session import materialize
 
 SHINGLE = 5
@@ -53,6 +53,8 @@ IDF_RANGE = 0.25
 SMALL, BLOCK = 8, 32
 # Counters for shingles of vertices in crowded buckets; shingles that share one only cost time.
 COUNTERS = 1 << 21
+# Shingles a task gathers before it adds them to its counts.
+FOLD = 1 << 18
 _TABLE = 1 << 11
 _PIECE = 512
 
@@ -160,37 +162,56 @@ def narrow(shingles: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nd
     return values, np.bincount(inverse, weights, len(values)).astype(np.float32)
 
 
+class _Frequent:
+    """Counts of the most frequent values of a stream in bounded memory (Misra and Gries, in blocks).
+
+    Whenever there are more than ``limit`` counters, the largest count beyond them is taken off all. That takes off
+    at least ``limit`` times as much in total, so no count falls short by more than the length of the stream
+    divided by ``limit``.
+    """
+
+    def __init__(self):
+        self.values, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, values: np.ndarray, limit: int) -> None:
+        new, often = np.unique(values, return_counts=True)
+        both, counts = np.concatenate([self.values, new]), np.concatenate([self.counts, often])
+        order = np.argsort(both, kind="stable")
+        both, counts = both[order], counts[order]
+        first = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
+        self.values, self.counts = both[first], np.add.reduceat(counts, first) if len(first) else counts
+        if len(self.counts) > limit:
+            counts = self.counts - np.partition(self.counts, -limit - 1)[-limit - 1]
+            self.values, self.counts = self.values[counts > 0], counts[counts > 0]
+
+
 def common_shingles(texts: DataFrame, size: int, common: float) -> DataFrame:
     """Shingles in more than ``common`` of all rows, with the number of rows they were counted in.
 
-    A task leaves out shingles that occur in no more than a quarter of that share of its rows (and in one row
-    only), so a count falls short by no more than a quarter of ``common``.
+    A task counts in bounded memory, which takes off about an eighth of that share of its rows at most, and leaves
+    out shingles that occur in no more than another eighth of it (and in one row only). So a count falls short
+    by about a quarter of ``common`` at most, however the rows are dealt out.
     """
 
     def count(batches) -> Iterator[dict[str, list]]:
-        n, held, parts = 0, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), []
+        n, read, held, parts, waiting = 0, 0, _Frequent(), [], 0
 
         def fold():
-            hashes = np.concatenate([held[0], *parts])
-            counts = np.concatenate([held[1], np.ones(len(hashes) - len(held[0]), np.int64)])
-            values, inverse = np.unique(hashes, return_inverse=True)
-            return values, np.bincount(inverse, counts, len(values)).astype(np.int64)
+            held.add(np.concatenate([*parts, np.zeros(0, np.uint64)]), max(1 << 17, int(8 * read / (common * max(1, n)))))
+            parts.clear()
 
-        size_now = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = np.unique(shingle_hashes(word_hashes(text), size))
+            for words in each_text(batch.column(0).to_pylist()):
+                parts.append(np.unique(shingle_hashes(words, size)))
                 n += 1
-                parts.append(found)
-                size_now += len(found)
-                if size_now > 2_000_000:
-                    held, parts, size_now = fold(), [], 0
-                    # What is too rare so far is forgotten; it may come back later and then counts from there.
-                    keep = held[1] > common / 8 * n
-                    held = (held[0][keep], held[1][keep])
-        held = fold()
-        keep = held[1] > max(1.0, common / 4 * n)
-        yield {"hash": held[0][keep].view(np.int64).tolist(), "n": held[1][keep].tolist(), "rows": [0] * int(keep.sum())}
+                read += len(parts[-1])
+                waiting += len(parts[-1])
+                if waiting > FOLD:
+                    fold()
+                    waiting = 0
+        fold()
+        keep = held.counts > max(1.0, common / 8 * n)
+        yield {"hash": held.values[keep].view(np.int64).tolist(), "n": held.counts[keep].tolist(), "rows": [0] * int(keep.sum())}
         yield {"hash": [0], "n": [0], "rows": [n]}
 
     counted = map_batches(texts, count, "hash bigint, n bigint, rows bigint")
@@ -209,8 +230,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, common: float
     def run(batches) -> Iterator[dict[str, list]]:
         for batch in batches:
             keys, bands = [], []
-            for text in batch.column(2).to_pylist():
-                words = word_hashes(text)
+            for words in each_text(batch.column(2).to_pylist()):
                 keys.append(md5(words.tobytes()).digest() if len(words) else None)
                 bands.append(band_hashes(draw(*shared.value(words, size, idf_range))) if len(words) else None)
             yield {"doc_id": batch.column(0), "text_hash": batch.column(1), "key": keys, "bands": bands}
@@ -241,7 +261,7 @@ def _shingles_of(sources: DataFrame, keys: DataFrame, chosen: DataFrame, shared,
 
     def run(batches) -> Iterator[dict[str, list]]:
         for batch in batches:
-            found = [narrow(*shared.value(word_hashes(t), size, idf_range)) for t in batch.column(1).to_pylist()]
+            found = [narrow(*shared.value(words, size, idf_range)) for words in each_text(batch.column(1).to_pylist())]
             yield {
                 "key": batch.column(0),
                 "shingles": [s.tobytes() for s, _ in found],
@@ -451,17 +471,15 @@ def classes(
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each class, with all columns of ``docs``."""
     found = classes(docs, id_col=id_col, text_col=text_col, **options).filter("kept")
-    kept = materialize(
-        found.groupBy("doc_id", "text_hash", "has_words").agg(F.count("*").alias("_copies")), "kept"
-    ).select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"), F.col("has_words").alias("_words"), "_copies")
-    text = text_or_empty(text_col)
+    key, text_hash, words, copies, own = (free_name(n, docs.columns) for n in ("_kept_id", "_kept_hash", "_words", "_copies", "_own_hash"))
+    counted = found.groupBy("doc_id", "text_hash", "has_words").agg(F.count("*").alias("_n"))
+    kept = materialize(counted, "kept").toDF(key, text_hash, words, copies)
     # A row without words is a class of its own, and so stays however often it occurs.
-    rows = docs.withColumn("_own_hash", F.xxhash64(text))
-    chosen = rows.join(kept, rows[id_col].eqNullSafe(kept["_kept_id"]) & (rows["_own_hash"] == kept["_kept_hash"]))
-    single = chosen.filter((F.col("_copies") == 1) | ~F.col("_words"))
-    out = single
-    if not kept.filter("_copies > 1").isEmpty():
+    rows = docs.withColumn(own, F.xxhash64(text_or_empty(text_col)))
+    chosen = rows.join(kept, rows[id_col].eqNullSafe(kept[key]) & (rows[own] == kept[text_hash]))
+    out = chosen.filter((F.col(copies) == 1) | ~F.col(words))
+    if not kept.filter(F.col(copies) > 1).isEmpty():
         # Rows equal in id and text: only these are shuffled to leave one of each.
-        twice = chosen.filter((F.col("_copies") > 1) & F.col("_words"))
-        out = single.unionByName(twice.dropDuplicates(["_kept_id", "_kept_hash"]))
+        twice = chosen.filter((F.col(copies) > 1) & F.col(words))
+        out = out.unionByName(twice.dropDuplicates([key, text_hash]))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
