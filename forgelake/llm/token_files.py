@@ -55,55 +55,63 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
+def _binary(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary value for each run of ``flat``, without a copy of its own."""
+    offsets = np.zeros(len(lengths) + 1, np.int32)
+    np.cumsum(lengths * flat.itemsize, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def _flat(values: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of binary values in a row, and how many each value has."""
+    _, offsets, data = values.buffers()
+    if not len(values):
+        return np.zeros(0, kind), np.zeros(0, np.int64)
+    ends = np.frombuffer(offsets, "<i4")[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    held = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return held[ends[0] : ends[-1]].view(kind), np.diff(ends) // kind.itemsize
+
+
 def tokenize(
     docs: DataFrame, end_id: int, tokenizer: str | None, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """doc_id, a tie breaker and the ids of each row, with the end id, as 16 bit where they fit."""
+) -> tuple[DataFrame, np.dtype]:
+    """doc_id, a tie breaker and the ids of each row, with the end id, and the kind of number they are stored
+    as: 16 bit if all ids of the vocabulary fit."""
+    kind = np.dtype("<u2" if max(encoder(tokenizer).size - 1, end_id) <= 0xFFFF else "<u4")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches) -> Iterator[dict[str, list]]:
         to_ids = encoder(tokenizer)
         for batch in batches:
-            keys, ties, texts = (c.to_pylist() for c in batch.columns)
-            ids = [np.frombuffer(x + end, "<u4") for x in to_ids.encode(texts)]
-            wide = [bool(x.max() > 0xFFFF) for x in ids]
-            yield {
-                "doc_id": keys,
-                "tie": ties,
-                "wide": wide,
-                "ids": [x.tobytes() if w else x.astype("<u2").tobytes() for x, w in zip(ids, wide, strict=True)],
-            }
+            found = to_ids.encode(batch.column(2).to_pylist())
+            lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4 + 1
+            flat = np.frombuffer(end.join([*found, b""]), "<u4").astype(kind)
+            yield {"doc_id": batch.column(0), "tie": batch.column(1), "ids": _binary(flat, lengths)}
 
     schema = T.StructType(
         [
             T.StructField("doc_id", type_of(docs, id_col)),
             T.StructField("tie", T.LongType()),
-            T.StructField("wide", T.BooleanType()),
             T.StructField("ids", T.BinaryType()),
         ]
     )
     text = text_or_empty(text_col)
-    return map_batches(docs.select(F.col(id_col), F.xxhash64(text), text), run, schema)
-
-
-def _values(ids: bytes, wide: bool) -> np.ndarray:
-    return np.frombuffer(ids, "<u4" if wide else "<u2")
+    return map_batches(docs.select(F.col(id_col), F.xxhash64(text), text), run, schema), kind
 
 
-def id_counts(tokens: DataFrame) -> DataFrame:
+def id_counts(tokens: DataFrame, kind: np.dtype) -> DataFrame:
     """How often each id occurs: counted per task first, one row per id and task at most."""
 
     def count(batches) -> Iterator[dict[str, list]]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids, wide in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = np.bincount(_values(ids, wide), minlength=len(total))
-                found[: len(total)] += total
-                total = found
+            found = np.bincount(_flat(batch.column(0), kind)[0], minlength=len(total))
+            found[: len(total)] += total
+            total = found
         seen = np.flatnonzero(total)
         yield {"id": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())}
 
-    return map_batches(tokens.select("ids", "wide"), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return map_batches(tokens.select("ids"), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(
@@ -119,11 +127,11 @@ def write_tokens(
     """Encode ``docs`` into the file set ``path``."""
     spark = prepare(docs.sparkSession)
     staged = scratch_path(spark, "tokens")
-    found = tokenize(docs, end_id, tokenizer, id_col, text_col)
+    found, kind = tokenize(docs, end_id, tokenizer, id_col, text_col)
     found.write.option("compression", "zstd").parquet(staged)
     tokens = spark.read.schema(found.schema).parquet(staged)
     # One row per id of the vocabulary, whatever the corpus.
-    counts = sorted(id_counts(tokens).collect(), key=lambda r: (-r["n"], r["id"]))
+    counts = sorted(id_counts(tokens, kind).collect(), key=lambda r: (-r["n"], r["id"]))
     ids = [r["id"] for r in counts]
     spark.createDataFrame(list(enumerate(ids)), "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(max(ids, default=0) + 1, "<u4")
@@ -131,7 +139,7 @@ def write_tokens(
 
     def encode(batches) -> Iterator[dict[str, list]]:
         shard, block, first = TaskContext.get().partitionId(), 0, 0
-        keys, parts, size = [], [], 0
+        keys, counts, parts, size = [], [], [], 0
 
         def close():
             values = rank_of[np.concatenate(parts)]
@@ -142,19 +150,26 @@ def write_tokens(
                 "first": [first],
                 "n_values": [len(values)],
                 "doc_ids": [keys],
-                "n_tokens": [[len(p) for p in parts]],
+                "n_tokens": [counts],
                 "control": [control],
                 "data": [data],
             }
 
         for batch in batches:
-            for key, ids, wide in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys.append(key)
-                parts.append(_values(ids, wide))
-                size += len(parts[-1])
+            flat, lengths = _flat(batch.column(1), kind)
+            ids, ends, done = batch.column(0).to_pylist(), np.cumsum(lengths), 0
+            while done < len(ids):
+                before = int(ends[done - 1]) if done else 0
+                # Up to the document that fills the block.
+                stop = min(len(ids), int(np.searchsorted(ends, before + block_tokens - size)) + 1)
+                after = int(ends[stop - 1])
+                keys += ids[done:stop]
+                counts += lengths[done:stop].tolist()
+                parts.append(flat[before:after])
+                size, done = size + after - before, stop
                 if size >= block_tokens:
                     yield close()
-                    keys, parts, block, first, size = [], [], block + 1, first + size, 0
+                    keys, counts, parts, block, first, size = [], [], [], block + 1, first + size, 0
         if keys:
             yield close()
 
@@ -165,7 +180,7 @@ def write_tokens(
     )
     # Shards follow the order of ids; the tie breaker also divides an id that many rows share.
     order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
-    ranged = tokens.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids", "wide")
+    ranged = tokens.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "ids")
     map_batches(ranged, encode, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     return path
 
@@ -187,14 +202,12 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches) -> Iterator[dict[str, list]]:
         for batch in batches:
             for first, n, keys, lengths, control, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = id_of[decode_values(control, data, n)].tobytes()
-                ends = np.cumsum(lengths)
-                begins = ends - lengths
+                lengths = np.array(lengths, np.int64)
                 yield {
                     "doc_id": keys,
-                    "start": first + begins,
-                    "n_tokens": lengths,
-                    "ids": [ids[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)],
+                    "start": pa.array(first + np.cumsum(lengths) - lengths),
+                    "n_tokens": pa.array(lengths),
+                    "ids": _binary(id_of[decode_values(control, data, n)], lengths),
                 }
 
     schema = T.StructType(

@@ -13,8 +13,9 @@ from collections.abc import Iterable
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
-# Words a worker remembers (some 200 bytes each); the table starts again when it is full.
-MAX_WORDS = 1_000_000
+# Words a worker remembers (some 200 bytes each), and the longest of them; the table starts again when it is full.
+MAX_WORDS = 300_000
+LONGEST_WORD = 64
 # Words per call, and the special token that marks the borders between them.
 _TOGETHER = 64
 _BORDER = "<|endoftext|>"
@@ -32,6 +33,7 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._border = self._tokenizer.token_to_id(_BORDER)
         self._max_words = max_words
+        self.size = self._tokenizer.get_vocab_size()
         self._known: dict[str, bytes] = {"": b""}
 
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
@@ -67,6 +69,9 @@ class Encoder:
         for words, ids, at in holes:
             for i in at:
                 ids[i] = known(words[i])
+        for word in new:
+            if len(word) > LONGEST_WORD:
+                del self._known[word]
         if len(self._known) > self._max_words:
             self._known = {"": b""}
         return [b"".join(ids) for ids in found]
