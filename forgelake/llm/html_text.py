@@ -10,11 +10,14 @@ First pass, in this order:
 
 * boilerplate, if a container is no part of an article by its tag (menus, headers and footers of the
   page, sidebars, forms, dialogs, embedded objects), or by a word of its class, id or role (adverts,
-  notices, comments and the like); text of scripts, styles, templates and the head is no block at all;
+  notices, comments and the like); of an ``article``, only words for comments say so, and of classes that name a
+  subject (``category-``, ``tag-``) none do; text of scripts, styles, templates and the head is no block at all;
 * boilerplate, if over a third of its characters are link text;
 * content, if it is a heading, paragraph or cell inside ``article`` or ``main`` of at least
   ``SHORT`` characters or a heading there;
 * open, if it is shorter than ``SHORT``;
+* content, if under ``KNOWN`` of the words of the page are stop words: it is in another language, and there
+  length and link density decide;
 * content, if at least ``DENSE`` of its words are stop words; open, if at least ``SPARSE`` are or it
   lies inside an article; boilerplate otherwise.
 
@@ -37,12 +40,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forgelake.llm.common import map_batches, prepare, text_or_empty
+from forgelake.llm.common import free_name, map_batches, prepare, text_or_empty
 
 SHORT = 70
 DENSE = 0.30
 SPARSE = 0.15
 MAX_LINK_SHARE = 1 / 3
+# A page with a smaller share of stop words is in a language whose stop words are not known here.
+KNOWN = 0.05
 
 # Frequent function words of the languages read here, as plain lists.
 STOP_WORDS = frozenset(
@@ -87,6 +92,10 @@ _OUTSIDE_NAMES = frozenset(
     "promotions recommended related replies reply respond sharing share sidebar signup skyscraper social sponsor "
     "sponsored subscribe subscription toolbar".split()
 )
+# What still says so of an article: it is a reader's comment.
+_COMMENT_NAMES = frozenset("comment comments commentlist disqus replies reply respond".split())
+# Classes that begin like this name the subject of a text.
+_SUBJECTS = ("category-", "tag-", "topic-")
 _MODIFIERS = frozenset("with has no without".split())
 _OUTSIDE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split()
@@ -190,14 +199,16 @@ class _Reader:
         for m in _ATTRIBUTE.finditer(attributes):
             named.setdefault(m[1].lower(), html.unescape(next((g for g in m.groups()[1:] if g is not None), "")).lower())
         # "with-sidebar" and the like say what the page has, not what the element is.
-        words = [_NAME.findall(w) for w in f"{named.get('class', '')} {named.get('id', '')}".split()]
+        given = f"{named.get('class', '')} {named.get('id', '')}".split()
+        words = [_NAME.findall(w) for w in given if not w.startswith(_SUBJECTS)]
+        outside = _COMMENT_NAMES if tag == "article" else _OUTSIDE_NAMES
         names = {w for found in words if not _MODIFIERS.intersection(found) for w in found}
         return (
             named.get("role", "") in _OUTSIDE_ROLES
             or named.get("aria-hidden") == "true"
             or bool(re.search(r"(?:^|;)\s*display\s*:\s*none", named.get("style", "")))
             or bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes.lower()) and "hidden" not in named.get("class", ""))
-            or (tag not in ("body", "html", "main") and bool(names & _OUTSIDE_NAMES))
+            or (tag not in ("body", "html", "main") and bool(names & outside))
         )
 
     def end(self, tag: str) -> None:
@@ -241,16 +252,31 @@ class _Reader:
         return self.blocks
 
 
-def first_pass(block: Block) -> bool | None:
-    """Content, boilerplate, or None where the block alone does not tell."""
+def stop_words(text: str) -> tuple[int, int]:
+    """How many stop words a text has, and how many words."""
+    words = _LETTERS.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def reads(blocks: list[Block]) -> bool:
+    """Whether the page is in one of the languages whose stop words are known: some of its words are."""
+    counts = [stop_words(b.text) for b in blocks if not b.outside]
+    return sum(n for n, _ in counts) >= KNOWN * sum(n for _, n in counts)
+
+
+def first_pass(block: Block, known: bool = True) -> bool | None:
+    """Content, boilerplate, or None where the block alone does not tell. ``known`` is False on pages in other
+    languages, where the length has to do for stop words."""
     if block.outside or block.link_chars > MAX_LINK_SHARE * len(block.text):
         return False
     if block.article and (block.heading or (block.prose and len(block.text) >= SHORT)):
         return True
     if len(block.text) < SHORT:
         return None
-    words = _LETTERS.findall(block.text.lower())
-    share = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if not known:
+        return True
+    stops, words = stop_words(block.text)
+    share = stops / max(1, words)
     if share >= DENSE:
         return True
     return None if share >= SPARSE or block.article else False
@@ -293,7 +319,8 @@ def second_pass(blocks: list[Block], decided: list[bool | None]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     blocks = _Reader().read(page or "")
-    labels = second_pass(blocks, [first_pass(b) for b in blocks])
+    known = reads(blocks)
+    labels = second_pass(blocks, [first_pass(b, known) for b in blocks])
     return "\n".join(b.text for b, kept in zip(blocks, labels, strict=True) if kept)
 
 
@@ -301,7 +328,8 @@ def extract(pages: DataFrame, *, html_col: str = "html", text_col: str = "text")
     """All columns of ``pages`` but ``html_col``, with the main text in ``text_col``."""
     prepare(pages.sparkSession)
     kept = [c for c in pages.columns if c.lower() not in (html_col.lower(), text_col.lower())]
-    rows = pages.select(*(F.col(f"`{c}`") for c in kept), text_or_empty(html_col).alias("_html"))
+    page = free_name("_html", [*kept, text_col])
+    rows = pages.select(*(F.col(f"`{c}`") for c in kept), text_or_empty(html_col).alias(page))
 
     def run(batches) -> Iterator[dict[str, list]]:
         for batch in batches:
@@ -310,4 +338,4 @@ def extract(pages: DataFrame, *, html_col: str = "html", text_col: str = "text")
                 text_col: [main_text(p) for p in batch.column(len(kept)).to_pylist()],
             }
 
-    return map_batches(rows, run, rows.drop("_html").schema.add(text_col, "string"))
+    return map_batches(rows, run, rows.drop(page).schema.add(text_col, "string"))

@@ -4,6 +4,8 @@ from forgelake.llm import html_text
 from forgelake.llm.html_text import main_text
 
 LONG = "The man is in the house and the dog is on the way to it with all of us in the car and so on."
+ITALIAN = "Questo paese vicino mare offriva ogni giorno qualcosa che nessuno avrebbe mai immaginato prima, davvero molto bello."
+CHINESE = "这座城市位于河流旁边,每天都有许多人来到这里参观古老的建筑。" * 4
 NAMES = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma"
 
 
@@ -24,6 +26,12 @@ NAMES = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu x
         (f"<article><p>{NAMES}</p><p>{LONG}</p></article>", f"{NAMES}\n{LONG}"),
         (f"<article><header><h1>T</h1></header><p>{LONG}</p><footer>by</footer></article>", f"T\n{LONG}"),
         (f"<div class=ad>{LONG}</div><article><p>{LONG}</p></article>", LONG),
+        # Languages whose stop words are not known: length decides.
+        (f"<h1>{ITALIAN[:19]}</h1><p>{ITALIAN}</p><p>{ITALIAN}!</p><p><a href=/a>{ITALIAN}</a></p>", f"{ITALIAN[:19]}\n{ITALIAN}\n{ITALIAN}!"),
+        (f"<nav>{CHINESE}</nav><p>{CHINESE}</p><div class=ad>{CHINESE}</div>", CHINESE),
+        (f"<article class='post category-promotion tag-social'><h1>T</h1><p>{LONG}</p></article>", f"T\n{LONG}"),
+        (f"<article class='promo post'><h1>T</h1><p>{LONG}</p></article>", f"T\n{LONG}"),
+        (f"<p>{LONG}</p><article class='comment'><p>{LONG} Me too.</p></article>", LONG),
         ("<div hidden>x</div><p style='display:none'>y</p><p>z</p>", "z"),
     ],
 )
@@ -35,6 +43,8 @@ def test_first_pass_by_stop_words_length_and_links():
     block = lambda text, links=0, **k: html_text.Block(text, links, k.get("outside", False), k.get("article", False), False, False)
     assert html_text.first_pass(block(LONG)) is True
     assert html_text.first_pass(block(NAMES)) is False
+    assert html_text.first_pass(block(NAMES), known=False) is True
+    assert html_text.first_pass(block(NAMES, len(NAMES)), known=False) is False
     assert html_text.first_pass(block(NAMES, article=True)) is None
     assert html_text.first_pass(block("short")) is None
     assert html_text.first_pass(block(LONG, len(LONG))) is False
