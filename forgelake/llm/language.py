@@ -29,8 +29,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from forgelake.llm.common import map_batches, prepare, type_of
+from forgelake.llm.common import free_name, map_batches, prepare
 from forgelake.session import materialize
 
 UNKNOWN = "und"
@@ -212,18 +213,20 @@ def predict(
     """The columns ``keep`` of each row, the language and its score, called ``names``, with two more names also
     the covered share and the number of n-grams; of the row itself nothing but the text is read."""
     spark = prepare(docs.sparkSession)
-    kept = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    given = docs.select(*keep).schema
+    text = free_name("_text", given.names)
+    kept = docs.select(*keep, F.col(text_col).cast("string").alias(text))
     shared = spark.sparkContext.broadcast(model)
-    given = [f.name for f in kept.schema.fields[:-1]]
+
     def run(batches) -> Iterator[dict[str, list]]:
         for batch in batches:
-            found = [shared.value.judge(t) for t in batch.column(len(given)).to_pylist()]
+            found = [shared.value.judge(t) for t in batch.column(len(given.names)).to_pylist()]
             yield {
-                **{n: batch.column(i) for i, n in enumerate(given)},
+                **{n: batch.column(i) for i, n in enumerate(given.names)},
                 **{n: [x[i] for x in found] for i, n in enumerate(names)},
             }
 
-    schema = kept.drop("_text").schema
+    schema = T.StructType(list(given.fields))
     for name, kind in zip(names, ("string", "double", "double", "long"), strict=False):
         schema = schema.add(name, kind)
     return map_batches(kept, run, schema)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forgelake.llm.common import map_batches, prepare
+from forgelake.llm.common import free_name, map_batches, prepare
 from forgelake.operators.ordering import with_position
 from forgelake.session import materialize
 
@@ -170,20 +170,23 @@ def without_runs(text: Column, deleted: Column) -> Column:
 def deduplicate(
     docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """All columns of ``docs``, the text without later copies of repeated line runs, and ``_deleted``: the
-    deleted runs as an array of first line (from 0) and number of lines, NULL where there are none."""
+    """All columns of ``docs``, the text without later copies of repeated line runs, and ``_deleted`` (or, where a
+    column is called so, the next free name): the deleted runs as an array of first line (from 0) and number of
+    lines, NULL where there are none."""
     prepare(docs.sparkSession)
+    out_col = free_name("_deleted", docs.columns)
+    row = free_name("_row", [*docs.columns, out_col])
     # Written once, so that a row keeps its number whatever happens to the cluster.
-    held = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-documents")
+    held = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
     # Positions compare by id, NULL last, then by row.
-    placed = held.withColumn("_place", F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id")))
-    lines = repeated_lines(placed, text_col)
+    place = F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col).alias("id"))
+    lines = repeated_lines(held.select(F.col(row).alias("_row"), place.alias("_place"), F.col(text_col).alias("text")), "text")
     runs = candidate_runs(lines, min_words)
     longest = runs.agg(F.max("n")).first()[0] or 0
     if longest:
         deleted = merged(later_copies(lines, runs, prefix_doubling(lines, longest)))
     else:
         deleted = runs.select("_row", F.array().cast("array<struct<start:bigint,n:bigint>>").alias("deleted")).limit(0)
-    out = held.join(deleted, "_row", "left").withColumn("_deleted", F.col("deleted")).drop("deleted", "_row")
-    text = F.when(F.col("_deleted").isNull(), F.col(text_col)).otherwise(without_runs(F.col(text_col), F.col("_deleted")))
+    out = held.join(deleted.toDF(row, out_col), row, "left").drop(row)
+    text = F.when(F.col(out_col).isNull(), F.col(text_col)).otherwise(without_runs(F.col(text_col), F.col(out_col)))
     return out.withColumn(text_col, text)

@@ -1,5 +1,6 @@
 """Every registered query on the driver's small tables: columns, types and rows."""
 
+import duckdb
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
@@ -24,6 +25,15 @@ COLUMNS = {
     "op8_html_text": ("pages", "page_id bigint, url string, text string, n_chars bigint"),
     "op9_line_dedup": ("documents", "doc_id bigint, text string"),
     "op10_toxicity": ("documents", "doc_id bigint, held_out boolean, score double, predicted int"),
+    "op11_whitening": (
+        None,
+        "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
+    ),
+    "op12_bpe": ("documents", "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"),
+    "op13_collocations": (
+        None,
+        "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
+    ),
     "pipeline": (None, PIECES),
 }
 KEYS = {"documents": "doc_id", "pages": "page_id"}
@@ -31,7 +41,19 @@ KEYS = {"documents": "doc_id", "pages": "page_id"}
 
 def test_every_query_is_registered():
     assert set(COLUMNS) <= set(queries())
-    assert "op5_chat" in oracle_sql()
+    assert {"op5_chat", "op13_collocations"} <= set(oracle_sql())
+
+
+@pytest.mark.parametrize("name", [n for n in oracle_sql() if n.startswith("op")])
+def test_sql_gives_the_same_rows(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+    result = con.execute(oracle_sql()[name])
+    columns = [d[0] for d in result.description]
+    want = sorted(result.fetchall(), key=repr)
+    found = queries()[name](spark, FOLDER).select(*columns)
+    assert sorted(map(tuple, found.collect()), key=repr) == want and want
 
 
 @pytest.mark.parametrize("name", list(COLUMNS))
