@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -124,23 +125,48 @@ def issue_page(
     return rows_between(keyed, ["key"], offset, size, top_rows=top_rows)
 
 
-def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """Row count per table, empty tables included."""
+def table_counts(
+    tables: dict[str, DataFrame], tagged: DataFrame | None = None, names: Sequence[str] = (), entity: str = "entity"
+) -> DataFrame:
+    """Row count per table, empty tables included.
+
+    Several tables that come out of one scan are given together as ``tagged``, whose ``entity`` is one of
+    ``names``: they are counted in that one pass.
+    """
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("entity"), "n") for name, df in tables.items()]
+    if tagged is not None:
+        each = [F.count(F.when(F.col(entity) == name, 1)).alias(f"_{i}") for i, name in enumerate(names)]
+        pairs = [F.struct(F.lit(name).alias("entity"), F.col(f"_{i}").alias("n")) for i, name in enumerate(names)]
+        parts.append(tagged.agg(*each).select(F.explode(F.array(*pairs)).alias("c")).select("c.*"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def table_summary(tables: dict[str, DataFrame]) -> DataFrame:
+def table_summary(tables: dict[str, DataFrame], tagged: DataFrame | None = None, names: Sequence[str] = ()) -> DataFrame:
     """The same counts as one row with a column per table."""
-    names = sorted(tables)
-    counts = table_counts(tables)
-    return counts.agg(*[F.sum(F.when(F.col("entity") == n, F.col("n"))).alias(n) for n in names])
+    counts = table_counts(tables, tagged, names)
+    return counts.agg(*[F.sum(F.when(F.col("entity") == n, F.col("n"))).alias(n) for n in sorted([*tables, *names])])
 
 
 def count_prefix(keys: DataFrame, prefix: str, key: str = "key") -> DataFrame:
     return keys.filter(F.col(key).startswith(prefix)).agg(F.count("*").alias("n"))
 
 
+def count_keys(tables: dict[str, tuple[DataFrame, Column]], prefix: str) -> DataFrame:
+    """How many keys of all tables begin with ``prefix``. ``tables`` has the rows and their key by the prefix of the
+    table's own keys, which tells for most tables without reading them: none match, or all do."""
+    parts = []
+    for own, (rows, key) in tables.items():
+        if own.startswith(prefix):
+            parts.append(rows)
+        elif prefix.startswith(own):
+            parts.append(rows.filter(key.startswith(prefix)))
+    if not parts:
+        spark = next(iter(tables.values()))[0].sparkSession
+        return spark.range(1).select(F.lit(0).cast("bigint").alias("n"))
+    counts = [rows.agg(F.count("*").alias("n")) for rows in parts]
+    return reduce(DataFrame.unionByName, counts).agg(F.sum("n").alias("n"))
+
+
 def top_users(users: DataFrame, *, language: str = "", min_followers: int = MIN_FOLLOWERS, n: int = TOP_USERS) -> DataFrame:
     """Users with more than ``min_followers`` followers, the most followed first."""
     ranked = users.filter(F.col("followers") > min_followers)

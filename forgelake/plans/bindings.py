@@ -110,6 +110,13 @@ class Bound:
         first = lines.groupBy(*keys).agg(F.min(F.struct("l_suppkey", "l_shipdate", "l_linestatus")).alias("f"))
         return self._ticket(self._with_repo(first.select(*keys, "f.*")))
 
+    def ticket_kinds(self) -> DataFrame:
+        """The entity of each stored issue and pull request: narrow columns of one scan, one exchange."""
+        keys = ["l_partkey", "l_orderkey", "l_linenumber"]
+        return self._lines().select(*keys, "is_pr").distinct().select(
+            F.when(F.col("is_pr"), "pull_requests").otherwise("issues").alias("entity")
+        )
+
     def issue(self, repo_id: str | None = None) -> DataFrame:
         """Stored issues, of all repositories or of one."""
         return self._stored(False, repo_id)
@@ -240,6 +247,23 @@ class Bound:
             F.struct(*fields),
         )
 
+    def with_ends(self, landing: DataFrame, states: Sequence[str]) -> DataFrame:
+        """Landed tickets with the page without items that ends the sequence of each repository and state."""
+        params = F.col("params")
+        lengths = landing.groupBy("endpoint", params["owner"].alias("owner"), params["repo"].alias("repo")).agg(
+            *[F.max(F.when(params["state"] == state, F.col("page"))).alias(state) for state in states]
+        )
+        ends = F.array(*[F.struct(F.lit(s).alias("state"), (F.coalesce(s, F.lit(0)) + 1).alias("page")) for s in states])
+        names = F.array(*[F.lit(n) for n in ("owner", "repo", "state")])
+        rows = lengths.select("endpoint", "owner", "repo", F.explode(ends).alias("e")).select(
+            "endpoint",
+            F.map_from_arrays(names, F.array("owner", "repo", "e.state")).alias("params"),
+            F.col("e.page").cast("int").alias("page"),
+            F.lit(200).alias("status"),
+            F.lit("[]").alias("body"),
+        )
+        return landing.unionByName(rows)
+
     def landed_users(self) -> DataFrame:
         body = F.struct(
             F.col("id").cast("bigint").alias("id"), "login", F.col("url").alias("html_url"), "company", "location"
@@ -346,6 +370,11 @@ VIEWS = {
         SELECT id, repo_id, title, url, state, author, created_at, updated_at FROM (
           SELECT *, ROW_NUMBER() OVER (PARTITION BY repo_id, id ORDER BY tie, updated_at) AS rn
           FROM raw_issues WHERE pull_request IS NOT NULL) WHERE rn = 1""",
+    # One row per stored issue or pull request, on the narrow columns of its key.
+    "ticket_keys": """
+        SELECT DISTINCT l.l_partkey AS part_key, l.l_orderkey * 10 + l.l_linenumber AS number,
+               l.l_returnflag = 'R' OR p.p_size = 1 AS is_pr
+        FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey""",
     "repo_obs": """
         SELECT 'owner-' || CAST(l_orderkey AS VARCHAR) AS owner, 'repo-' || CAST(l_linenumber AS VARCHAR) AS name,
                'https://hub.example/' || l_linestatus AS url, CAST(l_quantity AS BIGINT) AS stars,

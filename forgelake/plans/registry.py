@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from forgelake.functions import text
 from forgelake.functions.identity import (
     CONTACT_IDENTITY,
+    CONTACT_PREFIX,
     ISSUE_PREFIX,
+    PULL_REQUEST_PREFIX,
     REPO_IDENTITY,
+    REPO_PREFIX,
     contact_key,
     fingerprint,
     issue_key,
@@ -21,10 +24,12 @@ from forgelake.functions.identity import (
     shown_hash,
 )
 from forgelake.operators import catalog, frontier, markov, upsert
+from forgelake.operators.crawl import crawl
 from forgelake.plans.bindings import HUB, Bound, with_views
 from forgelake.session import materialize, scratch_path
 from forgelake.sources import pages, responses
 from forgelake.streaming.ingest import WriteLog, live_counts, newest_counts, upsert_stream
+from forgelake.streaming.landing import stream_tickets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -252,10 +257,10 @@ def issue_upsert_stored(b: Bound) -> DataFrame:
 
 
 @query(
-    f"""{with_views('repo', 'issue', 'pr')}, doomed AS (SELECT id FROM repo WHERE language = 'Brand#2')
-    SELECT 'repositories' AS entity, id AS key FROM repo WHERE NOT EXISTS (SELECT 1 FROM doomed d WHERE d.id = repo.id)
-    UNION ALL SELECT 'issues', repo_id || '/' || id FROM issue WHERE NOT EXISTS (SELECT 1 FROM doomed d WHERE d.id = issue.repo_id)
-    UNION ALL SELECT 'pull_requests', repo_id || '/' || id FROM pr WHERE NOT EXISTS (SELECT 1 FROM doomed d WHERE d.id = pr.repo_id)"""
+    f"""{with_views('repo', 'ticket_keys')}, kept AS (SELECT part_key, id FROM repo WHERE language <> 'Brand#2')
+    SELECT 'repositories' AS entity, id AS key FROM kept
+    UNION ALL SELECT CASE WHEN t.is_pr THEN 'pull_requests' ELSE 'issues' END, k.id || '/' || CAST(t.number AS VARCHAR)
+    FROM ticket_keys t JOIN kept k ON k.part_key = t.part_key"""
 )
 def repo_delete_cascade(b: Bound) -> DataFrame:
     repo = b.repo()
@@ -334,45 +339,49 @@ def repo_prs(b: Bound) -> DataFrame:
 
 
 @query(
-    f"""{with_views('repo', 'issue')}, k AS (SELECT repo_id, COUNT(*) AS n FROM issue GROUP BY repo_id)
-    SELECT {_SUMMARY_SQL}, url, CAST(COALESCE(k.n, 0) AS BIGINT) AS issues_count FROM repo LEFT JOIN k ON k.repo_id = repo.id"""
+    f"""{with_views('repo', 'ticket_keys')}, k AS (SELECT part_key, COUNT(*) AS n FROM ticket_keys WHERE NOT is_pr GROUP BY part_key)
+    SELECT {_SUMMARY_SQL}, url, CAST(COALESCE(k.n, 0) AS BIGINT) AS issues_count FROM repo LEFT JOIN k ON k.part_key = repo.part_key"""
 )
 def repos_with_issue_counts(b: Bound) -> DataFrame:
     return catalog.list_repos(b.repo(), include_issues="count", issues=b.issue())
 
 
 def _tables(b: Bound) -> dict[str, DataFrame]:
-    return {"contacts": b.contact(), "repositories": b.repo(), "issues": b.issue(), "pull_requests": b.pr()}
+    return {"contacts": b.contact(), "repositories": b.repo()}
+
+
+# Issues and pull requests come out of one scan of the lines.
+_TICKET_TABLES = ("issues", "pull_requests")
 
 
 @query(
-    f"""{with_views('contact', 'repo', 'issue', 'pr')} SELECT 'contacts' AS entity, COUNT(*) AS n FROM contact
-    UNION ALL SELECT 'repositories', COUNT(*) FROM repo UNION ALL SELECT 'issues', COUNT(*) FROM issue
-    UNION ALL SELECT 'pull_requests', COUNT(*) FROM pr"""
+    f"""{with_views('contact', 'repo', 'ticket_keys')} SELECT 'contacts' AS entity, COUNT(*) AS n FROM contact
+    UNION ALL SELECT 'repositories', COUNT(*) FROM repo
+    UNION ALL SELECT 'issues', COUNT(*) FROM ticket_keys WHERE NOT is_pr
+    UNION ALL SELECT 'pull_requests', COUNT(*) FROM ticket_keys WHERE is_pr"""
 )
 def table_counts(b: Bound) -> DataFrame:
-    return catalog.table_counts(_tables(b))
+    return catalog.table_counts(_tables(b), b.ticket_kinds(), _TICKET_TABLES)
 
 
 @query(
-    f"""{with_views('contact', 'repo', 'issue', 'pr')} SELECT (SELECT COUNT(*) FROM contact) AS contacts,
-    (SELECT COUNT(*) FROM issue) AS issues, (SELECT COUNT(*) FROM pr) AS pull_requests,
-    (SELECT COUNT(*) FROM repo) AS repositories"""
+    f"""{with_views('contact', 'repo', 'ticket_keys')} SELECT (SELECT COUNT(*) FROM contact) AS contacts,
+    (SELECT COUNT(*) FROM ticket_keys WHERE NOT is_pr) AS issues,
+    (SELECT COUNT(*) FROM ticket_keys WHERE is_pr) AS pull_requests, (SELECT COUNT(*) FROM repo) AS repositories"""
 )
 def table_summary(b: Bound) -> DataFrame:
-    return catalog.table_summary(_tables(b))
+    return catalog.table_summary(_tables(b), b.ticket_kinds(), _TICKET_TABLES)
 
 
 @query(f"{with_views('issue')} SELECT COUNT(*) AS n FROM issue")
 def count_by_prefix(b: Bound) -> DataFrame:
-    keyed = [
-        b.contact().select(contact_key().alias("key")),
-        b.repo().select(repo_key().alias("key")),
-        b.issue().select(issue_key().alias("key")),
-        b.pr().select(pull_request_key().alias("key")),
-    ]
-    every = reduce(DataFrame.unionByName, keyed)
-    return catalog.count_prefix(every, ISSUE_PREFIX)
+    keyed = {
+        CONTACT_PREFIX: (b.contact(), contact_key()),
+        REPO_PREFIX: (b.repo(), repo_key()),
+        ISSUE_PREFIX: (b.issue(), issue_key()),
+        PULL_REQUEST_PREFIX: (b.pr(), pull_request_key()),
+    }
+    return catalog.count_keys(keyed, ISSUE_PREFIX)
 
 
 @query(
@@ -520,14 +529,22 @@ def parse_stars(b: Bound) -> DataFrame:
 VISITS = 100
 
 
-@query(
-    f"""{with_views('contributor', 'seeds', recursive=True)},
-    reach AS (SELECT seed_id, login FROM seeds UNION
-              SELECT r.seed_id, e.dst FROM reach r JOIN contributor e ON e.src = r.login)
-    SELECT seed_id, login FROM reach"""
-)
+def _reach_sql(levels: int) -> str:
+    """Users by the level they are first met on. There are fewer levels than that."""
+    parts = ["r0 AS (SELECT seed_id, login, 0 AS depth FROM seeds)"]
+    for i in range(1, levels + 1):
+        parts.append(
+            f"""n{i} AS MATERIALIZED (SELECT DISTINCT v.seed_id, e.dst AS login FROM r{i - 1} v JOIN contributor e ON e.src = v.login
+                WHERE v.depth = {i - 1}),
+            r{i} AS MATERIALIZED (SELECT * FROM r{i - 1} UNION ALL SELECT n.seed_id, n.login, {i} FROM n{i} n
+              WHERE NOT EXISTS (SELECT 1 FROM r{i - 1} s WHERE s.seed_id = n.seed_id AND s.login = n.login))"""
+        )
+    return ",\n".join(parts)
+
+
+@query(f"{with_views('contributor', 'seeds')},\n{_reach_sql(8)} SELECT seed_id, login, depth FROM r8")
 def bfs_reach(b: Bound) -> DataFrame:
-    return frontier.reach(b.contributor(), b.seeds()).select("seed_id", "login")
+    return frontier.reach(b.contributor(), b.seeds())
 
 
 def _levels_sql(count: int) -> str:
@@ -560,17 +577,74 @@ def bfs_budget(b: Bound) -> DataFrame:
 
 
 @query(
-    f"""{_BUDGET_SQL.replace('WITH ', with_views('contact', 'repo') + ', ', 1)},
-    logins AS (SELECT DISTINCT c.login FROM visits v JOIN contact c ON c.id = CAST(v.login AS VARCHAR))
+    f"""{with_views('contributor', 'seeds', 'contact', 'repo', 'ticket_keys', recursive=True)},
+    reach AS (SELECT seed_id, login FROM seeds UNION
+              SELECT r.seed_id, e.dst FROM reach r JOIN contributor e ON e.src = r.login),
+    logins AS (SELECT DISTINCT c.login FROM reach v JOIN contact c ON c.id = CAST(v.login AS VARCHAR)),
+    owned AS (SELECT r.part_key, r.id FROM repo r JOIN logins l ON l.login = r.owner)
     SELECT 'contacts' AS entity, login AS key FROM logins
-    UNION ALL SELECT 'repositories', id FROM repo WHERE owner IN (SELECT login FROM logins)"""
+    UNION ALL SELECT 'repositories', id FROM owned
+    UNION ALL SELECT CASE WHEN t.is_pr THEN 'pull_requests' ELSE 'issues' END, o.id || '/' || CAST(t.number AS VARCHAR)
+    FROM ticket_keys t JOIN owned o ON o.part_key = t.part_key"""
 )
 def bfs_entities(b: Bound) -> DataFrame:
+    """All that belongs to the users an expansion without a budget visits, of all four tables."""
     users = b.contact().select(F.col("id").cast("bigint").alias("_id"), F.col("login").alias("name"))
-    visits = _budget_visits(b).join(users, F.col("login") == F.col("_id")).select(F.col("name").alias("login"))
-    found = frontier.visited_content(visits, {"contacts": (b.contact(), "login"), "repositories": (b.repo(), "owner")})
-    contacts = found["contacts"].select(F.lit("contacts").alias("entity"), F.col("login").alias("key"))
-    return contacts.unionByName(found["repositories"].select(F.lit("repositories").alias("entity"), F.col("id").alias("key")))
+    reached = frontier.reach(b.contributor(), b.seeds()).select(F.col("login").alias("_id")).distinct()
+    visits = reached.join(users, "_id").select(F.col("name").alias("login"))
+    found = frontier.visited_content(
+        visits,
+        {"contacts": (b.contact(), "login"), "repositories": (b.repo(), "owner")},
+        {"issues": b.issue(), "pull_requests": b.pr()},
+    )
+    ticket = F.concat_ws("/", "repo_id", "id")
+    keys = {"contacts": F.col("login"), "repositories": F.col("id"), "issues": ticket, "pull_requests": ticket}
+    return reduce(DataFrame.unionByName, [found[n].select(F.lit(n).alias("entity"), k.alias("key")) for n, k in keys.items()])
+
+
+def _landing(b: Bound) -> DataFrame:
+    """All endpoints in one landing table."""
+    tickets = b.raw_issues()
+    pulls = tickets.filter(F.col("pull_request").isNotNull())
+    landed = [
+        b.landed_users(), b.landed_repos(), b.landed_contributors(), b.landed_tickets("issues", tickets), b.landed_tickets("pulls", pulls)
+    ]
+    return reduce(DataFrame.unionByName, landed)
+
+
+# One crawl from the first user: level by level to the end, then what each visit saves.
+@query(
+    f"""{with_views('contributor', 'contact', 'repo', 'ticket_keys')},
+    seeds AS (SELECT 0 AS seed_id, MIN(c_custkey) AS login FROM customer),
+    {_levels_sql(8)}, visits AS (SELECT CAST(login AS VARCHAR) AS id, visit_rank FROM v8),
+    seen AS (SELECT CAST(e.dst AS VARCHAR) AS id, MAX(v.visit_rank) AS last_seen
+             FROM contributor e JOIN visits v ON v.id = CAST(e.src AS VARCHAR) GROUP BY e.dst),
+    saved AS (SELECT COALESCE(v.id, s.id) AS id, v.visit_rank, s.last_seen FROM visits v FULL JOIN seen s ON s.id = v.id),
+    owned AS (SELECT r.* FROM repo r JOIN contact c ON c.login = r.owner JOIN visits v ON v.id = c.id)
+    SELECT 'contacts' AS entity, c.login AS key, c.hash,
+      CASE WHEN s.visit_rank IS NOT NULL AND (s.last_seen IS NULL OR s.visit_rank > s.last_seen) THEN c.company ELSE '' END AS detail
+    FROM saved s JOIN contact c ON c.id = s.id
+    UNION ALL SELECT 'repositories', id, sha256(owner || name || url), CAST(stars AS VARCHAR) FROM owned
+    UNION ALL SELECT CASE WHEN t.is_pr THEN 'pull_requests' ELSE 'issues' END, o.id || '/' || CAST(t.number AS VARCHAR),
+      sha256(o.id || CAST(t.number AS VARCHAR) || o.url || '/issues/' || CAST(t.number AS VARCHAR)), o.description
+    FROM ticket_keys t JOIN owned o ON o.part_key = t.part_key"""
+)
+def crawl_tables(b: Bound) -> DataFrame:
+    """Landed responses of all endpoints to the four stored tables, in the order of the visits."""
+    start = b.table("customer").select(F.min_by("c_name", "c_custkey").alias("login")).withColumn("seed_id", F.lit(0))
+    tables = crawl(_landing(b), start, now=F.lit(NOW).cast("timestamp"))
+    ticket = F.concat_ws("/", "repo_id", "id")
+    shown = {
+        "contacts": (F.col("login"), F.col("company")),
+        "repositories": (F.col("id"), F.col("stars").cast("string")),
+        "issues": (ticket, F.col("title")),
+        "pull_requests": (ticket, F.col("title")),
+    }
+    rows = [
+        tables[name].select(F.lit(name).alias("entity"), key.alias("key"), "hash", detail.alias("detail"))
+        for name, (key, detail) in shown.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
 
 
 # Chain -------------------------------------------------------------------------------------------
@@ -658,6 +732,9 @@ def markov_walk(b: Bound) -> DataFrame:
 
 # Streams -----------------------------------------------------------------------------------------
 
+# Files the landed pages of a stream come in, half of them at a time.
+LANDED_FILES = 8
+
 
 def _stream(b: Bound, name: str) -> DataFrame:
     """A driver table as a stream of files."""
@@ -698,6 +775,19 @@ def stream_contacts(b: Bound) -> DataFrame:
     return log.state().select("login", "url", "company", "hash", "updated_at")
 
 
+@query(ORACLES["ingest_issues_json"])
+def stream_landed_issues(b: Bound) -> DataFrame:
+    """Pages land in no order, in files that come in one after another."""
+    folder, root = scratch_path(b.spark, "landing"), scratch_path(b.spark, "stream")
+    landed = b.with_ends(b.landed_tickets("issues", b.raw_issues()), responses.STATES)
+    landed.repartition(LANDED_FILES, F.xxhash64(F.map_values("params"), "page")).write.parquet(folder)
+    source = b.spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", LANDED_FILES // 2).parquet(folder)
+    found = stream_tickets(source, "issues").select(*TICKET)
+    sink = found.writeStream.format("parquet").option("path", f"{root}/issues").option("checkpointLocation", f"{root}/checkpoint")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return _local_times(b.spark.read.schema(found.schema).parquet(f"{root}/issues"))
+
+
 @query(
     """SELECT 'repositories' AS entity, COUNT(*) AS n FROM part UNION ALL SELECT 'contacts', COUNT(*) FROM customer
     UNION ALL SELECT 'issues', COUNT(*) FROM lineitem WHERE l_returnflag <> 'R'

@@ -6,17 +6,17 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from forgelake.operators.ordering import CHUNK_ROWS_KEY
+from forgelake.plans.registry import ORACLES, QUERIES
 
 FOLDER = os.environ.get("FORGELAKE_TESTDATA", "/root/testdata/sf0.001")
-QUERIES, ORACLES = queries(), oracle_sql()
 # Those whose work depends on how rows spread over keys.
 SKEWED = [
     "ingest_issues_json", "ingest_contributors_json", "ingest_counts", "page_cut", "contact_upsert", "repo_upsert",
     "upsert_written", "change_classes", "issue_upsert", "pr_upsert", "repos_with_issue_counts", "top_contributors",
     "org_links", "profile_page_repos", "bfs_reach", "bfs_budget", "markov_transitions", "markov_weights", "markov_lists",
-    "markov_remove", "markov_walk", "stream_upsert",
+    "markov_remove", "markov_walk", "stream_upsert", "stream_landed_issues", "bfs_entities", "crawl_tables", "table_counts",
 ]
 
 TYPES = {
