@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
-_AMPERSANDS = ("&amp;", "&#38;", "&#x26;", "&#X26;")
 
 
 def trimmed(text: str | Column) -> Column:
@@ -27,11 +26,14 @@ def unescape(text: str | Column) -> Column:
     References that are unknown or do not end with a semicolon stay as they are.
     """
     given = F.col(text) if isinstance(text, str) else text
-    found = F.array_distinct(F.regexp_extract_all(given, F.lit(_REFERENCE), F.lit(0)))
-    # "&amp;" last, so that what it leaves behind is not taken for another reference.
-    amp = F.filter(found, lambda r: r.isin(*_AMPERSANDS))
-    order = F.concat(F.filter(found, lambda r: ~r.isin(*_AMPERSANDS)), amp)
-    decoded = F.aggregate(order, given, lambda out, ref: F.replace(out, ref, F.coalesce(_character(ref), ref)))
+    found = F.regexp_extract_all(given, F.lit(_REFERENCE), F.lit(0))
+
+    def with_character(between: Column, i: Column) -> Column:
+        reference = F.get(found, i)
+        return F.concat(between, F.coalesce(_character(reference), reference, F.lit("")))
+
+    # Each where it stands, so that what one leaves behind is not taken for another.
+    decoded = F.array_join(F.transform(F.split(given, _REFERENCE), with_character), "")
     return F.when(F.contains(given, F.lit("&")), decoded).otherwise(given)
 
 

@@ -312,6 +312,39 @@ class Bound:
         )
         return self._html_pages(card, "login")
 
+    def nested_profile_pages(self) -> DataFrame:
+        """As ``profile_pages``, with an article before the heading, or the card inside an article with a text of its own."""
+        path = F.concat_ws("/", F.lit(""), "owner", "name")
+        heading = F.concat(F.lit('<h3><a href="'), path, F.lit('">'), F.col("name"), F.lit("</a></h3>"))
+        text = F.concat(F.lit("<p>"), "description", F.lit('<div><b itemprop="programmingLanguage">'), "language", F.lit("</b></div>"))
+        holding = F.concat(F.lit("<article><article>note</article>"), heading, text, F.lit("</article>"))
+        held = F.concat(F.lit("<article><p>around</p><article>"), heading, text, F.lit("</article></article>"))
+        return self._html_pages(F.when(F.col("part_key") % 2 == 0, holding).otherwise(held), "login")
+
+    def mixed_listing_pages(self) -> DataFrame:
+        """Organisation listing pages that link each repository in one of three ways, and each in a way that does not count."""
+        path = F.concat_ws("/", F.lit(""), "owner", "name")
+        hover = F.concat(F.lit('<a data-hovercard-type="repository" href="'), path, F.lit('">r</a>'))
+        heading = F.concat(F.lit('<h3 class="t"><span><a href="'), path, F.lit('/tree">r</a></span></h3>'))
+        row = F.concat(F.lit('<ul><li class="a Box-row"><div><a href="'), path, F.lit('/stars">r</a></div><li>x</ul>'))
+        none = F.concat(F.lit('<h4><a href="'), path, F.lit('/none">r</a></h4>'))
+        way = F.col("part_key") % 3
+        return self._html_pages(F.concat(none, F.when(way == 0, hover).when(way == 1, heading).otherwise(row)), "org")
+
+    def trending_pages(self) -> DataFrame:
+        """A page per nation with an article for each of its users."""
+        name = F.col("c_name")
+        article = F.concat(
+            F.lit('<article class="b"><h1 class="h3"><a href="/'), name, F.lit('">u</a><a href="https://x/'), name,
+            F.lit('">x</a></h1><h2><a href="/not-'), name, F.lit('">r</a></h2></article><h1><a href="/no-'), name, F.lit('">n</a></h1>'),
+        )
+        users = materialize(self.table("customer").select("c_nationkey", "c_custkey", article.alias("_html")), "snippets")
+        placed = with_index(users, ["c_nationkey"], ["c_custkey"], "_i")
+        part = F.floor((F.col("_i") - 1) / CARDS_PER_PAGE)
+        texts = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_html"))), lambda x: x["_html"])
+        pages = placed.groupBy(F.col("c_nationkey").alias("page"), part.alias("_part")).agg(F.array_join(texts, "").alias("html"))
+        return pages.select("page", "html")
+
     def listing_pages(self) -> DataFrame:
         """Organisation listing pages that link each repository in three ways."""
         path = F.concat_ws("/", F.lit(""), "owner", "name")

@@ -478,8 +478,7 @@ def _text_sql(column: str) -> str:
     {_text_sql("regexp_extract(t, '<p\\b[^>]*>(.*?)(?:</p>|<p\\b|</article>|$)', 1, 'is')")} AS description FROM a"""
 )
 def page_cards(b: Bound) -> DataFrame:
-    elements = {"title": pages.block("h1"), "description": pages.PARAGRAPH}
-    return pages.first_elements(b.table("pages"), ["page_id"], scope="article", elements=elements)
+    return pages.first_elements(b.table("pages"), ["page_id"], scope="article", names={"title": "h1", "description": "p"})
 
 
 @query(
@@ -491,6 +490,31 @@ def profile_page_repos(b: Bound) -> DataFrame:
     return cards.select("login", "id", "owner", "name", "url", "description", "language", "stars")
 
 
+@query(ORACLES["profile_page_repos"])
+def nested_card_repos(b: Bound) -> DataFrame:
+    """Cards that hold another article, or stand in one: the closest article describes a link."""
+    cards = pages.profile_cards(b.nested_profile_pages(), ["login", "page"], base_url=HUB)
+    return cards.select("login", "id", "owner", "name", "url", "description", "language", "stars")
+
+
+@query(
+    f"""{with_views('repo')} SELECT owner AS org, id, owner, name, CAST(part_key % 3 + 1 AS INTEGER) AS selector_rank,
+    url || CASE part_key % 3 WHEN 0 THEN '' WHEN 1 THEN '/tree' ELSE '/stars' END AS url FROM repo"""
+)
+def listing_selector_repos(b: Bound) -> DataFrame:
+    """Each repository is linked in one of the three ways only."""
+    found = pages.organisation_repos(b.mixed_listing_pages(), base_url=HUB, now=now())
+    return found.select("org", "id", "owner", "name", "selector_rank", "url")
+
+
+@query(
+    """SELECT c_name AS login, c_nationkey AS page FROM customer"""
+)
+def trending_articles(b: Bound) -> DataFrame:
+    """Users linked from the headings of articles, among links that do not count."""
+    return pages.trending_logins(b.trending_pages()).select("login", "page")
+
+
 @query(f"{with_views('repo')} SELECT owner AS org, id, owner, name, url, 1 AS selector_rank FROM repo")
 def listing_page_repos(b: Bound) -> DataFrame:
     found = pages.organisation_repos(b.listing_pages(), base_url=HUB, now=now())

@@ -1,9 +1,9 @@
 """Scraped web pages to repository links, cards and logins.
 
-Comments, scripts and styles are removed first. Links are found by reading the tags of a page in order
-with a stack of open elements, in built-in functions, so nested, unclosed and quoted markup is placed as
-in a browser. Texts of cards and articles are cut out by regular expressions; there a block ends at
-the first closing tag of its name.
+Comments, scripts and styles are removed first. The tags of a page are then read once in order with a stack of
+open elements, in built-in functions, so nested, unclosed and quoted markup is placed as in a browser. That
+gives the anchors, with how far each selector has matched around them, and the spans of the elements whose text is
+wanted: texts of cards and articles are found by which span contains which.
 """
 
 from __future__ import annotations
@@ -15,25 +15,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forgelake.functions.identity import repo_id
-from forgelake.functions.text import element_text, path_parts, unescape, without_leading_slash
+from forgelake.functions.text import path_parts, trimmed, unescape, without_leading_slash
 from forgelake.operators.ordering import rows_between
 
 NOISE = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>"
 ANCHOR = r"(?is)^<a\b"
 HREF = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-PARAGRAPH = r"(?is)<p\b[^>]*>(.*?)(?:</p>|<p\b|</article>|$)"
-
-
-def block(tag: str) -> str:
-    """Pattern of an element; its first group is the content."""
-    return rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"
-
-
 TAG = r"""(?s)</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*+>"""
 CLASS = r"""(?is)\sclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 _VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-_OPEN = "array<struct<name:string,classes:string>>"
+# A paragraph that was not closed ends where one of these begins.
+_NO_PARAGRAPH = (
+    *_HEADINGS, "p", "article", "section", "div", "ul", "ol", "li", "table", "form", "blockquote", "pre", "main", "nav", "header", "footer",
+)
+_OPEN = "array<struct<name:string,at:int,label:string,met:array<int>>>"
+_FOUND = "array<struct<at:int,tag:string,met:array<int>>>"
+_SPANS = "array<struct<at:int,label:string,end:int>>"
+# The end of an element that was never closed.
+_NEVER = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -62,72 +62,116 @@ class Selector:
     anchor: str = ANCHOR
     mention: bool = False
 
-    def holds(self, anchor: Column) -> Column:
-        """Whether an anchor with its open elements (outermost first) is meant."""
-        found = anchor["tag"].rlike(self.anchor)
-        if not self.blocks:
-            return found
-        met = F.lit(0)
-        step = [(k, e) for k, e in enumerate(self.blocks)]
-
-        def next_met(n: Column, opened: Column) -> Column:
-            out = n
-            for k, element in step:
-                out = F.when((n == k) & element.matches(opened), F.lit(k + 1)).otherwise(out)
-            return out
+    def advanced(self, met: Column, opened: Column) -> Column:
+        """How many of the blocks are met inside an element, from how many were around it."""
+        out = met
+        for k, element in enumerate(self.blocks):
+            out = F.when((met == k) & element.matches(opened), F.lit(k + 1)).otherwise(out)
+        return out
 
-        return found & (F.aggregate(anchor["open"], met, next_met) == len(self.blocks))
+    def holds(self, anchor: Column, number: int = 0) -> Column:
+        """Whether an anchor of a page read with this selector as the given one is meant."""
+        return anchor["tag"].rlike(self.anchor) & (anchor["met"][number] == len(self.blocks))
 
 
-def anchors(html: Column) -> Column:
-    """All anchors of a page in order, each with the elements that are open there.
+def elements(html: Column, selectors: Sequence[Selector] = (), labels: Sequence[tuple[str, str]] = ()) -> Column:
+    """What one pass over the tags of a page finds: ``found``, its anchors in order, and ``spans``.
 
-    Tags are read one by one, with a stack of open elements. An end tag closes the innermost open element of
-    its name and all inside it, and is ignored if there is none. A list item or heading that was not
-    closed ends where the next one of its list, or the next heading, begins.
+    An anchor has the number of its tag, ``at``, its text, and how many blocks of each selector are met around it.
+    ``labels`` names the elements whose spans are wanted, by patterns of their start tags; a span has the numbers of its
+    start tag and of the tag that ends it. An end tag closes the innermost open element of its name and all inside
+    it, and is ignored if there is none. A list item, heading or paragraph that was not closed ends where the next one
+    of its list, the next heading, or the next block begins.
     """
 
     def from_end(opened: Column, *names: str | Column) -> Column:
         """How far from the end the innermost element of a name is; 0 if none is open."""
         listed = F.reverse(F.transform(opened, lambda o: o["name"]))
         if len(names) == 1:
-            return F.array_position(listed, names[0])
-        return F.array_position(F.transform(listed, lambda n: n.isin(*names)), F.lit(True))
+            return F.array_position(listed, names[0]).cast("int")
+        return F.array_position(F.transform(listed, lambda n: n.isin(*names)), F.lit(True)).cast("int")
 
-    def without(opened: Column, last: Column) -> Column:
-        return F.slice(opened, F.lit(1), F.greatest(F.size(opened) - last.cast("int"), F.lit(0)))
+    none = F.array(*[F.lit(0) for _ in selectors]).cast("array<int>")
 
     def step(state: Column, tag: Column) -> Column:
         opened, name, ends = state["open"], tag["name"], tag["ends"]
-        closing = from_end(opened, name)
         item, its_list = from_end(opened, F.lit("li")), from_end(opened, "ul", "ol", "menu")
         stale = (name == "li") & (item > 0) & ((its_list == 0) | (item < its_list))
         heading = name.isin(*_HEADINGS) & F.coalesce(F.try_element_at(opened, F.lit(-1))["name"].isin(*_HEADINGS), F.lit(False))
-        under = F.when(stale, without(opened, item)).when(heading, without(opened, F.lit(1))).otherwise(opened)
-        pushed = F.concat(under, F.array(F.struct(name.alias("name"), tag["classes"].alias("classes"))))
-        now = (
-            F.when(ends & (closing > 0), without(opened, closing))
-            .when(ends | name.isin(*_VOID), opened)
-            .otherwise(pushed)
-            .cast(_OPEN)
+        closed = (
+            F.when(ends, from_end(opened, name))
+            .when(stale, item)
+            .when(heading, F.lit(1))
+            .when(name.isin(*_NO_PARAGRAPH), from_end(opened, F.lit("p")))
+            .otherwise(F.lit(0))
+        )
+        left = F.size(opened) - closed
+        under = F.slice(opened, F.lit(1), left)
+        around = F.coalesce(F.try_element_at(under, F.lit(-1))["met"], none)
+        spans = state["spans"]
+        if labels:
+            over = F.filter(F.slice(opened, left + 1, F.greatest(closed, F.lit(0))), lambda o: o["label"].isNotNull())
+            new = F.transform(over, lambda o: F.struct(o["at"].alias("at"), o["label"].alias("label"), tag["at"].alias("end")))
+            spans = F.when(closed > 0, F.concat(spans, new)).otherwise(spans)
+        met = F.array(*[s.advanced(around[k], tag) for k, s in enumerate(selectors)]).cast("array<int>")
+        pushed = F.concat(
+            under, F.array(F.struct(name.alias("name"), tag["at"].alias("at"), tag["label"].alias("label"), met.alias("met")))
         )
-        here = F.array(F.struct(tag["tag"].alias("tag"), under.cast(_OPEN).alias("open")))
-        found = F.when((name == "a") & ~ends, F.concat(state["found"], here)).otherwise(state["found"])
-        return F.struct(now.alias("open"), found.alias("found"))
+        here = F.array(F.struct(tag["at"].alias("at"), tag["tag"].alias("tag"), around.alias("met")))
+        return F.struct(
+            F.when(ends | name.isin(*_VOID), under).otherwise(pushed).cast(_OPEN).alias("open"),
+            F.when((name == "a") & ~ends, F.concat(state["found"], here)).otherwise(state["found"]).cast(_FOUND).alias("found"),
+            spans.cast(_SPANS).alias("spans"),
+        )
+
+    # Classes are only read where a selector asks for some.
+    classes = any(e.css_class is not None for s in selectors for e in s.blocks)
+
+    def labelled(tag: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for label, pattern in labels:
+            out = F.when(tag.rlike(pattern), label).otherwise(out)
+        return out
 
     tags = F.transform(
         F.regexp_extract_all(html, F.lit(TAG), F.lit(0)),
-        lambda t: F.struct(
+        lambda t, i: F.struct(
             t.alias("tag"),
+            i.alias("at"),
             F.lower(F.regexp_extract(t, r"^</?([a-zA-Z][^\s/>]*)", 1)).alias("name"),
             F.startswith(t, F.lit("</")).alias("ends"),
-            F.concat(*[F.regexp_extract(t, CLASS, g) for g in (1, 2, 3)]).alias("classes"),
+            (F.concat(*[F.regexp_extract(t, CLASS, g) for g in (1, 2, 3)]) if classes else F.lit("")).alias("classes"),
+            labelled(t).alias("label"),
         ),
     )
     start = F.struct(
-        F.array().cast(_OPEN).alias("open"), F.array().cast(f"array<struct<tag:string,open:{_OPEN}>>").alias("found")
+        F.array().cast(_OPEN).alias("open"), F.array().cast(_FOUND).alias("found"), F.array().cast(_SPANS).alias("spans")
     )
-    return F.aggregate(tags, start, step, lambda state: state["found"])
+
+    def finished(state: Column) -> Column:
+        unclosed = F.transform(
+            F.filter(state["open"], lambda o: o["label"].isNotNull()),
+            lambda o: F.struct(o["at"].alias("at"), o["label"].alias("label"), F.lit(_NEVER).alias("end")),
+        )
+        return F.struct(state["found"].alias("found"), F.concat(state["spans"], unclosed).alias("spans"))
+
+    return F.aggregate(tags, start, step, finished)
+
+
+def start_tag(name: str) -> str:
+    """Pattern of a start tag."""
+    return rf"(?is)^<{name}(?=[\s/>])"
+
+
+def first_span(spans: Column, label: str, outer: Column | None = None) -> Column:
+    """The first element with the label, within another one if that is given."""
+    inside = lambda s: F.lit(True) if outer is None else (s["at"] > outer["at"]) & (s["at"] < outer["end"])
+    return F.array_min(F.filter(spans, lambda s: (s["label"] == label) & inside(s)))
+
+
+def span_text(texts: Column, span: Column) -> Column:
+    """Text of an element; ``texts`` are the stretches between the tags of the page."""
+    return F.coalesce(trimmed(unescape(F.array_join(F.slice(texts, span["at"] + 2, span["end"] - span["at"]), ""))), F.lit(""))
 
 
 # The three ways a listing page links a repository, in order of preference.
@@ -139,6 +183,8 @@ ORGANISATION_SELECTORS = (
 # Where a trending page links its users.
 TRENDING_SELECTORS = (Selector(blocks=(Element("article"), Element("h1"))),)
 CARD_HEADING = "h3"
+# Fixed value: the mark of a card's language.
+LANGUAGE = r"""(?is)^<[a-z][^>]*\sitemprop\s*=\s*["']?programmingLanguage(?=["'\s/>])"""
 
 
 def without_noise(html: str | Column) -> Column:
@@ -154,11 +200,11 @@ def href_of(tag: Column) -> Column:
 def links(pages: DataFrame, selectors: Sequence[Selector], keep: Sequence[str], html: str = "html") -> DataFrame:
     """Links of every selector in one pass: ``keep`` + selector_rank, pos, href."""
     # Materialized by the generator, so that a page is read once for all selectors.
-    clean = pages.select(*keep, F.explode(F.array(anchors(without_noise(html)))).alias("_anchors"))
+    clean = pages.select(*keep, F.explode(F.array(elements(without_noise(html), selectors))).alias("_page"))
 
     def matches_of(rank: int, selector: Selector) -> Column:
         return F.transform(
-            F.filter("_anchors", selector.holds),
+            F.filter("_page.found", lambda anchor: selector.holds(anchor, rank - 1)),
             lambda anchor, pos: F.struct(
                 F.lit(rank).alias("selector_rank"),
                 pos.alias("pos"),
@@ -244,56 +290,55 @@ def profile_cards(
 ) -> DataFrame:
     """Profile pages to repositories, in page order, one row per card heading link.
 
-    Description and language are looked up in the article around the link; a link outside of an
-    article has neither.
+    Description and language are the first paragraph and language mark in the closest article around the link; a
+    link outside of an article has neither.
     """
-    clean = pages.select(*keep, without_noise(html).alias("_html"))
-    # Each segment ends with at most one article: what precedes its start tag lies outside.
-    segments = clean.select(*keep, F.posexplode(F.split("_html", r"(?i)</article\s*>")).alias("_segment", "_text"))
-    opening = r"(?is)^(.*?)<article\b[^>]*>(.*)$"
-    split = segments.select(
-        *keep,
-        "_segment",
-        F.when(F.col("_text").rlike(opening), F.regexp_extract("_text", opening, 1)).otherwise(F.col("_text")).alias("_before"),
-        F.when(F.col("_text").rlike(opening), F.regexp_extract("_text", opening, 2)).alias("_after"),
-    )
     heads = Selector(blocks=(Element(heading),))
-
-    def links_in(text: Column, inside: bool) -> Column:
-        return F.transform(
-            F.filter(anchors(F.coalesce(text, F.lit(""))), heads.holds),
-            lambda a, i: F.struct(F.lit(inside).alias("inside"), i.alias("i"), href_of(a["tag"]).alias("href")),
+    labels = [("article", start_tag("article")), ("p", start_tag("p")), ("language", LANGUAGE)]
+    page = F.struct(elements(F.col("_html"), [heads], labels).alias("read"), F.split("_html", TAG).alias("texts"))
+    clean = pages.select(*keep, without_noise(html).alias("_html")).select(*keep, F.explode(F.array(page)).alias("_p"))
+    spans, texts = F.col("_p.read.spans"), F.col("_p.texts")
+
+    def card(anchor: Column) -> Column:
+        around = F.filter(
+            spans, lambda s: (s["label"] == "article") & (s["at"] < anchor["at"]) & (s["end"] > anchor["at"])
+        )
+        return F.struct(anchor["at"].alias("pos"), href_of(anchor["tag"]).alias("href"), F.array_max(around).alias("article"))
+
+    def described(found: Column) -> Column:
+        return F.struct(
+            found["pos"].alias("pos"),
+            found["href"].alias("href"),
+            span_text(texts, first_span(spans, "p", found["article"])).alias("description"),
+            span_text(texts, first_span(spans, "language", found["article"])).alias("language"),
         )
 
-    language = r"""(?is)<(?:[a-z][a-z0-9]*)\b[^>]*\sitemprop\s*=\s*["']?programmingLanguage["']?[^>]*>(.*?)</"""
-    article = F.coalesce("_after", F.lit(""))
-    cards = split.select(
-        *keep,
-        "_segment",
-        F.explode(F.concat(links_in(F.col("_before"), False), links_in(F.col("_after"), True))).alias("_a"),
-        element_text(F.regexp_extract(article, PARAGRAPH, 1)).alias("_description"),
-        element_text(F.regexp_extract(article, language, 1)).alias("_language"),
-    ).select("*", path_parts(without_leading_slash("_a.href")).alias("_parts"))
+    cards = F.transform(F.transform(F.filter("_p.read.found", lambda a: heads.holds(a)), card), described)
+    found = clean.select(*keep, F.explode(cards).alias("_c")).select(
+        *keep, "_c.*", path_parts(without_leading_slash("_c.href")).alias("_parts")
+    )
     owner, name = F.get("_parts", F.lit(0)), F.get("_parts", F.lit(1))
-    return cards.filter(F.startswith(F.col("_a.href"), F.lit("/")) & (F.size("_parts") >= 2)).select(
+    return found.filter(F.startswith("href", F.lit("/")) & (F.size("_parts") >= 2)).select(
         *keep,
-        F.struct("_segment", "_a.inside", "_a.i").alias("pos"),
+        "pos",
         repo_id(owner, name).alias("id"),
         owner.alias("owner"),
         name.alias("name"),
         F.concat(F.lit(base_url), F.concat_ws("/", F.lit(""), owner, name)).alias("url"),
-        F.when(F.col("_a.inside"), F.col("_description")).otherwise("").alias("description"),
-        F.when(F.col("_a.inside"), F.col("_language")).otherwise("").alias("language"),
+        "description",
+        "language",
         F.lit(0).cast("bigint").alias("stars"),
     )
 
 
-def first_elements(pages: DataFrame, keep: Sequence[str], *, scope: str, elements: dict[str, str], html: str = "html") -> DataFrame:
-    """Text of the first match of each pattern inside the first ``scope`` block of a page."""
-    inner = F.regexp_extract(without_noise(html), block(scope), 1)
-    return pages.select(*keep, inner.alias("_scope")).select(
-        *keep, *[element_text(F.regexp_extract("_scope", pattern, 1)).alias(name) for name, pattern in elements.items()]
-    )
+def first_elements(pages: DataFrame, keep: Sequence[str], *, scope: str, names: dict[str, str], html: str = "html") -> DataFrame:
+    """Text of the first element of each name ``column -> element`` inside the first ``scope`` element of a page."""
+    labels = [(tag, start_tag(tag)) for tag in dict.fromkeys([scope, *names.values()])]
+    page = F.struct(elements(F.col("_html"), (), labels).alias("read"), F.split("_html", TAG).alias("texts"))
+    clean = pages.select(*keep, without_noise(html).alias("_html")).select(*keep, F.explode(F.array(page)).alias("_p"))
+    scoped = clean.select("*", first_span(F.col("_p.read.spans"), scope).alias("_scope"))
+    text = lambda tag: span_text(F.col("_p.texts"), first_span(F.col("_p.read.spans"), tag, F.col("_scope")))
+    return scoped.select(*keep, *[text(tag).alias(column) for column, tag in names.items()])
 
 
 def organisation_sweep(repos: DataFrame, organisations: DataFrame, budget: int) -> DataFrame:

@@ -114,6 +114,19 @@ def test_profile_cards(spark):
     ]
 
 
+def test_nested_and_unclosed_cards(spark):
+    html = (
+        '<article><article>in</article><h3><a href="/o/r">r</a></h3><p>desc</p><i itemprop=programmingLanguage>C</i></article>'
+        '<article><p>outer<article><h3><a href="/o/in">i</a></h3><div><p>inner <b>text</b><ul><li>x</ul></div></article>'
+        '<h3><a href="/o/out">o</a></h3></article>'
+        '<article><h3><a href="/o/last">l</a></h3><p>never <!-- c --> closed'
+    )
+    got = pages.profile_cards(docs(spark, [("o", html)], "login string, html string"), ["login"], base_url=BASE)
+    assert [(r.id, r.description, r.language) for r in got.orderBy("pos").collect()] == [
+        ("o/r", "desc", "C"), ("o/in", "inner text", ""), ("o/out", "outer", ""), ("o/last", "never   closed", ""),
+    ]
+
+
 def test_one_hop_expansion(spark):
     def card(path):
         return f"<article><h3><a href='{path}'>x</a></h3></article>"
@@ -130,7 +143,7 @@ def test_one_hop_expansion(spark):
 def test_first_elements(spark):
     html = "<script>var t='</p>';</script><article><h1>T&lt;</h1><p>one<br><p>two</article><article><h1>no</h1></article>"
     rows = docs(spark, [(1, html), (2, "nothing")], "page int, html string")
-    got = pages.first_elements(rows, ["page"], scope="article", elements={"t": pages.block("h1"), "p": pages.PARAGRAPH})
+    got = pages.first_elements(rows, ["page"], scope="article", names={"t": "h1", "p": "p"})
     assert sorted(tuple(r) for r in got.collect()) == [(1, "T<", "one"), (2, "", "")]
 
 
@@ -138,7 +151,7 @@ def test_first_elements(spark):
 @pytest.mark.parametrize(
     "text, want",
     [("a&#233;&#x27;b", "aé'b"), ("&eacute;&euro;&copy;", "é€©"), ("&amp;lt; &lt;", "&lt; <"), ("&amp;#233;", "&#233;"),
-     ("&nope; &#0; &#xD800; &amp", "&nope; &#0; &#xD800; &amp"), ("&#38;amp;", "&amp;"), ("&#x1F600;", "😀"), (None, None)],
+     ("&nope; &#0; &#xD800; &amp", "&nope; &#0; &#xD800; &amp"), ("&#38;amp;", "&amp;"), ("&#038;amp; &amp;", "&amp; &"), ("&#x1F600;", "😀"), (None, None)],
 )
 def test_character_references(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
