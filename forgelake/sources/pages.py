@@ -8,7 +8,7 @@ wanted: texts of cards and articles are found by which span contains which.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -105,22 +105,36 @@ def elements(html: Column, selectors: Sequence[Selector] = (), labels: Sequence[
             .when(name.isin(*_NO_PARAGRAPH), from_end(opened, F.lit("p")))
             .otherwise(F.lit(0))
         )
-        left = F.size(opened) - closed
-        under = F.slice(opened, F.lit(1), left)
+        return bound(closed, lambda n: after(state, tag, n))
+
+    def after(state: Column, tag: Column, closed: Column) -> Column:
+        """The state when a tag has ended so many of the open elements."""
+        opened = state["open"]
+        under = F.slice(opened, F.lit(1), F.size(opened) - closed)
         around = F.coalesce(F.try_element_at(under, F.lit(-1))["met"], none)
-        spans = state["spans"]
+        return bound(F.struct(under.alias("open"), around.alias("met")), lambda u: entered(state, tag, closed, u))
+
+    def entered(state: Column, tag: Column, closed: Column, under: Column) -> Column:
+        opened, spans = state["open"], state["spans"]
         if labels:
-            over = F.filter(F.slice(opened, left + 1, F.greatest(closed, F.lit(0))), lambda o: o["label"].isNotNull())
-            new = F.transform(over, lambda o: F.struct(o["at"].alias("at"), o["label"].alias("label"), tag["at"].alias("end")))
+            over = F.slice(opened, F.size(opened) - closed + 1, F.greatest(closed, F.lit(0)))
+            new = F.transform(
+                F.filter(over, lambda o: o["label"].isNotNull()),
+                lambda o: F.struct(o["at"].alias("at"), o["label"].alias("label"), tag["at"].alias("end")),
+            )
             spans = F.when(closed > 0, F.concat(spans, new)).otherwise(spans)
-        met = F.array(*[s.advanced(around[k], tag) for k, s in enumerate(selectors)]).cast("array<int>")
-        pushed = F.concat(
-            under, F.array(F.struct(name.alias("name"), tag["at"].alias("at"), tag["label"].alias("label"), met.alias("met")))
-        )
-        here = F.array(F.struct(tag["at"].alias("at"), tag["tag"].alias("tag"), around.alias("met")))
+        met = F.array(*[s.advanced(under["met"][k], tag) for k, s in enumerate(selectors)]).cast("array<int>")
+        own = F.struct(tag["name"].alias("name"), tag["at"].alias("at"), tag["label"].alias("label"), met.alias("met"))
+        here = F.array(F.struct(tag["at"].alias("at"), tag["tag"].alias("tag"), under["met"].alias("met")))
         return F.struct(
-            F.when(ends | name.isin(*_VOID), under).otherwise(pushed).cast(_OPEN).alias("open"),
-            F.when((name == "a") & ~ends, F.concat(state["found"], here)).otherwise(state["found"]).cast(_FOUND).alias("found"),
+            F.when(tag["ends"] | tag["name"].isin(*_VOID), under["open"])
+            .otherwise(F.concat(under["open"], F.array(own)))
+            .cast(_OPEN)
+            .alias("open"),
+            F.when((tag["name"] == "a") & ~tag["ends"], F.concat(state["found"], here))
+            .otherwise(state["found"])
+            .cast(_FOUND)
+            .alias("found"),
             spans.cast(_SPANS).alias("spans"),
         )
 
@@ -158,6 +172,11 @@ def elements(html: Column, selectors: Sequence[Selector] = (), labels: Sequence[
     return F.aggregate(tags, start, step, finished)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, wherever it stands in there."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def start_tag(name: str) -> str:
     """Pattern of a start tag."""
     return rf"(?is)^<{name}(?=[\s/>])"
@@ -171,7 +190,8 @@ def first_span(spans: Column, label: str, outer: Column | None = None) -> Column
 
 def span_text(texts: Column, span: Column) -> Column:
     """Text of an element; ``texts`` are the stretches between the tags of the page."""
-    return F.coalesce(trimmed(unescape(F.array_join(F.slice(texts, span["at"] + 2, span["end"] - span["at"]), ""))), F.lit(""))
+    text = bound(span, lambda s: F.array_join(F.slice(texts, s["at"] + 2, s["end"] - s["at"]), ""))
+    return F.coalesce(bound(text, lambda t: trimmed(unescape(t))), F.lit(""))
 
 
 # The three ways a listing page links a repository, in order of preference.
