@@ -1,13 +1,13 @@
 """Phrases whose words occur together more often than apart, by prefix-free parsing (operator 13).
 
-1. Texts are cut into pieces at punctuation and line ends, and pieces into words. A window of ``OVERLAP`` words
-   whose hash is divisible by ``SPACING`` is a trigger: a chunk ends with it and the next one begins with it. So
-   chunks overlap by the words of the trigger, and equal passages give equal chunks wherever they stand.
-2. The dictionary of the parse: each distinct chunk per language, whether it is the last of its piece, and how
-   often the parse has it. Copies of texts cost nothing from here on.
+1. Texts are read as words and ends of pieces (punctuation and line ends). A window of ``overlap`` words whose hash is
+   divisible by ``SPACING`` is a trigger: a chunk ends with it and the next one begins with it. So chunks overlap by
+   the words of the trigger, and equal passages give equal chunks wherever they stand.
+2. The dictionary of the parse: each distinct chunk per language, whether a text ends with it, and how often the
+   parse has it. Copies of texts cost nothing from here on.
 3. Runs of up to ``MAX_WORDS`` words are counted inside distinct chunks, times the chunk's frequency. A run
    belongs to the chunk that it begins in before the trigger, so that those in an overlap count once; it
-   always ends within that chunk.
+   always ends within that chunk. No run goes over the end of a piece.
 4. Counting goes by length. A run can only reach ``min_count`` if the shorter runs within it do, so after single words a
    run is counted only where all its words, and from three words on all its pairs, are frequent. What is
    frequent is known from a bit table of at most ``MAX_BITS``: a wrong bit costs a count that is not needed,
@@ -15,6 +15,9 @@
 5. Candidates, their parts and the longer candidates around them are joined by phrase. All parts of a candidate are
    frequent themselves. Scores are computed with decimals of 38 digits.
 
+Chunks and runs are slices of the bytes they stand in, found by numpy over many texts at once. Within a task, runs
+are told apart by a 64-bit hash and, beside it, by their length and the sum of their squared bytes.
+
 Defined results: a NULL or empty text has no words; a NULL language is ``und``. Repeated rows, also of one id, count each
 time. Only A to Z are lowered. An empty table gives no rows. Other columns are not read. Texts of any length are
 parsed in slices that end between pieces.
@@ -25,8 +28,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import chain
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,8 @@ TOP = 2000
 UNKNOWN = "und"
 # Words from one trigger to the next, on average.
 SPACING = 16
-# Words that a task holds before it adds up what it has counted, and the rows it gives out at once.
-HELD_WORDS = 1 << 20
+# Bytes that a task reads at once, about, and the rows it gives out at once.
+HELD_BYTES = 3 << 20
 ROWS_AT_ONCE = 1 << 16
 # Bits per frequent run, and the most bits, of the table that tells which runs are frequent.
 BITS_PER_RUN = 16
@@ -54,8 +55,66 @@ MAX_BITS = 1 << 28
 SLICE = 1 << 20
 # What ends a piece.
 _ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]")
+_BLANKS = re.compile(rb"  +")
+# A to Z lowered, all ends of pieces one sign and both blanks one.
+_END, _BLANK = ord("."), ord(" ")
+_PLAIN = bytes(
+    _END if chr(b) in ".,;:!?\n\x0b\x0c\r" else _BLANK if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256)
+)
+_IN_WORDS = np.array([b not in (_END, _BLANK) for b in range(256)])
+_BASE = 0x2545F4914F6CDD1D
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _CHUNKS = "lang string, chunk binary, last boolean, words long"
 _COUNTS = "lang string, phrase binary, words int, n long"
+_powers = np.ones(1, np.uint64)
+
+
+def _powers_to(n: int) -> np.ndarray:
+    global _powers
+    if len(_powers) <= n:
+        factors = np.full(1 << n.bit_length(), _BASE, np.uint64)
+        factors[0] = 1
+        _powers = np.multiply.accumulate(factors)
+    return _powers
+
+
+class Words:
+    """The words in a stretch of bytes. ``breaks`` are places where a word ends whatever stands there, as between chunks."""
+
+    def __init__(self, data: bytes | np.ndarray, breaks: np.ndarray | None = None):
+        self.data = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data
+        size = len(self.data)
+        inside = np.zeros(size + 2, bool)
+        inside[1:-1] = _IN_WORDS[self.data]
+        begin, end = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
+        if breaks is not None:
+            # Between two bytes of words.
+            breaks = breaks[inside[breaks] & inside[breaks + 1]]
+            begin[breaks] = end[breaks] = True
+        self.starts, self.stops = np.flatnonzero(begin), np.flatnonzero(end)
+        ends = np.zeros(size + 1, np.int64)
+        np.cumsum(self.data == _END, out=ends[1:])
+        # Pieces are numbered by the signs before them, and apart by breaks.
+        piece = ends[self.starts]
+        if breaks is not None and len(breaks):
+            piece = piece + np.searchsorted(breaks, self.starts, "right")
+        self.piece = piece
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of each word, and a second number that tells words apart."""
+        size = len(self.data)
+        powers, wide = _powers_to(size + 1), self.data.astype(np.uint64)
+        total = np.zeros(size + 1, np.uint64)
+        np.cumsum((wide + np.uint64(1)) * powers[:size], out=total[1:])
+        # Brought to one power, whatever the place; the base is odd, so what that leaves over cancels out.
+        value = (total[self.stops] - total[self.starts]) * powers[size - self.starts]
+        value = mix(value * np.uint64(pow(_BASE, -size, 1 << 64)) + (self.stops - self.starts).astype(np.uint64))
+        np.cumsum(wide * wide, out=total[1:])
+        lengths = (self.stops - self.starts).astype(np.uint64)
+        return value, (total[self.stops] - total[self.starts]) * np.uint64(1 << 20) + lengths
 
 
 def _slices(data: bytes, size: int = SLICE) -> Iterator[bytes]:
@@ -69,89 +128,70 @@ def _slices(data: bytes, size: int = SLICE) -> Iterator[bytes]:
     yield data[start:] if start else data
 
 
-def chunks_of(data: bytes, overlap: int, spacing: int) -> Iterator[tuple[bytes, bool, int]]:
-    """Chunks of a text: words, whether the piece ends with it, and how many words are its own."""
-    # What is left to split at after the ends of pieces are space and tab.
-    pieces = [p for p in map(bytes.split, _ENDS.split(data)) if p]
-    words = list(chain.from_iterable(pieces))
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    ends = np.cumsum(sizes)
-    begins = ends - sizes
+def plain(text: str) -> bytes:
+    """The bytes of a text with one sign for all ends of pieces, and single blanks."""
+    data = text.encode().translate(_PLAIN)
+    return _BLANKS.sub(b" ", data) if b"  " in data else data
+
+
+def chunks_of(texts: list[bytes], overlap: int, spacing: int) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Chunks of plain texts: number of the text, bytes, whether the text ends with it, and how many words are its own."""
+    data = b".".join(texts)
+    words = Words(data)
+    if not len(words):
+        none = np.zeros(0, np.int64)
+        return none, [], none.astype(bool), none
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    text = np.searchsorted(np.cumsum(sizes), words.starts, "right")
+    first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+    starts = first
     width = len(words) - overlap + 1
     if overlap and width > 0:
-        hashes = np.fromiter(map(crc32, words), np.uint64, len(words))
-        window = np.zeros(width, np.uint64)
+        value, window = words.hashes()[0], np.zeros(width, np.uint64)
         for j in range(overlap):
-            window = window * np.uint64(0x100000001B3) + hashes[j : j + width]
+            window = window * _STEP + value[j : j + width]
         at = np.flatnonzero(mix(window) % np.uint64(spacing) == 0)
-        piece = np.searchsorted(ends, at, "right")
-        # Within one piece, and not where a chunk begins anyway.
-        at = at[(at + overlap <= ends[piece]) & (at > begins[piece])]
-        starts = np.union1d(begins, at)
-    else:
-        starts = begins
-    piece = np.searchsorted(ends, starts, "right")
-    last = np.append(piece[1:] != piece[:-1], True)[: len(starts)]
-    following = np.append(starts[1:], len(words))[: len(starts)]
-    stops = np.where(last, ends[piece], following + overlap)
-    own = np.where(last, ends[piece], following) - starts
-    for a, b, end, n in zip(starts.tolist(), stops.tolist(), last.tolist(), own.tolist(), strict=True):
-        yield b" ".join(words[a:b]), end, n
+        starts = np.union1d(first, at[text[at] == text[at + overlap - 1]])
+    own = np.diff(starts, append=len(words))
+    last = np.append(text[starts[1:]] != text[starts[:-1]], True)
+    begin, stop = words.starts[starts], words.stops[starts + own - 1 + np.where(last, 0, overlap)]
+    return text[starts], [data[i:j] for i, j in zip(begin.tolist(), stop.tolist(), strict=True)], last, own
 
 
 def parse(docs: DataFrame, *, text_col: str, lang_col: str, overlap: int, spacing: int) -> DataFrame:
     """The dictionary: lang, chunk, last, words (its own) and copies."""
 
     def run(batches) -> Iterator[dict[str, list]]:
+        langs, texts, size = [], [], 0
+
+        def take() -> dict[str, list]:
+            number, chunk, last, own = chunks_of(texts, overlap, spacing)
+            return {
+                "lang": pa.array(langs, pa.string()).take(pa.array(number, pa.int64())),
+                "chunk": chunk,
+                "last": pa.array(last),
+                "words": pa.array(own, pa.int64()),
+            }
+
         for batch in batches:
-            for lang, text in zip(*batch.columns, strict=True):
-                lang = lang.as_py()
-                for part in _slices(text.as_py().encode().lower()):
-                    found = list(chunks_of(part, overlap, spacing))
-                    if found:
-                        chunk, last, words = zip(*found, strict=True)
-                        yield {"lang": [lang] * len(found), "chunk": chunk, "last": last, "words": words}
+            for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for part in _slices(plain(text)):
+                    langs.append(lang)
+                    texts.append(part)
+                    size += len(part)
+                    if size >= SLICE:
+                        yield take()
+                        langs, texts, size = [], [], 0
+        if texts:
+            yield take()
 
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(UNKNOWN))
-    parsed = map_batches(docs.select(lang.alias("lang"), text_or_empty(text_col).alias("text")), _larger(run), _CHUNKS)
+    parsed = map_batches(docs.select(lang.alias("lang"), text_or_empty(text_col).alias("text")), run, _CHUNKS)
     return parsed.groupBy("lang", "chunk", "last").agg(F.max("words").alias("words"), F.count(F.lit(1)).alias("copies"))
 
 
-def _larger(function):
-    """Joins small results of ``function`` to larger ones."""
-
-    def run(batches) -> Iterator[dict[str, list]]:
-        held, size = None, 0
-        for columns in function(batches):
-            held = held or {name: [] for name in columns}
-            for name, values in columns.items():
-                held[name].extend(values)
-            size = len(held[name])
-            if size >= ROWS_AT_ONCE:
-                yield held
-                held = None
-        if held:
-            yield held
-
-    return run
-
-
-def word_hash(lang: str, word: bytes) -> int:
-    return int.from_bytes(blake2b(lang.encode() + b"\0" + word, digest_size=8).digest(), "little")
-
-
-class _Words(dict):
-    """Numbers of the words of one language, in lists that all languages share."""
-
-    def __init__(self, lang: str, names: list, hashes: list):
-        super().__init__()
-        self._lang, self._names, self._hashes = lang, names, hashes
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self._names)
-        self._names.append((self._lang, word))
-        self._hashes.append(word_hash(self._lang, word))
-        return number
+def lang_hash(lang: str) -> int:
+    return int.from_bytes(blake2b(lang.encode(), digest_size=8).digest(), "little")
 
 
 def _bit(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -174,89 +214,79 @@ def run_hashes(hashes: np.ndarray, order: int) -> np.ndarray:
     width = max(0, len(hashes) - order + 1)
     value = np.zeros(width, np.uint64)
     for j in range(order):
-        value = value * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + width]
+        value = value * _STEP + hashes[j : j + width]
     return value
 
 
-class _Counter:
-    """Counts runs of words in the chunks that were added since it was last emptied."""
-
-    def __init__(self, low: int, high: int, overlap: int, bits: Bits | None):
-        self._low, self._high, self._overlap, self._bits = low, high, overlap, bits
-        self._forget()
-
-    def _forget(self) -> None:
-        self._names: list[tuple[str, bytes]] = []
-        self._hashes: list[int] = []
-        self._by_lang: dict[str, _Words] = {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.ids: list[int] = []
-        self._sizes: list[int] = []
-        self._own: list[int] = []
-        self._copies: list[int] = []
-
-    def add(self, lang: str, chunk: bytes, last: bool, copies: int) -> None:
-        words = chunk.split(b" ")
-        numbers = self._by_lang.get(lang)
-        if numbers is None:
-            numbers = self._by_lang[lang] = _Words(lang, self._names, self._hashes)
-        self.ids.extend(map(numbers.__getitem__, words))
-        self._sizes.append(len(words))
-        self._own.append(len(words) if last else len(words) - self._overlap)
-        self._copies.append(copies)
-
-    def take(self) -> Iterator[dict[str, list]]:
-        """What was counted, in parts; then empty."""
-        ids, sizes = np.array(self.ids, np.int64), np.array(self._sizes, np.int64)
-        ends = np.cumsum(sizes)
-        stop = np.repeat(ends, sizes)
-        own = np.arange(len(ids)) < np.repeat(ends - sizes + np.array(self._own, np.int64), sizes)
-        copies = np.repeat(np.array(self._copies, np.int64), sizes)
-        # Up to where runs may go on: the end of the chunk, or the first shorter run that is not frequent.
-        reach = stop
-        if self._bits:
-            order = self._bits.order
-            known = np.zeros(len(ids), bool)
-            hashes = run_hashes(np.array(self._hashes, np.uint64)[ids], order)
-            known[: len(hashes)] = self._bits.has(hashes)
-            rare = np.flatnonzero(~known)
-            following = np.append(rare, len(ids))[np.searchsorted(rare, np.arange(len(ids)))]
-            reach = np.minimum(stop, following + order - 1)
-        at = np.flatnonzero(own & (reach - np.arange(len(ids)) >= self._low))
-        code, scale = ids[at], len(self._names)
-        for n in range(1, self._high + 1):
-            if n > 1:
-                longer = reach[at] - at >= n
-                at = at[longer]
-                # Numbers of shorter runs are below the number of words held, so codes stay far below 2^63.
-                code = code[longer] * scale + ids[at + n - 1]
-            order = np.argsort(code, kind="stable")
-            ranked = code[order]
-            first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)])
-            if not len(first):
-                break
-            if n >= self._low:
-                yield from self._rows(ids, at[order[first]], n, np.add.reduceat(copies[at[order]], first))
-            number = np.zeros(len(ranked), np.int64)
-            number[first[1:]] = 1
-            code = np.empty_like(code)
-            code[order] = np.cumsum(number)
-        self._clear()
-        if len(self._names) > HELD_WORDS // 2:
-            self._forget()
-
-    def _rows(self, ids: np.ndarray, at: np.ndarray, n: int, counts: np.ndarray) -> Iterator[dict[str, list]]:
-        for k in range(0, len(at), ROWS_AT_ONCE):
-            part = at[k : k + ROWS_AT_ONCE]
-            runs = zip(*(ids[part + j].tolist() for j in range(n)), strict=True)
-            names = [[self._names[i] for i in run] for run in runs]
+class Held:
+    """Chunks side by side: their words, with hashes that tell languages apart."""
+
+    def __init__(self, langs: pa.Array, chunks: pa.Array):
+        _, offsets, data = chunks.buffers()
+        ends = np.frombuffer(offsets, "<i4")[chunks.offset : chunks.offset + len(chunks) + 1].astype(np.int64)
+        self.bytes = data.to_pybytes()[ends[0] : ends[-1]] if data is not None else b""
+        ends = ends - ends[0]
+        self.words = Words(np.frombuffer(self.bytes, np.uint8), ends[1:-1])
+        self.chunk = np.searchsorted(ends[1:], self.words.starts, "right")
+        numbers = langs.dictionary_encode()
+        self.langs = numbers.dictionary.to_pylist()
+        own = np.array([lang_hash(x) for x in self.langs], np.uint64)
+        self.lang = numbers.indices.to_numpy(zero_copy_only=False)
+        value, self.check = self.words.hashes()
+        self.value = mix(value ^ own[self.lang[self.chunk]]) if len(value) else value
+
+
+def counted(
+    held: Held, last: np.ndarray, copies: np.ndarray, low: int, high: int, overlap: int, bits: Bits | None
+) -> Iterator[dict[str, list]]:
+    """How often the chunks' own runs of ``low`` to ``high`` words occur, in parts."""
+    words, chunk, size = held.words, held.chunk, len(held.words)
+    if not size:
+        return
+    places = np.arange(size)
+    # Where the piece of each word ends, and the part of its chunk that is its own.
+    apart = np.append(np.flatnonzero((words.piece[1:] != words.piece[:-1]) | (chunk[1:] != chunk[:-1])) + 1, size)
+    reach = apart[np.searchsorted(apart, places, "right")]
+    ends = np.searchsorted(chunk, np.arange(len(last)), "right")
+    own = places < (ends - np.where(last, 0, overlap))[chunk]
+    if bits:
+        # Up to where runs may go on: the first shorter run that is not frequent.
+        known = np.zeros(size, bool)
+        hashes = run_hashes(held.value, bits.order)
+        known[: len(hashes)] = bits.has(hashes)
+        rare = np.append(np.flatnonzero(~known), size)
+        reach = np.minimum(reach, rare[np.searchsorted(rare, places)] + bits.order - 1)
+    at = np.flatnonzero(own & (reach - places >= low))
+    often = copies[chunk]
+    # Sums before each word, so that a run of any length is a difference.
+    checks = np.append(np.uint64(0), np.cumsum(held.check))
+    for n in range(low, high + 1):
+        at = at[reach[at] - at >= n]
+        if not len(at):
+            return
+        value = held.value[at]
+        for j in range(1, n):
+            value = value * _STEP + held.value[at + j]
+        check = checks[at + n] - checks[at]
+        order = np.argsort(value, kind="stable")
+        ranked, marks = value[order], check[order]
+        first = np.append(True, ranked[1:] != ranked[:-1])
+        if (~first[1:] & (marks[1:] != marks[:-1])).any():
+            # One hash for different runs: told apart by the second number.
+            order = np.lexsort((check, value))
+            ranked, marks = value[order], check[order]
+            first = np.append(True, (ranked[1:] != ranked[:-1]) | (marks[1:] != marks[:-1]))
+        first = np.flatnonzero(first)
+        total, example = np.add.reduceat(often[at[order]], first), at[order[first]]
+        names = pa.array(held.langs, pa.string())
+        for k in range(0, len(example), ROWS_AT_ONCE):
+            part = example[k : k + ROWS_AT_ONCE]
+            begin, stop = words.starts[part].tolist(), words.stops[part + n - 1].tolist()
             yield {
-                "lang": [run[0][0] for run in names],
-                "phrase": [b" ".join([w for _, w in run]) for run in names],
-                "words": [n] * len(part),
-                "n": pa.array(counts[k : k + ROWS_AT_ONCE], pa.int64()),
+                "lang": names.take(pa.array(held.lang[chunk[part]], pa.int64())),
+                "phrase": [held.bytes[i:j] for i, j in zip(begin, stop, strict=True)],
+                "words": pa.array(np.full(len(part), n, np.int32)),
+                "n": pa.array(total[k : k + ROWS_AT_ONCE], pa.int64()),
             }
 
 
@@ -264,17 +294,28 @@ def count_runs(chunks: DataFrame, low: int, high: int, overlap: int, bits: Bits
     """lang, phrase, words and n of all runs of ``low`` to ``high`` words that occur ``min_count`` times or more."""
     shared = chunks.sparkSession.sparkContext.broadcast(bits)
 
+    def take(batches: list[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        rows = pa.Table.from_batches(batches).combine_chunks()
+        lang, chunk, last, copies = (c.chunk(0) if c.num_chunks else c.combine_chunks() for c in rows.columns)
+        yield from counted(
+            Held(lang, chunk), last.to_numpy(zero_copy_only=False), copies.to_numpy(), low, high, overlap, shared.value
+        )
+
     def run(batches) -> Iterator[dict[str, list]]:
-        counter = _Counter(low, high, overlap, shared.value)
+        waiting, size = [], 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counter.add(*row)
-                if len(counter.ids) >= HELD_WORDS:
-                    yield from counter.take()
-        yield from counter.take()
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            size += batch.nbytes
+            if size >= HELD_BYTES:
+                yield from take(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield from take(waiting)
 
-    counted = map_batches(chunks.select("lang", "chunk", "last", "copies"), run, _COUNTS)
-    return counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+    found = map_batches(chunks.select("lang", "chunk", "last", "copies"), run, _COUNTS)
+    return found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
 
 
 def frequent_bits(frequent: DataFrame, order: int) -> Bits:
@@ -285,11 +326,11 @@ def frequent_bits(frequent: DataFrame, order: int) -> Bits:
 
     def run(batches) -> Iterator[dict[str, list]]:
         for batch in batches:
-            hashes = [
-                run_hashes(np.array([word_hash(lang, w) for w in phrase.split(b" ")], np.uint64), order)[0]
-                for lang, phrase in zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            ]
-            bit = _bit(np.array(hashes, np.uint64), size)
+            held = Held(batch.column(0), batch.column(1))
+            # A phrase is a chunk of its own: the hash of its first run.
+            first = np.flatnonzero(np.append(True, held.chunk[1:] != held.chunk[:-1])[: len(held.chunk)])
+            hashes = run_hashes(held.value, order)[first] if len(first) else np.zeros(0, np.uint64)
+            bit = _bit(hashes, size)
             yield {
                 "at": pa.array((bit >> np.uint64(6)).astype(np.int64), pa.int64()),
                 "bits": pa.array((np.uint64(1) << (bit & np.uint64(63))).view(np.int64), pa.int64()),

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,52 +66,74 @@ def test_phrases_equal_plain_counting(spark, spacing):
     assert listed(collocations.mine(docs, min_count=8, spacing=spacing, top=7, max_words=3)) == brute(rows, 8, 3, 7)
 
 
+def runs_of(text, max_words=5):
+    out = Counter()
+    for piece in text.split(b"."):
+        w = piece.split()
+        out.update(b" ".join(w[i : i + n]) for n in range(1, max_words + 1) for i in range(len(w) - n + 1))
+    return out
+
+
+def counts_of(rows, low=1, high=5, overlap=4, bits=None):
+    """Counts of the operator's tasks over (lang, chunk, last, copies)."""
+    lang, chunk, last, copies = zip(*rows, strict=True)
+    held = collocations.Held(pa.array(lang, pa.string()), pa.array(chunk, pa.binary()))
+    out = Counter()
+    for part in collocations.counted(held, np.array(last), np.array(copies), low, high, overlap, bits):
+        for name, phrase, words, n in zip(part["lang"].to_pylist(), part["phrase"], part["words"].to_pylist(), part["n"].to_pylist(), strict=True):
+            assert len(phrase.split()) == words
+            out[name, phrase] += n
+    return out
+
+
 @pytest.mark.parametrize("spacing", [1, 2, 5, 100])
 def test_chunks_hold_each_run_once(spacing):
     rng = random.Random(spacing)
-    for _ in range(50):
-        text = "".join(rng.choice("abc") + rng.choice([" ", " ", " ", "."]) for _ in range(rng.randrange(60))).encode()
-        want, got = Counter(), Counter()
-        for piece in text.split(b"."):
-            w = piece.split()
-            want.update(tuple(w[i : i + n]) for n in range(1, 6) for i in range(len(w) - n + 1))
-        for chunk, last, own in collocations.chunks_of(text, 4, spacing):
-            w = chunk.split(b" ")
-            assert own == (len(w) if last else len(w) - 4)
-            got.update(tuple(w[i : i + n]) for n in range(1, 6) for i in range(own) if i + n <= len(w))
+    for _ in range(30):
+        texts = ["".join(rng.choice("abc") + rng.choice([" ", " ", "  ", ". ", "\t", "\n"]) for _ in range(rng.randrange(60))) for _ in range(4)]
+        plain = [collocations.plain(t) for t in texts]
+        number, chunks, last, own = collocations.chunks_of(plain, 4, spacing)
+        assert sum(own) == sum(len(re.split(rb"[ .]+", p.strip(b" ."))) for p in plain if p.strip(b" ."))
+        for chunk, end, n in zip(chunks, last, own, strict=True):
+            assert n == len(re.split(rb"[ .]+", chunk)) - (0 if end else 4)
+        got = counts_of([(f"t{i}", c, e, 3) for i, c, e in zip(number, chunks, last, strict=True)]) if chunks else Counter()
+        want = Counter({(f"t{i}", run): 3 * n for i, p in enumerate(plain) for run, n in runs_of(p).items()})
         assert got == want
 
 
 def test_equal_passages_share_chunks():
     rng = random.Random(3)
     passage = " ".join(f"w{rng.randrange(1000)}" for _ in range(400))
-    a, b = (set(c for c, _, _ in collocations.chunks_of(f"{x} {passage} {x}".encode(), 4, 16)) for x in ("left", "right side"))
+    a, b = (set(collocations.chunks_of([f"{x} {passage} {x}".encode()], 4, 16)[1]) for x in ("left", "right side"))
     assert len(a & b) > 0.8 * len(a)
 
 
-def test_counter_adds_up_in_parts_and_prunes_only_what_is_rare():
+def test_different_runs_of_one_hash_are_told_apart(monkeypatch):
     rng = random.Random(1)
-    chunks = [("en", " ".join(rng.choices("abcdefgh", k=rng.randrange(5, 30))).encode(), i % 2 == 0, i % 4 + 1) for i in range(200)]
-    counts = []
-    for limit in (1, 50, 10**6):
-        counter, total = collocations._Counter(1, 5, 4, None), Counter()
-        for i, c in enumerate(chunks):
-            counter.add(*c)
-            if len(counter.ids) >= limit or i == len(chunks) - 1:
-                for part in counter.take():
-                    for lang, phrase, words, n in zip(*(part[k] if isinstance(part[k], list) else part[k].to_pylist() for k in ("lang", "phrase", "words", "n")), strict=True):
-                        assert len(phrase.split()) == words
-                        total[lang, phrase] += n
-        counts.append(total)
-    assert counts[0] == counts[1] == counts[2]
+    text = collocations.plain("".join(rng.choice(["ab", "c", "d", "ef"]) + rng.choice([" ", " ", ". "]) for _ in range(300)))
+    number, chunks, last, _ = collocations.chunks_of([text], 4, 8)
+    rows = [("en", c, e, 1) for c, e in zip(chunks, last, strict=True)]
+    want = Counter({("en", run): n for run, n in runs_of(text).items()})
+    assert counts_of(rows) == want
+    # All words of one hash: only the second number is left. Words of equal length and sum would need the first.
+    monkeypatch.setattr(collocations, "mix", lambda v: v * np.uint64(0))
+    distinct = counts_of([("en", b"ab c d ef", True, 2), ("en", b"d ef", True, 5)], 1, 1)
+    assert distinct == Counter({("en", b"ab"): 2, ("en", b"c"): 2, ("en", b"d"): 7, ("en", b"ef"): 7})
+
+
+def test_pruning_leaves_out_only_what_is_rare():
+    bits = collocations.Bits(1, np.full(1 << 10, -1, np.int64).view(np.uint64))
+    rows = [("en", b"a b c. d e f g", True, 1), ("fr", b"a b", False, 1)]
+    assert counts_of(rows, 2, 5, 0, bits) == counts_of(rows, 2, 5, 0)
+    none = collocations.Bits(1, np.zeros(1 << 10, np.uint64))
+    assert counts_of(rows, 2, 5, 0, none) == Counter()
 
 
 def test_long_texts_are_cut_between_pieces():
-    text = b"one two. three\tfour, five " * 50
+    text = collocations.plain("one two. three\tfour, five " * 50)
     parts = list(collocations._slices(text, 40))
     assert b"".join(parts) == text and len(parts) > 10
-    whole = Counter(collocations.chunks_of(text, 4, 16))
-    assert sum((Counter(collocations.chunks_of(p, 4, 16)) for p in parts), Counter()) == whole
+    assert sum((runs_of(p) for p in parts), Counter()) == runs_of(text)
 
 
 def test_corner_cases(spark):
