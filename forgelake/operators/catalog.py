@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from forgelake.functions.identity import issue_key, pull_request_key, shown_hash
 from forgelake.operators.ordering import TOP_ROWS, rows_between
+from forgelake.schemas import REPO
 
 # Field lists of the repository listings.
 SUMMARY_FIELDS = ("hash", "owner", "name", "language", "url")
@@ -33,7 +34,14 @@ def _hash_column(repos: DataFrame) -> Column:
 
 
 def _project(repos: DataFrame, fields) -> DataFrame:
-    return repos.select(*[_hash_column(repos) if f == "hash" else F.col(f) for f in fields])
+    """The fields of a listing; one that the table does not have is there as a NULL of its type."""
+
+    def column(field: str) -> Column:
+        if field == "hash":
+            return _hash_column(repos)
+        return F.col(field) if field in repos.columns else F.lit(None).cast(REPO[field].dataType).alias(field)
+
+    return repos.select(*map(column, fields))
 
 
 def issue_counts(issues: DataFrame) -> DataFrame:
@@ -50,7 +58,7 @@ def list_repos(
     """All repositories; optionally with more fields and with their number of issues."""
     fields = [*SUMMARY_FIELDS]
     if is_on(expand, EXPAND_ON):
-        fields += [f for f in EXTRA_FIELDS if f in repos.columns]
+        fields += EXTRA_FIELDS
     listed = _project(repos, fields)
     if not is_on(include_issues, COUNT_ON):
         return listed

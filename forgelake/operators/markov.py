@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,10 @@ from forgelake.session import materialize
 
 # A lookup table up to this many rows is broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
-# Slots a state's draws are spread over, at most.
-MAX_SLOTS = 1 << 16
+# Slots of a target that are listed at once: a target that takes up more of a state is listed in as many parts.
+LISTED_SLOTS = 1 << 16
+# Steps of a walk that one job takes, and that one row carries.
+STEPS_AT_ONCE = 4
 LIST_LENGTH = 1000
 SPREAD = 4096
 
@@ -101,26 +104,31 @@ def draw(seed: int, walker: str | Column, step: int, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint"), n)
 
 
-def draw_table(chain: DataFrame, *, chunk_rows: int | None = None, max_slots: int = MAX_SLOTS) -> tuple[DataFrame, DataFrame]:
+def draw_table(
+    chain: DataFrame, *, chunk_rows: int | None = None, listed_slots: int = LISTED_SLOTS
+) -> tuple[DataFrame, DataFrame]:
     """Tables a draw is looked up in: per state and slot, and per state.
 
     Each target owns the range ``lo .. hi - 1`` of its state's ``total`` numbers. The numbers are
-    cut into about as many equal slots as the state has targets and a target is listed under every
+    cut into as many equal slots as the state has targets and a target is listed under every
     slot it touches, at most twice as many rows as targets. So a draw meets two candidates on
     average, found by equality on (state, slot), however heavy the state is.
     """
     pairs = materialize(pair_counts(chain), "pairs")
     states = materialize(
-        state_totals(pairs).withColumn(
-            "width", F.ceil(F.col("total") / F.least("targets", F.lit(max_slots))).cast("bigint")
-        ),
-        "states",
+        state_totals(pairs).withColumn("width", F.ceil(F.col("total") / F.col("targets")).cast("bigint")), "states"
     )
     placed = with_sum_before(pairs, ["from_state"], ["to_state"], F.col("n"), "lo", chunk_rows=chunk_rows)
     ranged = placed.withColumn("hi", F.col("lo") + F.col("n")).join(states, "from_state")
-    first, last = F.floor(F.col("lo") / F.col("width")), F.floor((F.col("hi") - 1) / F.col("width"))
-    slots = ranged.select(
-        F.col("from_state").alias("_from"), "to_state", "lo", "hi", F.explode(F.sequence(first, last)).alias("_slot")
+    ranged = ranged.withColumn("_first", F.floor(F.col("lo") / F.col("width"))).withColumn(
+        "_last", F.floor((F.col("hi") - 1) / F.col("width"))
+    )
+    # In two steps, so that no row ever holds more than a part of a target's slots.
+    size = F.lit(listed_slots)
+    parts = ranged.withColumn("_part", F.explode(F.sequence(F.floor(F.col("_first") / size), F.floor(F.col("_last") / size))))
+    low, high = F.greatest("_first", F.col("_part") * size), F.least("_last", (F.col("_part") + 1) * size - 1)
+    slots = parts.select(
+        F.col("from_state").alias("_from"), "to_state", "lo", "hi", F.explode(F.sequence(low, high)).alias("_slot")
     )
     ahead = states.select(
         F.col("from_state").alias("to_state"), F.col("total").alias("_next_total"), F.col("width").alias("_next_width")
@@ -141,20 +149,25 @@ def walk(
     *,
     chunk_rows: int | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
-    max_slots: int = MAX_SLOTS,
+    listed_slots: int = LISTED_SLOTS,
+    steps_at_once: int = STEPS_AT_ONCE,
 ) -> DataFrame:
     """Walk ``walkers(walker, state)`` for some steps: one row per walker and step.
 
     Step 0 is the start. A state without outgoing transitions, or an unknown one, is followed by
     NULL. The same seed gives the same walks; seed 0 is replaced by the clock.
+
+    Every ``steps_at_once`` steps are written, and the next ones start from there with the last state alone: what
+    moves at a step does not grow with the steps before it.
     """
     seed = seed or time.time_ns()
-    slots, states = draw_table(chain, chunk_rows=chunk_rows, max_slots=max_slots)
+    slots, states = draw_table(chain, chunk_rows=chunk_rows, listed_slots=listed_slots)
     slots, states = _sized(slots, broadcast_rows), _sized(states, broadcast_rows)
     start = states.select(F.col("from_state").alias("_state"), F.col("total").alias("_total"), F.col("width").alias("_width"))
     now = walkers.select("walker", F.col("state").alias("_state"), F.array("state").alias("_path")).join(
         start, "_state", "left"
     )
+    parts, first = [], 0
     for step in range(1, steps + 1):
         # Walkers that have ended look up slots that do not exist, spread so that they stay apart.
         nowhere = -1 - F.pmod(F.xxhash64("walker"), F.lit(SPREAD))
@@ -174,7 +187,16 @@ def walk(
             F.col("_next_total").alias("_total"),
             F.col("_next_width").alias("_width"),
         )
-    return now.select("walker", F.posexplode("_path").alias("step", "state"))
+        if step % steps_at_once == 0 and step < steps:
+            written = materialize(now, "walk")
+            parts.append((first, written))
+            now, first = written.withColumn("_path", F.array().cast("array<string>")), step + 1
+    parts.append((first, now))
+    out = [
+        part.select("walker", F.posexplode("_path").alias("step", "state")).withColumn("step", F.col("step") + at)
+        for at, part in parts
+    ]
+    return reduce(DataFrame.unionByName, out)
 
 
 def next_states(chain: DataFrame, walkers: DataFrame, seed: int, **options) -> DataFrame:

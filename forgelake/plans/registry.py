@@ -305,9 +305,12 @@ def repo_list(b: Bound) -> DataFrame:
     return catalog.list_repos(b.repo())
 
 
-@query(f"{with_views('repo')} SELECT {_SUMMARY_SQL}, url, description, stars, license, has_open_license FROM repo")
+@query(
+    f"""{with_views('repo')} SELECT {_SUMMARY_SQL}, url, description, stars, license, has_open_license,
+    CAST(NULL AS TIMESTAMP) AS updated_at, CAST(NULL AS TIMESTAMP) AS "createdAt" FROM repo"""
+)
 def repo_list_expanded(b: Bound) -> DataFrame:
-    return catalog.list_repos(b.repo(), expand="full")
+    return _local_times(catalog.list_repos(b.repo(), expand="full"))
 
 
 @query(f"{with_views('contact')} SELECT login, hash FROM contact")

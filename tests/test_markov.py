@@ -87,7 +87,7 @@ def python_walk(pairs, start, walker, steps, seed):
     return path
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk_rows": 12, "broadcast_rows": 0, "max_slots": 7}, {"max_slots": 1}])
+@pytest.mark.parametrize("options", [{}, {"chunk_rows": 12, "broadcast_rows": 0, "listed_slots": 7}, {"listed_slots": 1, "steps_at_once": 2}])
 def test_walk_draws_from_the_multiset(spark, pairs, options):
     starts = ["hub"] * 60 + [f"s{i}" for i in range(60)] + [None]
     rows = markov.walk(chain_of(spark, *pairs), walkers_of(spark, *starts), 5, 42, **options).collect()
@@ -133,3 +133,22 @@ def test_transitions_of_a_log(spark, chunk_rows):
 
 def test_visited_users_are_counted_once(spark):
     assert catalog.distinct_users(spark.createDataFrame([("a",), ("b",), ("a",)], "login string")).first().n == 2
+
+
+def test_a_long_walk_moves_as_much_at_its_end_as_at_its_start(spark, monkeypatch):
+    pairs = [(f"s{i}", f"s{(i * k) % 11}") for i in range(11) for k in range(1, 5)]
+    widths, real = [], markov.materialize
+
+    def watched(df, label):
+        out = real(df, label)
+        if label == "walk":
+            widths.append(out.agg({"_path": "max"}).first() and max(len(r._path) for r in out.select("_path").collect()))
+        return out
+
+    monkeypatch.setattr(markov, "materialize", watched)
+    rows = markov.walk(chain_of(spark, *pairs), walkers_of(spark, "s1", "s2"), 64, 5).collect()
+    got = {w: [r.state for r in sorted(rows, key=lambda r: r.step) if r.walker == w] for w in (0, 1)}
+    assert got == {i: python_walk(pairs, s, i, 64, 5) for i, s in enumerate(("s1", "s2"))}
+    assert [len(v) for v in got.values()] == [65, 65]
+    # The first part also carries the start.
+    assert len(widths) == 15 and max(widths[1:]) == markov.STEPS_AT_ONCE and widths[0] == markov.STEPS_AT_ONCE + 1
