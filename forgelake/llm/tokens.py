@@ -2,23 +2,31 @@
 
 The tokenizer treats white space as a border no token crosses, so the ids of a text are those of its
 space-separated words in turn. Words repeat; each worker encodes a word once and then looks it up.
-Words with ``<|`` are encoded on their own, as they may hold a special token.
+Words with ``<|`` are encoded on their own, as they may hold a special token, and so are those with the sign that stands
+between words that are encoded together.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
-# Words a worker remembers (some 200 bytes each), and the longest of them; the table starts again when it is full.
-MAX_WORDS = 300_000
+# Words a worker remembers (some 200 bytes each), and the longest of them. When half of that is full, it starts again
+# and keeps what is asked for once more.
+MAX_WORDS = 1_200_000
 LONGEST_WORD = 64
-# Words per call, and the special token that marks the borders between them.
-_TOGETHER = 64
-_BORDER = "<|endoftext|>"
+# Words per call, and the sign between them: one token of its own between blanks, in no word that is not encoded alone.
+_TOGETHER = 128
+_BORDER = "\x01"
+
+# A single mark between a letter or digit and a blank is a token of its own, and so may stand apart: the word before it
+# is then the same as without it.
+_MARK = re.compile(r"(?<=[A-Za-z0-9])([.,;:!?])(?= )")
 
 _encoders: dict[str, Encoder] = {}
 
@@ -31,10 +39,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._border = self._tokenizer.token_to_id(_BORDER)
+        border = self._tokenizer.encode(_BORDER, add_special_tokens=False).ids
+        self._border = border[0] if len(border) == 1 else None
         self._max_words = max_words
         self.size = self._tokenizer.get_vocab_size()
         self._known: dict[str, bytes] = {"": b""}
+        self._before: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -43,7 +53,7 @@ class Encoder:
     def _learn(self, words: Iterable[str]) -> None:
         plain, alone = [], []
         for word in words:
-            (alone if self._border is None or "<|" in word else plain).append(word)
+            (alone if self._border is None or "<|" in word or _BORDER in word else plain).append(word)
         for word, ids in zip(alone, self._raw(alone), strict=True):
             self._known[word] = ids.tobytes()
         groups = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
@@ -56,25 +66,21 @@ class Encoder:
                 start = cut + 4
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self._known.get
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(known, words)) for words in split]
-        new, holes = set(), []
-        for words, ids in zip(split, found, strict=True):
-            if None in ids:
-                at = [i for i, x in enumerate(ids) if x is None]
-                new.update([words[i] for i in at])
-                holes.append((words, ids, at))
+        split = [_MARK.sub(r" \1", t.replace("\n", " ")).split(" ") for t in texts]
+        new = set(chain.from_iterable(split)).difference(self._known)
+        again = new.intersection(self._before)
+        for word in again:
+            self._known[word] = self._before[word]
+        new -= again
         self._learn(new)
-        for words, ids, at in holes:
-            for i in at:
-                ids[i] = known(words[i])
+        known = self._known.__getitem__
+        out = [b"".join(map(known, words)) for words in split]
         for word in new:
             if len(word) > LONGEST_WORD:
                 del self._known[word]
-        if len(self._known) > self._max_words:
-            self._known = {"": b""}
-        return [b"".join(ids) for ids in found]
+        if len(self._known) > self._max_words // 2:
+            self._before, self._known = self._known, {"": b""}
+        return out
 
 
 def default_path() -> str:
