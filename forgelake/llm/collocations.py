@@ -44,9 +44,9 @@ MAX_WORDS = 5
 TOP = 2000
 UNKNOWN = "und"
 # Words from one trigger to the next, on average.
-SPACING = 16
+SPACING = 32
 # Bytes that a task reads at once, about, and the rows it gives out at once.
-HELD_BYTES = 3 << 20
+HELD_BYTES = 6 << 20
 ROWS_AT_ONCE = 1 << 16
 # Bits per frequent run, and the most bits, of the table that tells which runs are frequent.
 BITS_PER_RUN = 16
