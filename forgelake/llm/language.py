@@ -10,8 +10,10 @@ Prediction looks up the distinct-by-position n-grams of a text, counts the bits
 positive rate ``p`` of the language's slice, ``(h - n p) / (1 - p)``. The highest corrected count
 decides, ties go to the language that sorts first. The score is its share of the two highest counts.
 
-Training reads at most about ``MAX_ROWS`` rows of each language, chosen by a hash of the text; counting
-the languages, and prediction, read all rows. The filter has ``ROWS`` rows whatever the corpus.
+Training reads all rows. So that the filter, which has ``ROWS`` rows whatever the corpus, does not fill with ever
+rarer n-grams, an n-gram must occur in ``MIN_COUNT`` texts of ``COUNTED`` of each language: of larger languages
+all texts are counted, and the count is scaled. ``max_rows`` limits the rows read of each language, chosen by a
+hash of the text.
 
 Defined results: a NULL text, or one without a letter, is ``und`` with score 0, as is every text if
 nothing was learned. If no n-gram is known, the first language wins with score 0. NULL languages are not
@@ -36,12 +38,13 @@ from forgelake.session import materialize
 
 UNKNOWN = "und"
 SIZES = (1, 2, 3, 4, 5)
-# Rows of a language that training reads, about.
-MAX_ROWS = 10_000
 # An n-gram belongs to a language if its rate there is this share of its highest rate.
 MIN_SHARE = 0.1
-# Texts an n-gram must occur this often in, over all languages.
+# Texts an n-gram must occur this often in, over all languages, where none has more texts than COUNTED.
 MIN_COUNT = 3
+COUNTED = 10_000
+# Scaled counts are whole numbers of this part, so that their sums are exact in any order.
+_PARTS = 1_000_000
 # Rows of the bit-sliced filter (a power of two), and rows per n-gram.
 ROWS = 1 << 21
 HASHES = 3
@@ -131,7 +134,7 @@ def train(
     *,
     text_col: str = "text",
     lang_col: str = "lang",
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = None,
     min_share: float = MIN_SHARE,
     min_count: int = MIN_COUNT,
     rows: int = ROWS,
@@ -145,8 +148,10 @@ def train(
     languages = sorted(totals)
     if not languages:
         return LanguageFilter([], [np.zeros(rows, np.int64)], np.zeros(0), sizes)
-    share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, max_rows / totals[lang]))))
-    sample = known.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    if max_rows is not None and max_rows < max(totals.values()):
+        share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, max_rows / totals[lang]))))
+        known = known.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+        totals = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
 
     number = {lang: i for i, lang in enumerate(languages)}
 
@@ -164,16 +169,18 @@ def train(
                     "n": pa.array(n.astype(np.int64)),
                 }
 
-    counted = map_batches(sample, count, "hash bigint, language int, n bigint")
+    counted = map_batches(known, count, "hash bigint, language int, n bigint")
     counts = counted.groupBy("hash", "language").agg(F.sum("n").alias("n"))
-    read = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    rates = F.create_map(*(F.lit(x) for lang in languages for x in (number[lang], 1.0 / max(1, read.get(lang, 1)))))
-    rated = counts.withColumn("rate", F.col("n") * rates[F.col("language")])
+    read = {lang: max(1, totals.get(lang, 1)) for lang in languages}
+    rates = F.create_map(*(F.lit(x) for lang in languages for x in (number[lang], 1.0 / read[lang])))
+    weights = F.create_map(*(F.lit(x) for lang in languages for x in (number[lang], min(1.0, COUNTED / read[lang]))))
+    scaled = F.floor(F.col("n") * weights[F.col("language")] * _PARTS)
+    rated = counts.select("hash", "language", scaled.alias("n"), (F.col("n") * rates[F.col("language")]).alias("rate"))
     typical = rated.groupBy("hash").agg(
         F.sum("n").alias("n"), F.max("rate").alias("top"), F.collect_list(F.struct("language", "rate")).alias("by")
     )
     entered = (
-        typical.filter(F.col("n") >= min_count)
+        typical.filter(F.col("n") >= min_count * _PARTS)
         .select("hash", "top", F.explode("by").alias("b"))
         .filter(F.col("b.rate") >= min_share * F.col("top"))
         .select("hash", F.col("b.language").alias("language"))

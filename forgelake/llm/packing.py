@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from forgelake.llm.common import map_batches, prepare, row_salt, text_or_empty, type_of
-from forgelake.llm.tokens import encoder
+from forgelake.llm.tokens import MAX_WORDS, encoder
 
 SEQUENCE_LENGTH = 4096
 END_ID = 2
@@ -115,13 +115,19 @@ def pack_group(pieces: pd.DataFrame, capacity: int, min_fill: float) -> pd.DataF
 
 
 def cut_documents(
-    docs: DataFrame, capacity: int, end_id: int, tokenizer: str | None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    capacity: int,
+    end_id: int,
+    tokenizer: str | None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    max_words: int = MAX_WORDS,
 ) -> DataFrame:
     """One row per piece: id, its start in the document, its ids as little-endian unsigned 32-bit."""
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches) -> Iterator[dict[str, list]]:
-        to_ids = encoder(tokenizer)
+        to_ids = encoder(tokenizer, max_words)
         for batch in batches:
             keys, groups, texts = (c.to_pylist() for c in batch.columns)
             out = {k: [] for k in ("doc_id", "group", "start", "length", "doc_tokens", "ids")}
@@ -155,14 +161,16 @@ def pack(
     seed: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
+    max_words: int = MAX_WORDS,
 ) -> DataFrame:
     """Pieces with their place: doc_id, start, length, ids (binary), doc_tokens, sequence_id, offset,
-    sequence_tokens (tokens in the sequence) and sequence_length (with padding)."""
+    sequence_tokens (tokens in the sequence) and sequence_length (with padding). A worker remembers the ids of
+    ``max_words`` words."""
     prepare(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_rows))
     # The row's place in the scan decides its group, so that copies of one id do not meet in one group.
     dealt = docs.select(id_col, text_col).withColumn("_group", row_salt(groups, seed))
-    pieces = cut_documents(dealt, sequence_length, end_id, tokenizer, id_col, text_col)
+    pieces = cut_documents(dealt, sequence_length, end_id, tokenizer, id_col, text_col, max_words)
     key = type_of(docs, id_col).simpleString()
     schema = (
         f"doc_id {key}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "

@@ -28,7 +28,7 @@ _BORDER = "\x01"
 # is then the same as without it.
 _MARK = re.compile(r"(?<=[A-Za-z0-9])([.,;:!?])(?= )")
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
 class Encoder:
@@ -89,9 +89,9 @@ def default_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def encoder(path: str | None = None) -> Encoder:
+def encoder(path: str | None = None, max_words: int = MAX_WORDS) -> Encoder:
     """The encoder of this worker process; ``path`` defaults to the public tokenizer named above."""
     path = path or default_path()
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, max_words) not in _encoders:
+        _encoders[path, max_words] = Encoder(path, max_words)
+    return _encoders[path, max_words]

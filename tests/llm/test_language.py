@@ -74,3 +74,15 @@ def test_more_languages_than_a_slice_has_bits(documents):
     assert len(model.slices) == 2
     found = language.predict(documents(rows), model, ["lang"]).collect()
     assert all(r["lang_pred"] == r["lang"] for r in found)
+
+
+def test_training_reads_all_rows_of_a_large_language(documents):
+    """Each rare letter is in 9 of 30,000 texts: often enough when all are counted, a matter of luck in a sample."""
+    rare = [chr(0x4E00 + i) for i in range(40)]
+    rows = [(i, f"fgh {rare[i % 1000]}" if i % 1000 < 40 and i < 9000 else f"abc{i % 7}", "aa", None) for i in range(30_000)]
+    model = language.train(documents(rows))
+    assert all(model.hits(letter)[1][0] == model.hits(letter)[0] for letter in rare)
+    # One text less, and it is too rare for a language of that size.
+    once = [(i, f"fgh {rare[0]}" if i < 8 else f"abc{i % 7}", "aa", None) for i in range(30_000)]
+    found = language.train(documents(once)).hits(rare[0])
+    assert found[1][0] < found[0]
