@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from forgelake.functions.identity import with_fingerprint
-from forgelake.operators.upsert import classify, latest, written
+from forgelake.functions.identity import long_hash, short_hash, with_fingerprint
+from forgelake.operators.upsert import classify, latest, near_rows, written
 
 
 # Micro-batches after which the log is folded into a base.
@@ -51,8 +51,10 @@ class WriteLog:
 
     def _last(self, rows: DataFrame) -> DataFrame:
         values = [c for c in rows.columns if c not in self.keys]
+        # The fingerprint moves by its bytes.
         last = F.max_by(F.struct(*values), F.struct("batch_id", *self.order))
-        return rows.groupBy(*self.keys).agg(last.alias("_v")).select(*self.keys, "_v.*")
+        found = rows.withColumn("hash", short_hash("hash")).groupBy(*self.keys).agg(last.alias("_v"))
+        return found.select(*self.keys, "_v.*").withColumn("hash", long_hash("hash"))
 
     def state(self, before: int | None = None) -> DataFrame:
         """Last written row per key, optionally as it was before a batch."""
@@ -63,12 +65,18 @@ class WriteLog:
         rows = self.rows(before).join(batch.select(*self.keys).distinct(), self.keys, "left_semi")
         return self._last(rows).drop("batch_id")
 
+    def history_for(self, batch: DataFrame, before: int) -> DataFrame:
+        """Key, fingerprint, order and ``batch_id`` of the rows written before a batch that may have one of its keys: of
+        each key all rows or none, so the last is its state."""
+        rows = self.rows(before).select(*dict.fromkeys([*self.keys, "hash", *self.order]), "batch_id")
+        return near_rows(rows, batch, self.keys)[0]
+
     def write(self, rows: DataFrame, batch_id: int) -> None:
-        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.root}/log/batch_id={batch_id}")
+        rows.select(*self.schema.names).write.option("compression", "zstd").mode("overwrite").parquet(f"{self.root}/log/batch_id={batch_id}")
 
     def compact(self, through: int) -> None:
         """Write the state after batch ``through`` as a base; older files may then be removed."""
-        self._last(self.rows(through + 1)).write.mode("overwrite").parquet(f"{self.root}/base/through={through}")
+        self._last(self.rows(through + 1)).write.option("compression", "zstd").mode("overwrite").parquet(f"{self.root}/base/through={through}")
 
 
 def upsert_stream(
@@ -98,8 +106,9 @@ def upsert_stream(
             if last_wins:
                 fresh = latest(with_fingerprint(rows, identity), log.keys, log.order)
             else:
-                stored = log.stored_for(rows, batch_id)
-                fresh = written(classify(rows, log.keys, log.order, identity, stored, chunk_rows=chunk_rows))
+                stored = log.history_for(rows, batch_id)
+                found = classify(rows, log.keys, log.order, identity, stored, stored_order=["batch_id"], chunk_rows=chunk_rows)
+                fresh = written(found)
             if stamp is not None:
                 fresh = fresh.withColumn("updated_at", stamp())
             log.write(fresh, batch_id)

@@ -76,3 +76,13 @@ def test_time_defaults(spark):
     assert sorted(str(r[0])[:10] for r in df.select(ids.or_now("t", now)).collect()) == ["2020-01-01", "2024-05-05"]
     assert df.select(ids.or_now("t")).filter("coalesce(t, current_timestamp()) IS NULL").count() == 0
     assert one(spark, ids.id_text(F.lit(None).cast("bigint"))) == "0" and one(spark, ids.id_text(F.lit(12))) == "12"
+
+
+def test_short_hash_is_reversible(spark):
+    digest = "0f" * 32
+    texts = [digest, digest.upper(), digest + "\n", digest[:-1], "", "h", "äß", "\x01" + digest, None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    short = rows.withColumn("s", ids.short_hash("t"))
+    got = {r.i: (r.back, len(r.s or b"")) for r in short.withColumn("back", ids.long_hash("s")).collect()}
+    assert [got[i][0] for i in range(len(texts))] == texts
+    assert got[0][1] == 33
