@@ -78,15 +78,13 @@ def tokenize(
     """doc_id, a tie breaker and the ids of each row, with the end id, and the kind of number they are stored
     as: 16 bit if all ids of the vocabulary fit."""
     kind = np.dtype("<u2" if max(encoder(tokenizer).size - 1, end_id) <= 0xFFFF else "<u4")
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches) -> Iterator[dict[str, list]]:
         to_ids = encoder(tokenizer)
         for batch in batches:
-            found = to_ids.encode(batch.column(2).to_pylist())
-            lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4 + 1
-            flat = np.frombuffer(end.join([*found, b""]), "<u4").astype(kind)
-            yield {"doc_id": batch.column(0), "tie": batch.column(1), "ids": _binary(flat, lengths)}
+            found, lengths = to_ids.flat(batch.column(2))
+            flat = np.insert(found.astype(kind), np.cumsum(lengths), end_id)
+            yield {"doc_id": batch.column(0), "tie": batch.column(1), "ids": _binary(flat, lengths + 1)}
 
     schema = T.StructType(
         [
