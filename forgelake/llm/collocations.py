@@ -9,9 +9,11 @@
    belongs to the chunk that it begins in before the trigger, so that those in an overlap count once; it
    always ends within that chunk. No run goes over the end of a piece.
 4. Counting goes by length. A run can only reach ``min_count`` if the shorter runs within it do, so after single words a
-   run is counted only where all its words, and from three words on all its pairs, are frequent. What is
-   frequent is known from a bit table of at most ``MAX_BITS``: a wrong bit costs a count that is not needed,
-   and is never missed. Every task adds up its own counts before the shuffle.
+   run is counted only where all its words and all its pairs may be frequent. Most pairs are rare, and are never moved as
+   text: every task sends a 32-bit key of each pair and how often it has it, as sorted steps of about two bytes. Pairs of one
+   key are added up together, so a sum is never too low, and pairs of a key that reaches ``min_count`` are counted exactly
+   with the longer runs. What may be frequent is known from a bit table of at most ``MAX_BITS``: a wrong bit costs a count
+   that is not needed, and is never missed. Every task adds up its own counts before the shuffle.
 5. Candidates, their parts and the longer candidates around them are joined by phrase. All parts of a candidate are
    frequent themselves. Scores are computed with decimals of 38 digits.
 
@@ -51,6 +53,9 @@ ROWS_AT_ONCE = 1 << 16
 # Bits per frequent run, and the most bits, of the table that tells which runs are frequent.
 BITS_PER_RUN = 16
 MAX_BITS = 1 << 28
+# Ranges that keys of runs are dealt by, and the keys that a task holds before it sends or adds them up.
+KEY_BITS, RANGE_BITS = 32, 22
+KEYS_AT_ONCE = 1 << 21
 # Bytes of a text that are parsed at once, about.
 SLICE = 1 << 20
 # What ends a piece.
@@ -66,6 +71,7 @@ _BASE = 0x2545F4914F6CDD1D
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _CHUNKS = "lang string, chunk binary, last boolean, words long"
 _COUNTS = "lang string, phrase binary, words int, n long"
+_KEYS = "range int, steps binary, counts binary"
 _powers = np.ones(1, np.uint64)
 
 
@@ -236,13 +242,9 @@ class Held:
         self.value = mix(value ^ own[self.lang[self.chunk]]) if len(value) else value
 
 
-def counted(
-    held: Held, last: np.ndarray, copies: np.ndarray, low: int, high: int, overlap: int, bits: Bits | None
-) -> Iterator[dict[str, list]]:
-    """How often the chunks' own runs of ``low`` to ``high`` words occur, in parts."""
+def own_places(held: Held, last: np.ndarray, low: int, overlap: int, bits: Bits | None) -> tuple[np.ndarray, np.ndarray]:
+    """Where the chunks' own runs of ``low`` words or more begin, and for each word where runs from it must end."""
     words, chunk, size = held.words, held.chunk, len(held.words)
-    if not size:
-        return
     places = np.arange(size)
     # Where the piece of each word ends, and the part of its chunk that is its own.
     apart = np.append(np.flatnonzero((words.piece[1:] != words.piece[:-1]) | (chunk[1:] != chunk[:-1])) + 1, size)
@@ -256,7 +258,17 @@ def counted(
         known[: len(hashes)] = bits.has(hashes)
         rare = np.append(np.flatnonzero(~known), size)
         reach = np.minimum(reach, rare[np.searchsorted(rare, places)] + bits.order - 1)
-    at = np.flatnonzero(own & (reach - places >= low))
+    return np.flatnonzero(own & (reach - places >= low)), reach
+
+
+def counted(
+    held: Held, last: np.ndarray, copies: np.ndarray, low: int, high: int, overlap: int, bits: Bits | None
+) -> Iterator[dict[str, list]]:
+    """How often the chunks' own runs of ``low`` to ``high`` words occur, in parts."""
+    words, chunk = held.words, held.chunk
+    if not len(words):
+        return
+    at, reach = own_places(held, last, low, overlap, bits)
     often = copies[chunk]
     # Sums before each word, so that a run of any length is a difference.
     checks = np.append(np.uint64(0), np.cumsum(held.check))
@@ -290,39 +302,149 @@ def counted(
             }
 
 
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Held, np.ndarray, np.ndarray]]:
+    """Chunks, whether a text ends with them, and their copies: many at a time."""
+
+    def take() -> tuple[Held, np.ndarray, np.ndarray]:
+        rows = pa.Table.from_batches(waiting).combine_chunks()
+        lang, chunk, last, copies = (c.chunk(0) if c.num_chunks else c.combine_chunks() for c in rows.columns)
+        return Held(lang, chunk), last.to_numpy(zero_copy_only=False), copies.to_numpy()
+
+    waiting, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        waiting.append(batch)
+        size += batch.nbytes
+        if size >= HELD_BYTES:
+            yield take()
+            waiting, size = [], 0
+    if waiting:
+        yield take()
+
+
 def count_runs(chunks: DataFrame, low: int, high: int, overlap: int, bits: Bits | None, min_count: int) -> DataFrame:
     """lang, phrase, words and n of all runs of ``low`` to ``high`` words that occur ``min_count`` times or more."""
     shared = chunks.sparkSession.sparkContext.broadcast(bits)
 
-    def take(batches: list[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-        rows = pa.Table.from_batches(batches).combine_chunks()
-        lang, chunk, last, copies = (c.chunk(0) if c.num_chunks else c.combine_chunks() for c in rows.columns)
-        yield from counted(
-            Held(lang, chunk), last.to_numpy(zero_copy_only=False), copies.to_numpy(), low, high, overlap, shared.value
-        )
-
     def run(batches) -> Iterator[dict[str, list]]:
+        for held, last, copies in _tables(batches):
+            yield from counted(held, last, copies, low, high, overlap, shared.value)
+
+    found = map_batches(chunks.select("lang", "chunk", "last", "copies"), run, _COUNTS)
+    return found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+
+
+def add_up(counts: list[np.ndarray], most: int) -> np.ndarray:
+    """Counts in the lower halves of numbers, added up by the upper halves, which then ascend; sums end at ``most``."""
+    ranked = np.sort(np.concatenate(counts)) if counts else np.zeros(0, np.uint64)
+    if not len(ranked):
+        return ranked
+    keys = ranked >> np.uint64(32)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    total = np.add.reduceat(ranked & np.uint64(0xFFFFFFFF), first)
+    return keys[first] << np.uint64(32) | np.minimum(total, np.uint64(most))
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit numbers, all lowest bytes first: the upper ones are mostly alike and take no space once compressed."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.uint64)
+
+
+def key_rows(counts: np.ndarray) -> dict[str, list]:
+    """A row for each range of keys: the steps from one key to the next, and the counts."""
+    keys, often = counts >> np.uint64(32), counts & np.uint64(0xFFFFFFFF)
+    ranges = keys >> np.uint64(RANGE_BITS)
+    starts = np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])[: len(keys)])
+    steps = np.diff(keys, prepend=np.uint64(0))
+    steps[starts] = keys[starts] & np.uint64((1 << RANGE_BITS) - 1)
+    borders = list(zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)) if len(starts) else []
+    return {
+        "range": pa.array(ranges[starts].astype(np.int32), pa.int32()),
+        "steps": [_planes(steps[i:j]) for i, j in borders],
+        "counts": [_planes(often[i:j]) for i, j in borders],
+    }
+
+
+def key_counts(steps: bytes, counts: bytes) -> np.ndarray:
+    """Keys within their range in the upper halves, counts in the lower ones."""
+    return np.cumsum(_from_planes(steps)) << np.uint64(32) | _from_planes(counts)
+
+
+def likely_bits(chunks: DataFrame, order: int, overlap: int, bits: Bits | None, min_count: int) -> Bits:
+    """The bit table of all runs of ``order`` words that may occur ``min_count`` times or more."""
+    shared = chunks.sparkSession.sparkContext.broadcast(bits)
+    # Sums need not go on beyond what decides.
+    most = max(1, min(min_count, (1 << 32) - 1))
+
+    def send(batches) -> Iterator[dict[str, list]]:
         waiting, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
+        for held, last, copies in _tables(batches):
+            if not len(held.words):
                 continue
-            waiting.append(batch)
-            size += batch.nbytes
-            if size >= HELD_BYTES:
-                yield from take(waiting)
+            at, _ = own_places(held, last, order, overlap, shared.value)
+            keys = _bit(run_hashes(held.value, order)[at], 1 << KEY_BITS)
+            waiting.append(add_up([keys << np.uint64(32) | np.minimum(copies[held.chunk[at]], most).astype(np.uint64)], most))
+            size += len(waiting[-1])
+            if size >= KEYS_AT_ONCE:
+                yield key_rows(add_up(waiting, most))
                 waiting, size = [], 0
-        if waiting:
-            yield from take(waiting)
+        yield key_rows(add_up(waiting, most))
 
-    found = map_batches(chunks.select("lang", "chunk", "last", "copies"), run, _COUNTS)
-    return found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+    def receive(batches) -> Iterator[dict[str, list]]:
+        waiting, size, current = [], 0, None
 
+        def likely() -> dict[str, list]:
+            found = add_up(waiting, most)
+            found = found[found & np.uint64(0xFFFFFFFF) >= np.uint64(most)] >> np.uint64(32)
+            return {"key": pa.array((found + np.uint64((current or 0) << RANGE_BITS)).astype(np.int64), pa.int64())}
 
-def frequent_bits(frequent: DataFrame, order: int) -> Bits:
-    """The bit table of the runs of ``order`` words in ``frequent``."""
+        for batch in batches:
+            for number, steps, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if number != current:
+                    yield likely()
+                    waiting, size, current = [], 0, number
+                waiting.append(key_counts(steps, counts))
+                size += len(waiting[-1])
+                # A range has at most 2 ** RANGE_BITS keys.
+                if size >= max(KEYS_AT_ONCE, 2 * len(waiting[0])):
+                    waiting = [add_up(waiting, most)]
+                    size = len(waiting[0])
+        yield likely()
+
+    sent = map_batches(chunks.select("lang", "chunk", "last", "copies"), send, _KEYS)
+    dealt = sent.repartition("range").sortWithinPartitions("range")
+    keys = materialize(map_batches(dealt, receive, "key long"), f"keys-{order}")
+    size = table_size(keys.count())
+    bit = F.col("key").bitwiseAND(F.lit(size - 1))
+    words = keys.select(F.shiftright(bit, 6).alias("at"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bits"))
+    return bit_table(words, order, size)
+
+
+def table_size(runs: int) -> int:
+    """Bits of the table of so many runs."""
     size = 1 << 16
-    while size < MAX_BITS and size < BITS_PER_RUN * frequent.count():
+    while size < MAX_BITS and size < BITS_PER_RUN * runs:
         size *= 2
+    return size
+
+
+def bit_table(words: DataFrame, order: int, size: int) -> Bits:
+    """The table of ``size`` bits from words of 64 bits, ``bits``, and their places, ``at``."""
+    # At most a row for each 64 bits of a table of bounded size.
+    found = words.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(size // 64, np.uint64)
+    table[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return Bits(order, table)
+
+
+def frequent_bits(frequent: DataFrame, order: int) -> Bits:
+    """The bit table of the runs of ``order`` words in ``frequent``."""
+    size = table_size(frequent.count())
 
     def run(batches) -> Iterator[dict[str, list]]:
         for batch in batches:
@@ -336,12 +458,7 @@ def frequent_bits(frequent: DataFrame, order: int) -> Bits:
                 "bits": pa.array((np.uint64(1) << (bit & np.uint64(63))).view(np.int64), pa.int64()),
             }
 
-    words = map_batches(frequent.select("lang", "phrase"), run, "at long, bits long")
-    # At most a row for each 64 bits of a table of bounded size.
-    found = words.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(size // 64, np.uint64)
-    table[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return Bits(order, table)
+    return bit_table(map_batches(frequent.select("lang", "phrase"), run, "at long, bits long"), order, size)
 
 
 def mine(
@@ -359,15 +476,10 @@ def mine(
     overlap = max_words - 1
     chunks = materialize(parse(docs, text_col=text_col, lang_col=lang_col, overlap=overlap, spacing=spacing), "chunks")
     totals = chunks.groupBy("lang").agg(F.sum(F.col("words") * F.col("copies")).alias("total"))
-    frequent, bits = None, None
-    # Single words, pairs, and all longer runs.
-    for low, high in [(1, 1), (2, min(2, max_words)), (3, max_words)]:
-        if low > high:
-            break
-        found = materialize(count_runs(chunks, low, high, overlap, bits, min_count), f"runs-{low}")
-        frequent = found if frequent is None else frequent.unionByName(found)
-        if high < max_words:
-            bits = frequent_bits(found, high)
+    frequent = materialize(count_runs(chunks, 1, 1, overlap, None, min_count), "runs-1")
+    if max_words > 1:
+        bits = likely_bits(chunks, 2, overlap, frequent_bits(frequent, 1), min_count)
+        frequent = frequent.unionByName(materialize(count_runs(chunks, 2, max_words, overlap, bits, min_count), "runs-2"))
     return rank_phrases(frequent, totals, top)
 
 

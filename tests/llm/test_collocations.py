@@ -154,3 +154,34 @@ def test_products_beyond_64_bits(spark):
     totals = spark.createDataFrame([("en", 7 * 10**12)], "lang string, total long")
     [row] = collocations.rank_phrases(runs, totals, 10).collect()
     assert row["score"] == 1000 * 10**12 * 7 * 10**12 // (12 * 10**24)
+
+
+def test_keys_of_runs_add_up_and_travel():
+    rng = np.random.default_rng(2)
+    keys = np.concatenate([rng.integers(0, 1 << 32, 500, np.uint64), rng.integers(0, 50, 500, np.uint64)])
+    often = rng.integers(1, 40, 1000).astype(np.uint64)
+    want = Counter()
+    for k, n in zip(keys.tolist(), often.tolist(), strict=True):
+        want[k] += n
+    rows = collocations.key_rows(collocations.add_up([keys << np.uint64(32) | often], 100))
+    got = {}
+    for number, steps, counts in zip(rows["range"].to_pylist(), rows["steps"], rows["counts"], strict=True):
+        for x in collocations.key_counts(steps, counts).tolist():
+            got[(number << collocations.RANGE_BITS) + (x >> 32)] = x & 0xFFFFFFFF
+    assert got == {k: min(n, 100) for k, n in want.items()}
+    assert collocations.key_rows(collocations.add_up([], 100))["steps"] == []
+
+
+@pytest.mark.parametrize("at_once", [1, 1 << 21])
+def test_only_pairs_that_may_be_frequent_are_counted_as_text(spark, monkeypatch, at_once):
+    monkeypatch.setattr(collocations, "KEYS_AT_ONCE", at_once)
+    # All words are frequent, and all but one pair are rare.
+    words = [f"w{i}" for i in range(40)]
+    texts = [f"{a} {b}" for a in words for b in words for _ in range(2)] + ["w3 w5"] * 58
+    rows = [("en", t.encode(), True, 1) for t in texts]
+    chunks = spark.createDataFrame(rows, "lang string, chunk binary, last boolean, copies long")
+    known = collocations.frequent_bits(collocations.count_runs(chunks, 1, 1, 4, None, 60), 1)
+    bits = collocations.likely_bits(chunks, 2, 4, known, 60)
+    assert 1 <= sum(int(x).bit_count() for x in bits.table) <= 2
+    assert counts_of([(a, b, c, d) for a, b, c, d in rows], 2, 5, 4, bits)["en", b"w3 w5"] == 60
+    assert len(counts_of(rows, 2, 5, 4, bits)) < 5 < len(counts_of(rows, 2, 5, 4))
