@@ -8,12 +8,12 @@
 3. Runs of up to ``MAX_WORDS`` words are counted inside distinct chunks, times the chunk's frequency. A run
    belongs to the chunk that it begins in before the trigger, so that those in an overlap count once; it
    always ends within that chunk. No run goes over the end of a piece.
-4. Counting goes by length. A run can only reach ``min_count`` if the shorter runs within it do, so after single words a
-   run is counted only where all its words and all its pairs may be frequent. Most pairs are rare, and are never moved as
-   text: every task sends a 32-bit key of each pair and how often it has it, as sorted steps of about two bytes. Pairs of one
-   key are added up together, so a sum is never too low, and pairs of a key that reaches ``min_count`` are counted exactly
-   with the longer runs. What may be frequent is known from a bit table of at most ``MAX_BITS``: a wrong bit costs a count
-   that is not needed, and is never missed. Every task adds up its own counts before the shuffle.
+4. A run can only reach ``min_count`` if the shorter runs within it do, so runs are counted only where all their words
+   and all their pairs may be frequent. Most words and pairs are rare, and are never moved as text: every task sends a
+   32-bit key of each word, and then of each pair of words that may be frequent, and how often it has it, as sorted steps
+   of about two bytes. Runs of one key are added up together, so a sum is never too low. What may be frequent is known from
+   bit tables of at most ``MAX_BITS``: a wrong bit costs a count that is not needed, and is never missed. The runs left are
+   counted exactly, all lengths at once. Every task adds up its own counts before the shuffle.
 5. Candidates, their parts and the longer candidates around them are joined by phrase. All parts of a candidate are
    frequent themselves. Scores are computed with decimals of 38 digits.
 
@@ -28,7 +28,7 @@ parsed in slices that end between pieces.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -50,12 +50,12 @@ SPACING = 32
 # Bytes that a task reads at once, about, and the rows it gives out at once.
 HELD_BYTES = 6 << 20
 ROWS_AT_ONCE = 1 << 16
-# Bits per frequent run, and the most bits, of the table that tells which runs are frequent.
-BITS_PER_RUN = 16
+# Bits per frequent run, and the most bits, of a table that tells which runs may be frequent.
+BITS_PER_RUN = 32
 MAX_BITS = 1 << 28
 # Ranges that keys of runs are dealt by, and the keys that a task holds before it sends or adds them up.
 KEY_BITS, RANGE_BITS = 32, 22
-KEYS_AT_ONCE = 1 << 21
+KEYS_AT_ONCE = 1 << 20
 # Bytes of a text that are parsed at once, about.
 SLICE = 1 << 20
 # What ends a piece.
@@ -205,10 +205,10 @@ def _bit(hashes: np.ndarray, size: int) -> np.ndarray:
 
 
 class Bits:
-    """Which runs of ``order`` words may be frequent."""
+    """Which runs of ``order`` words may be frequent, and which ``shorter`` ones, if that is known apart."""
 
-    def __init__(self, order: int, table: np.ndarray):
-        self.order, self.table = order, table
+    def __init__(self, order: int, table: np.ndarray, shorter: Bits | None = None):
+        self.order, self.table, self.shorter = order, table, shorter
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         bit = _bit(hashes, 64 * len(self.table))
@@ -251,13 +251,14 @@ def own_places(held: Held, last: np.ndarray, low: int, overlap: int, bits: Bits
     reach = apart[np.searchsorted(apart, places, "right")]
     ends = np.searchsorted(chunk, np.arange(len(last)), "right")
     own = places < (ends - np.where(last, 0, overlap))[chunk]
-    if bits:
+    while bits:
         # Up to where runs may go on: the first shorter run that is not frequent.
         known = np.zeros(size, bool)
         hashes = run_hashes(held.value, bits.order)
         known[: len(hashes)] = bits.has(hashes)
         rare = np.append(np.flatnonzero(~known), size)
         reach = np.minimum(reach, rare[np.searchsorted(rare, places)] + bits.order - 1)
+        bits = bits.shorter
     return np.flatnonzero(own & (reach - places >= low)), reach
 
 
@@ -302,13 +303,13 @@ def counted(
             }
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Held, np.ndarray, np.ndarray]]:
-    """Chunks, whether a text ends with them, and their copies: many at a time."""
+def _by_tables(batches: Iterator[pa.RecordBatch], function: Callable[[Held, np.ndarray, np.ndarray], Iterable]) -> Iterator:
+    """What a function of chunks, whether a text ends with them, and their copies gives: for many chunks at a time."""
 
-    def take() -> tuple[Held, np.ndarray, np.ndarray]:
+    def take() -> Iterable:
         rows = pa.Table.from_batches(waiting).combine_chunks()
         lang, chunk, last, copies = (c.chunk(0) if c.num_chunks else c.combine_chunks() for c in rows.columns)
-        return Held(lang, chunk), last.to_numpy(zero_copy_only=False), copies.to_numpy()
+        return function(Held(lang, chunk), last.to_numpy(zero_copy_only=False), copies.to_numpy())
 
     waiting, size = [], 0
     for batch in batches:
@@ -317,10 +318,10 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Held, np.ndarra
         waiting.append(batch)
         size += batch.nbytes
         if size >= HELD_BYTES:
-            yield take()
+            yield from take()
             waiting, size = [], 0
     if waiting:
-        yield take()
+        yield from take()
 
 
 def count_runs(chunks: DataFrame, low: int, high: int, overlap: int, bits: Bits | None, min_count: int) -> DataFrame:
@@ -328,8 +329,7 @@ def count_runs(chunks: DataFrame, low: int, high: int, overlap: int, bits: Bits
     shared = chunks.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches) -> Iterator[dict[str, list]]:
-        for held, last, copies in _tables(batches):
-            yield from counted(held, last, copies, low, high, overlap, shared.value)
+        return _by_tables(batches, lambda held, last, copies: counted(held, last, copies, low, high, overlap, shared.value))
 
     found = map_batches(chunks.select("lang", "chunk", "last", "copies"), run, _COUNTS)
     return found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
@@ -337,13 +337,15 @@ def count_runs(chunks: DataFrame, low: int, high: int, overlap: int, bits: Bits
 
 def add_up(counts: list[np.ndarray], most: int) -> np.ndarray:
     """Counts in the lower halves of numbers, added up by the upper halves, which then ascend; sums end at ``most``."""
-    ranked = np.sort(np.concatenate(counts)) if counts else np.zeros(0, np.uint64)
+    ranked = np.concatenate(counts) if counts else np.zeros(0, np.uint64)
     if not len(ranked):
         return ranked
-    keys = ranked >> np.uint64(32)
+    ranked.sort()
+    keys = (ranked >> np.uint64(32)).astype(np.uint32)
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    total = np.add.reduceat(ranked & np.uint64(0xFFFFFFFF), first)
-    return keys[first] << np.uint64(32) | np.minimum(total, np.uint64(most))
+    ranked &= np.uint64(0xFFFFFFFF)
+    total = np.minimum(np.add.reduceat(ranked, first), np.uint64(most))
+    return keys[first].astype(np.uint64) << np.uint64(32) | total
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -357,11 +359,11 @@ def _from_planes(data: bytes) -> np.ndarray:
 
 def key_rows(counts: np.ndarray) -> dict[str, list]:
     """A row for each range of keys: the steps from one key to the next, and the counts."""
-    keys, often = counts >> np.uint64(32), counts & np.uint64(0xFFFFFFFF)
-    ranges = keys >> np.uint64(RANGE_BITS)
+    keys, often = (counts >> np.uint64(32)).astype(np.uint32), counts.astype(np.uint32)
+    ranges = keys >> np.uint32(RANGE_BITS)
     starts = np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1])[: len(keys)])
-    steps = np.diff(keys, prepend=np.uint64(0))
-    steps[starts] = keys[starts] & np.uint64((1 << RANGE_BITS) - 1)
+    steps = np.diff(keys, prepend=np.uint32(0))
+    steps[starts] = keys[starts] & np.uint32((1 << RANGE_BITS) - 1)
     borders = list(zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True)) if len(starts) else []
     return {
         "range": pa.array(ranges[starts].astype(np.int32), pa.int32()),
@@ -381,15 +383,18 @@ def likely_bits(chunks: DataFrame, order: int, overlap: int, bits: Bits | None,
     # Sums need not go on beyond what decides.
     most = max(1, min(min_count, (1 << 32) - 1))
 
+    def keys_of(held: Held, last: np.ndarray, copies: np.ndarray) -> list[np.ndarray]:
+        if not len(held.words):
+            return []
+        at, _ = own_places(held, last, order, overlap, shared.value)
+        keys = _bit(run_hashes(held.value, order)[at], 1 << KEY_BITS)
+        return [add_up([keys << np.uint64(32) | np.minimum(copies[held.chunk[at]], most).astype(np.uint64)], most)]
+
     def send(batches) -> Iterator[dict[str, list]]:
         waiting, size = [], 0
-        for held, last, copies in _tables(batches):
-            if not len(held.words):
-                continue
-            at, _ = own_places(held, last, order, overlap, shared.value)
-            keys = _bit(run_hashes(held.value, order)[at], 1 << KEY_BITS)
-            waiting.append(add_up([keys << np.uint64(32) | np.minimum(copies[held.chunk[at]], most).astype(np.uint64)], most))
-            size += len(waiting[-1])
+        for counts in _by_tables(batches, keys_of):
+            waiting.append(counts)
+            size += len(counts)
             if size >= KEYS_AT_ONCE:
                 yield key_rows(add_up(waiting, most))
                 waiting, size = [], 0
@@ -422,7 +427,7 @@ def likely_bits(chunks: DataFrame, order: int, overlap: int, bits: Bits | None,
     size = table_size(keys.count())
     bit = F.col("key").bitwiseAND(F.lit(size - 1))
     words = keys.select(F.shiftright(bit, 6).alias("at"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bits"))
-    return bit_table(words, order, size)
+    return bit_table(words, order, size, bits)
 
 
 def table_size(runs: int) -> int:
@@ -433,32 +438,13 @@ def table_size(runs: int) -> int:
     return size
 
 
-def bit_table(words: DataFrame, order: int, size: int) -> Bits:
+def bit_table(words: DataFrame, order: int, size: int, shorter: Bits | None = None) -> Bits:
     """The table of ``size`` bits from words of 64 bits, ``bits``, and their places, ``at``."""
     # At most a row for each 64 bits of a table of bounded size.
     found = words.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(size // 64, np.uint64)
     table[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return Bits(order, table)
-
-
-def frequent_bits(frequent: DataFrame, order: int) -> Bits:
-    """The bit table of the runs of ``order`` words in ``frequent``."""
-    size = table_size(frequent.count())
-
-    def run(batches) -> Iterator[dict[str, list]]:
-        for batch in batches:
-            held = Held(batch.column(0), batch.column(1))
-            # A phrase is a chunk of its own: the hash of its first run.
-            first = np.flatnonzero(np.append(True, held.chunk[1:] != held.chunk[:-1])[: len(held.chunk)])
-            hashes = run_hashes(held.value, order)[first] if len(first) else np.zeros(0, np.uint64)
-            bit = _bit(hashes, size)
-            yield {
-                "at": pa.array((bit >> np.uint64(6)).astype(np.int64), pa.int64()),
-                "bits": pa.array((np.uint64(1) << (bit & np.uint64(63))).view(np.int64), pa.int64()),
-            }
-
-    return bit_table(map_batches(frequent.select("lang", "phrase"), run, "at long, bits long"), order, size)
+    return Bits(order, table, shorter)
 
 
 def mine(
@@ -476,10 +462,10 @@ def mine(
     overlap = max_words - 1
     chunks = materialize(parse(docs, text_col=text_col, lang_col=lang_col, overlap=overlap, spacing=spacing), "chunks")
     totals = chunks.groupBy("lang").agg(F.sum(F.col("words") * F.col("copies")).alias("total"))
-    frequent = materialize(count_runs(chunks, 1, 1, overlap, None, min_count), "runs-1")
-    if max_words > 1:
-        bits = likely_bits(chunks, 2, overlap, frequent_bits(frequent, 1), min_count)
-        frequent = frequent.unionByName(materialize(count_runs(chunks, 2, max_words, overlap, bits, min_count), "runs-2"))
+    bits = None
+    for order in range(1, min(2, max_words) + 1):
+        bits = likely_bits(chunks, order, overlap, bits, min_count)
+    frequent = materialize(count_runs(chunks, 1, max_words, overlap, bits, min_count), "runs")
     return rank_phrases(frequent, totals, top)
 
 

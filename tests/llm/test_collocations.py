@@ -180,8 +180,9 @@ def test_only_pairs_that_may_be_frequent_are_counted_as_text(spark, monkeypatch,
     texts = [f"{a} {b}" for a in words for b in words for _ in range(2)] + ["w3 w5"] * 58
     rows = [("en", t.encode(), True, 1) for t in texts]
     chunks = spark.createDataFrame(rows, "lang string, chunk binary, last boolean, copies long")
-    known = collocations.frequent_bits(collocations.count_runs(chunks, 1, 1, 4, None, 60), 1)
-    bits = collocations.likely_bits(chunks, 2, 4, known, 60)
-    assert 1 <= sum(int(x).bit_count() for x in bits.table) <= 2
-    assert counts_of([(a, b, c, d) for a, b, c, d in rows], 2, 5, 4, bits)["en", b"w3 w5"] == 60
-    assert len(counts_of(rows, 2, 5, 4, bits)) < 5 < len(counts_of(rows, 2, 5, 4))
+    bits = collocations.likely_bits(chunks, 2, 4, collocations.likely_bits(chunks, 1, 4, None, 60), 60)
+    assert [sum(int(x).bit_count() for x in b.table) for b in (bits, bits.shorter)] == [1, 40]
+    found = counts_of(rows, 1, 5, 4, bits)
+    assert found["en", b"w3 w5"] == 60 and len(found) < 45 < len(counts_of(rows, 1, 5, 4))
+    # Words that are rare themselves are not counted.
+    assert counts_of([("en", b"w1 other w3 w5", True, 1)], 1, 5, 4, bits) == Counter({("en", x): 1 for x in (b"w1", b"w3", b"w5", b"w3 w5")})
