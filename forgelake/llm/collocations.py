@@ -8,12 +8,13 @@
 3. Runs of up to ``MAX_WORDS`` words are counted inside distinct chunks, times the chunk's frequency. A run
    belongs to the chunk that it begins in before the trigger, so that those in an overlap count once; it
    always ends within that chunk. No run goes over the end of a piece.
-4. A run can only reach ``min_count`` if the shorter runs within it do, so runs are counted only where all their words
-   and all their pairs may be frequent. Most words and pairs are rare, and are never moved as text: every task sends a
-   32-bit key of each word, and then of each pair of words that may be frequent, and how often it has it, as sorted steps
-   of about two bytes. Runs of one key are added up together, so a sum is never too low. What may be frequent is known from
-   bit tables of at most ``MAX_BITS``: a wrong bit costs a count that is not needed, and is never missed. The runs left are
-   counted exactly, all lengths at once. Every task adds up its own counts before the shuffle.
+4. A run can only reach ``min_count`` if the shorter runs within it do, so runs are counted only where all their runs of up
+   to ``KEYED_WORDS`` words may be frequent. Most runs are rare, and are never moved as text: every task sends a 32-bit
+   key of each word, then of each pair of words that may be frequent, then of each three words whose pairs may be, and how
+   often it has it, as sorted steps of about two bytes. Runs of one key are added up together, so a sum is never too low.
+   What may be frequent is known from bit tables of at most ``MAX_BITS``: a wrong bit costs a count that is not needed, and
+   is never missed. The runs left are counted exactly, all lengths at once. Every task adds up its own counts before the
+   shuffle.
 5. Candidates, their parts and the longer candidates around them are joined by phrase. All parts of a candidate are
    frequent themselves. Scores are computed with decimals of 38 digits.
 
@@ -53,6 +54,8 @@ ROWS_AT_ONCE = 1 << 16
 # Bits per frequent run, and the most bits, of a table that tells which runs may be frequent.
 BITS_PER_RUN = 32
 MAX_BITS = 1 << 28
+# Words of the longest runs that are added up by keys first.
+KEYED_WORDS = 3
 # Ranges that keys of runs are dealt by, and the keys that a task holds before it sends or adds them up.
 KEY_BITS, RANGE_BITS = 32, 22
 KEYS_AT_ONCE = 1 << 20
@@ -463,7 +466,7 @@ def mine(
     chunks = materialize(parse(docs, text_col=text_col, lang_col=lang_col, overlap=overlap, spacing=spacing), "chunks")
     totals = chunks.groupBy("lang").agg(F.sum(F.col("words") * F.col("copies")).alias("total"))
     bits = None
-    for order in range(1, min(2, max_words) + 1):
+    for order in range(1, min(KEYED_WORDS, max_words) + 1):
         bits = likely_bits(chunks, order, overlap, bits, min_count)
     frequent = materialize(count_runs(chunks, 1, max_words, overlap, bits, min_count), "runs")
     return rank_phrases(frequent, totals, top)

@@ -186,3 +186,15 @@ def test_only_pairs_that_may_be_frequent_are_counted_as_text(spark, monkeypatch,
     assert found["en", b"w3 w5"] == 60 and len(found) < 45 < len(counts_of(rows, 1, 5, 4))
     # Words that are rare themselves are not counted.
     assert counts_of([("en", b"w1 other w3 w5", True, 1)], 1, 5, 4, bits) == Counter({("en", x): 1 for x in (b"w1", b"w3", b"w5", b"w3 w5")})
+
+
+def test_three_words_of_frequent_pairs_that_are_rare_are_not_counted_as_text(spark, monkeypatch):
+    given = []
+    count_runs = collocations.count_runs
+    monkeypatch.setattr(collocations, "count_runs", lambda chunks, low, high, overlap, bits, n: given.append((low, high, bits)) or count_runs(chunks, low, high, overlap, bits, n))
+    rows = [(t, "en") for t in ["a b", "b c", "c a"] * 50 + ["a b c a b"] * 3]
+    assert listed(collocations.mine(spark.createDataFrame(rows, "text string, lang string"), min_count=40)) == brute(rows, 40)
+    [(low, high, bits)] = given
+    assert (low, high, bits.order, bits.shorter.order, bits.shorter.shorter.order) == (1, 5, 3, 2, 1)
+    found = counts_of([("en", b"a b c a b", True, 1)], low, high, 4, bits)
+    assert found == Counter({("en", b"a"): 2, ("en", b"b"): 2, ("en", b"c"): 1, ("en", b"a b"): 2, ("en", b"b c"): 1, ("en", b"c a"): 1})
