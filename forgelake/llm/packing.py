@@ -19,14 +19,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from forgelake.llm.common import map_batches, prepare, row_salt, text_or_empty, type_of
-from forgelake.llm.tokens import MAX_WORDS, encoder
+from forgelake.llm.common import give_back, map_batches, prepare, row_salt, text_or_empty, type_of
+from forgelake.llm.token_files import from_binary, to_binary
+from forgelake.llm.tokens import encoder, forget
 
 SEQUENCE_LENGTH = 4096
 END_ID = 2
@@ -34,6 +34,10 @@ END_ID = 2
 GROUP_ROWS = 1024
 # A sequence filled less than this is cut into powers of two.
 MIN_FILL = 0.98
+# Words whose ids a worker remembers; packing takes its memory on top.
+PACKED_WORDS = 300_000
+# Tokens in a batch that leaves a worker, at most, if a piece has no more.
+BATCH_TOKENS = 1 << 20
 
 
 class TournamentTree:
@@ -82,14 +86,12 @@ def powers_of_two(total: int) -> list[int]:
     return starts
 
 
-def pack_group(pieces: pd.DataFrame, capacity: int, min_fill: float) -> pd.DataFrame:
-    """Pack the pieces of one group; adds ``bin`` and ``offset``, and cuts where a bin is cut."""
-    lengths = pieces["length"].to_numpy()
+def pack_group(lengths: np.ndarray, starts: np.ndarray, capacity: int, min_fill: float) -> dict[str, np.ndarray]:
+    """Pack the pieces of one group, and cut them where a bin is cut. One row per piece that is left: ``row`` tells which
+    piece it is of, ``skip`` how many of that piece's tokens come before it."""
     bins, offsets = first_fit_decreasing(lengths, capacity)
     totals = np.bincount(bins, lengths).astype(np.int64)
     cut = {b: powers_of_two(int(totals[b])) for b in np.flatnonzero(totals < min_fill * capacity).tolist()}
-    if not cut:
-        return pieces.assign(bin=bins, offset=offsets, bin_tokens=totals[bins])
     sizes, first = [len(cut.get(b, [0])) for b in range(len(totals))], 0
     new_bin = []
     for n in sizes:
@@ -97,21 +99,19 @@ def pack_group(pieces: pd.DataFrame, capacity: int, min_fill: float) -> pd.DataF
         first += n
     out = []
     for i, (b, offset, length, start) in enumerate(
-        zip(bins.tolist(), offsets.tolist(), lengths.tolist(), pieces["start"].tolist(), strict=True)
+        zip(bins.tolist(), offsets.tolist(), lengths.tolist(), starts.tolist(), strict=True)
     ):
         if b not in cut:
             out.append((i, start, length, 0, new_bin[b], offset, int(totals[b])))
             continue
-        starts = [*cut[b], int(totals[b])]
-        for k in range(len(starts) - 1):
-            low, high = max(offset, starts[k]), min(offset + length, starts[k + 1])
+        parts = [*cut[b], int(totals[b])]
+        for k in range(len(parts) - 1):
+            low, high = max(offset, parts[k]), min(offset + length, parts[k + 1])
             if low < high:
-                skip, size = low - offset, starts[k + 1] - starts[k]
-                out.append((i, start + skip, high - low, skip, new_bin[b] + k, low - starts[k], size))
-    at, start, length, skip, to, offset, size = (np.array(x, np.int64) for x in zip(*out, strict=True))
-    packed = pieces.iloc[at].reset_index(drop=True)
-    ids = [x[4 * s : 4 * (s + n)] for x, s, n in zip(packed["ids"], skip.tolist(), length.tolist(), strict=True)]
-    return packed.assign(start=start, length=length, ids=ids, bin=to, offset=offset, bin_tokens=size)
+                skip, size = low - offset, parts[k + 1] - parts[k]
+                out.append((i, start + skip, high - low, skip, new_bin[b] + k, low - parts[k], size))
+    names = ("row", "start", "length", "skip", "bin", "offset", "bin_tokens")
+    return {n: np.array(x, np.int64) for n, x in zip(names, zip(*out, strict=True), strict=True)}
 
 
 def cut_documents(
@@ -121,24 +121,35 @@ def cut_documents(
     tokenizer: str | None,
     id_col: str = "doc_id",
     text_col: str = "text",
-    max_words: int = MAX_WORDS,
+    max_words: int = PACKED_WORDS,
 ) -> DataFrame:
-    """One row per piece: id, its start in the document, its ids as little-endian unsigned 32-bit."""
-    end = np.array([end_id], "<u4").tobytes()
+    """One row per piece: id, its start in the document, its ids as little-endian unsigned integers: 16 bit if all ids
+    of the vocabulary fit, else 32."""
+    step = max(1, BATCH_TOKENS // capacity)
 
     def cut(batches) -> Iterator[dict[str, list]]:
         to_ids = encoder(tokenizer, max_words)
+        kind = np.dtype("<u2" if max(to_ids.size - 1, end_id) <= 0xFFFF else "<u4")
         for batch in batches:
-            keys, groups, texts = (c.to_pylist() for c in batch.columns)
-            out = {k: [] for k in ("doc_id", "group", "start", "length", "doc_tokens", "ids")}
-            for key, group, ids in zip(keys, groups, to_ids.encode(texts), strict=True):
-                ids += end
-                total = len(ids) // 4
-                for start in range(0, total, capacity):
-                    part = ids[4 * start : 4 * (start + capacity)]
-                    for name, value in zip(out, (key, group, start, len(part) // 4, total, part), strict=True):
-                        out[name].append(value)
-            yield out
+            found, lengths = to_ids.flat(batch.column(2).cast(pa.string()))
+            flat, totals = np.insert(found.astype(kind), np.cumsum(lengths), end_id), lengths + 1
+            pieces = -(-totals // capacity)
+            rows = np.repeat(np.arange(len(totals)), pieces)
+            starts = (np.arange(len(rows)) - (np.cumsum(pieces) - pieces)[rows]) * capacity
+            sizes = np.minimum(capacity, totals[rows] - starts)
+            ends = np.cumsum(sizes)
+            # The pieces of a long text go in parts, each of bounded size.
+            for low in range(0, len(rows), step):
+                part = slice(low, low + step)
+                begin = ends[low] - sizes[low]
+                yield {
+                    "doc_id": batch.column(0).take(pa.array(rows[part])).to_pylist(),
+                    "group": batch.column(1).take(pa.array(rows[part])),
+                    "start": pa.array(starts[part], pa.int64()),
+                    "length": pa.array(sizes[part], pa.int64()),
+                    "doc_tokens": pa.array(totals[rows[part]], pa.int64()),
+                    "ids": to_binary(flat[begin : ends[part][-1]], sizes[part]),
+                }
 
     schema = T.StructType(
         [
@@ -161,7 +172,7 @@ def pack(
     seed: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
-    max_words: int = MAX_WORDS,
+    max_words: int = PACKED_WORDS,
 ) -> DataFrame:
     """Pieces with their place: doc_id, start, length, ids (binary), doc_tokens, sequence_id, offset,
     sequence_tokens (tokens in the sequence) and sequence_length (with padding). A worker remembers the ids of
@@ -178,25 +189,37 @@ def pack(
     )
 
     def pack_one(key: tuple[pa.Scalar, ...], arrow: pa.Table) -> pa.Table:
-        frame = pd.DataFrame({n: arrow[n].to_numpy() for n in ("start", "length")})
-        frame["ids"] = arrow["ids"].to_pylist()
+        # The words known since the documents were cut are of no use here.
+        if forget():
+            give_back()
+        lengths, starts = (arrow[n].to_numpy() for n in ("length", "start"))
+        kind = np.dtype(f"<u{len(arrow['ids'][0].as_py()) // int(lengths[0])}")
+        ids = []
+        for chunk in arrow["ids"].chunks:
+            flat, sizes = from_binary(chunk.cast(pa.binary()), kind)
+            ids += np.split(flat, np.cumsum(sizes)[:-1])[: len(sizes)]
         # A fixed order, whatever order the shuffle delivers: first-fit then repeats when a task does.
-        crc = np.array([zlib.crc32(x) for x in frame["ids"]], np.int64)
-        frame["row"] = np.arange(len(frame))
-        frame = frame.iloc[np.lexsort((crc, frame["start"], -frame["length"]))].reset_index(drop=True)
-        packed = pack_group(frame, sequence_length, min_fill)
-        rows = packed["row"].to_numpy()
-        tokens = packed["bin_tokens"].to_numpy(np.int64)
+        crc = np.array([zlib.crc32(x.astype("<u4")) for x in ids], np.int64)
+        order = np.lexsort((crc, starts, -lengths))
+        packed = pack_group(lengths[order], starts[order], sequence_length, min_fill)
+        rows, sizes = order[packed["row"]], packed["length"]
+        places = list(zip(rows.tolist(), packed["skip"].tolist(), sizes.tolist(), strict=True))
+        step = max(1, BATCH_TOKENS // sequence_length)
+        parts = []
+        for low in range(0, len(places), step):
+            some = np.concatenate([ids[i][skip : skip + n] for i, skip, n in places[low : low + step]])
+            parts.append(to_binary(some.astype("<u4"), sizes[low : low + step]))
+        tokens = packed["bin_tokens"]
         whole = (tokens & (tokens - 1)) == 0
         return pa.table(
             {
-                "doc_id": arrow["doc_id"].take(rows),
-                "start": packed["start"].to_numpy(np.int64),
-                "length": packed["length"].to_numpy(np.int64),
-                "ids": pa.array(packed["ids"].tolist(), pa.binary()),
-                "doc_tokens": arrow["doc_tokens"].take(rows),
-                "sequence_id": (key[0].as_py() << 32) + packed["bin"].to_numpy(np.int64),
-                "offset": packed["offset"].to_numpy(np.int64),
+                "doc_id": arrow["doc_id"].take(pa.array(rows)),
+                "start": packed["start"],
+                "length": sizes,
+                "ids": pa.chunked_array(parts, pa.binary()),
+                "doc_tokens": arrow["doc_tokens"].take(pa.array(rows)),
+                "sequence_id": (key[0].as_py() << 32) + packed["bin"],
+                "offset": packed["offset"],
                 "sequence_tokens": tokens,
                 "sequence_length": np.where(whole, tokens, sequence_length).astype(np.int64),
             }

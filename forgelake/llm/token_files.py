@@ -55,14 +55,14 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
-def _binary(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
+def to_binary(flat: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """A binary value for each run of ``flat``, without a copy of its own."""
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths * flat.itemsize, out=offsets[1:])
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
 
 
-def _flat(values: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+def from_binary(values: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of a column of binary values in a row, and how many each value has."""
     _, offsets, data = values.buffers()
     if not len(values):
@@ -84,7 +84,7 @@ def tokenize(
         for batch in batches:
             found, lengths = to_ids.flat(batch.column(2))
             flat = np.insert(found.astype(kind), np.cumsum(lengths), end_id)
-            yield {"doc_id": batch.column(0), "tie": batch.column(1), "ids": _binary(flat, lengths + 1)}
+            yield {"doc_id": batch.column(0), "tie": batch.column(1), "ids": to_binary(flat, lengths + 1)}
 
     schema = T.StructType(
         [
@@ -103,7 +103,7 @@ def id_counts(tokens: DataFrame, kind: np.dtype) -> DataFrame:
     def count(batches) -> Iterator[dict[str, list]]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            found = np.bincount(_flat(batch.column(0), kind)[0], minlength=len(total))
+            found = np.bincount(from_binary(batch.column(0), kind)[0], minlength=len(total))
             found[: len(total)] += total
             total = found
         seen = np.flatnonzero(total)
@@ -154,7 +154,7 @@ def write_tokens(
             }
 
         for batch in batches:
-            flat, lengths = _flat(batch.column(1), kind)
+            flat, lengths = from_binary(batch.column(1), kind)
             ids, ends, done = batch.column(0).to_pylist(), np.cumsum(lengths), 0
             while done < len(ids):
                 before = int(ends[done - 1]) if done else 0
@@ -205,7 +205,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     "doc_id": keys,
                     "start": pa.array(first + np.cumsum(lengths) - lengths),
                     "n_tokens": pa.array(lengths),
-                    "ids": _binary(id_of[decode_values(control, data, n)], lengths),
+                    "ids": to_binary(id_of[decode_values(control, data, n)], lengths),
                 }
 
     schema = T.StructType(

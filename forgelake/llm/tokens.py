@@ -169,3 +169,10 @@ def encoder(path: str | None = None, max_words: int = MAX_WORDS) -> Encoder:
     if (path, max_words) not in _encoders:
         _encoders[path, max_words] = Encoder(path, max_words)
     return _encoders[path, max_words]
+
+
+def forget() -> bool:
+    """Drop the encoders of this worker process, for a step that needs none; whether there were any."""
+    there = bool(_encoders)
+    _encoders.clear()
+    return there

@@ -2,10 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from forgelake.llm import packing, token_files
-from forgelake.llm.tokens import default_path, encoder
+from forgelake.llm.tokens import default_path, encoder, forget
 
 WORDS = "The quick brown fox, it's 12 jumps! É́a ß — naïve".split()
 
@@ -96,6 +97,37 @@ def test_pack_of_an_empty_table_and_null_ids(documents):
     assert all(bytes(r["ids"]) == want[r["start"] : r["start"] + r["length"]].tobytes() for r in rows)
 
 
+@pytest.mark.parametrize("end_id, width", [(2, 2), (70_000, 4)])
+def test_ids_move_as_short_as_the_vocabulary_allows_and_come_back_in_32_bits(documents, end_id, width):
+    texts = dict(enumerate(some_texts(30, 2)))
+    docs = documents(list(texts.items()))
+    cut = packing.cut_documents(docs.selectExpr("*", "doc_id % 2 AS _group"), 16, end_id, None).collect()
+    assert all(len(r["ids"]) == width * r["length"] for r in cut)
+    assert sum(r["length"] for r in cut) == sum(len(ids_of(t)) + 1 for t in texts.values())
+    found = {}
+    for r in sorted(packing.pack(docs, sequence_length=16, end_id=end_id).collect(), key=lambda r: r["start"]):
+        found[r["doc_id"]] = found.get(r["doc_id"], b"") + bytes(r["ids"])
+    assert found == {k: np.append(ids_of(t), end_id).astype("<u4").tobytes() for k, t in texts.items()}
+
+
+def test_long_texts_leave_a_worker_in_batches_of_bounded_size(documents, monkeypatch):
+    seen, text = [], "word " * 300
+    monkeypatch.setattr(packing, "BATCH_TOKENS", 64)
+    monkeypatch.setattr(packing, "map_batches", lambda df, function, schema: seen.append(function))
+    packing.cut_documents(documents([]).selectExpr("*", "0L AS _group"), 16, 2, None)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "_group": [0, 0], "text": [text, ""]})
+    parts = list(seen[0]([batch]))
+    assert len(parts) > 1 and all(len(p["doc_id"]) <= 4 for p in parts)
+    joined = b"".join(x for p in parts for x in p["ids"].to_pylist())
+    assert joined == np.array([*ids_of(text), 2, 2], "<u2").tobytes()
+
+
+def test_encoders_are_forgotten_and_made_again():
+    want = encoder().encode(["a b"])
+    assert forget() and not forget()
+    assert encoder().encode(["a b"]) == want
+
+
 @pytest.mark.parametrize("values", [[], [0], [255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1], list(range(1000))])
 def test_values_come_back(values):
     values = np.array(values, np.uint32)
