@@ -13,10 +13,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from forgelake.session import RUNTIME_CONF, name_local_folder
 
-# Rows and bytes an Arrow batch holds at most, so that a batch of long texts stays small.
+# Rows and bytes an Arrow batch holds at most, and rows that are read at once, so that a batch of long texts stays small.
 BATCH_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
 }
 
 

@@ -122,6 +122,13 @@ def test_long_texts_leave_a_worker_in_batches_of_bounded_size(documents, monkeyp
     assert joined == np.array([*ids_of(text), 2, 2], "<u2").tobytes()
 
 
+def test_few_rows_of_long_texts_are_read_at_once(documents):
+    spark = documents([]).sparkSession
+    spark.conf.unset("spark.sql.parquet.columnarReaderBatchSize")
+    packing.pack(documents([(1, "a")]))
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 1024
+
+
 def test_encoders_are_forgotten_and_made_again():
     want = encoder().encode(["a b"])
     assert forget() and not forget()
