@@ -6,16 +6,18 @@ read bytes from left to right without merging anything: it holds a thread for ea
 that begins some token. A thread is the token before that suffix and the suffix's place in the tree of tokens.
 With each byte, exactly one thread ends a token that stands next to its predecessor: that token is the step's
 output, and begins the next thread. The sets of threads are the states of the subset construction. A step between
-states is made when texts need it for the second time, and kept; a text that no step leads on is followed by its
+states is made when texts have needed it more than once, and kept; a text that no step leads on is followed by its
 threads alone, which costs less than making states that nothing comes back to. Of the outputs, those on the path that all threads
-share are emitted: how far that lies behind is bounded by the longest tokens.
+share are emitted: how far that lies behind is bounded by the longest tokens. Short pieces are read side by side: each as
+far as steps lead, then the threads of all of them together, in arrays.
 
 Whether two tokens can be neighbours follows from the merges along their common border: the pieces at it, and
 the ranks at which each is merged away from it.
 
 A text is split by the pattern first. A piece that is a token is that token; others run through the transducer.
 Words repeat, so each worker remembers what short ones gave: a run of blanks with what follows it is split on its
-own, since a run of white space begins a piece whatever is before it.
+own, since a run of white space begins a piece whatever is before it. Texts are cut into words as bytes, about one
+MB of them at once, and a word that is repeated there is looked up once.
 
 **Decoding.** The bytes of tokens are joined, and a state machine over UTF-8 follows token by token, in a table
 of (state, token) that fills as it is used. What is given out always ends at the end of a character, also where
@@ -33,9 +35,9 @@ from __future__ import annotations
 import base64
 import gc
 import re
+import sys
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import islice
-from struct import pack
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,17 +49,25 @@ from pyspark.sql import types as T
 from forgelake.llm.common import free_name, map_batches, prepare, text_or_empty
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-# Words and pieces a worker remembers, some 200 bytes each, and the longest of them in characters.
+# Words and pieces a worker remembers, some 200 bytes each, and the longest of them in bytes.
 MAX_KNOWN = 600_000
 LONGEST_KNOWN = 48
 # States, pairs of tokens and (state, token) steps that are kept.
 MAX_STATES = 40_000
 MAX_PAIRS = 300_000
 MAX_STEPS = 400_000
+# How often a step between states is needed until it is made: by a piece that is read alone, and by pieces side by side,
+# whose threads cost less.
+WORTH_ALONE = 2
+WORTH_TOGETHER = 32
+# Places, as a power of two, for pairs of tokens that are looked up many at once; a pair takes the place of an older one.
+PLACES = 21
 # Bytes of a piece after which the transducer emits what is sure.
 EMIT_EVERY = 64
-# Characters of a text that are split at once, about, and ids that are decoded at once.
+# Characters of a text that are split at once, about, bytes of texts that are encoded at once, and ids that are
+# decoded at once.
 SLICE = 1 << 20
+GROUP = 1 << 20
 IDS_AT_ONCE = 1 << 16
 _NEVER = 1 << 62
 _NONE = -1
@@ -70,8 +80,8 @@ class State:
 
     def __init__(self, threads: tuple[tuple[int, int], ...]):
         self.threads = threads
-        # For each byte the token that ends with it, and the state after it; None if it was needed once so far.
-        self.steps: dict[int, tuple[int, State] | None] = {}
+        # For each byte the token that ends with it, and the state after it; before that, how often it was needed.
+        self.steps: dict[int, tuple[int, State] | int] = {}
 
 
 class Transducer:
@@ -98,8 +108,29 @@ class Transducer:
         self._borders: dict[int, tuple | None] = {}
         self._pairs: dict[int, bool] = {}
         self._max_states = max_states
+        self._make_arrays()
         self._restart()
 
+    def _make_arrays(self) -> None:
+        """The tree as arrays, and room for pairs. Most nodes have one child; those with more have a row of children."""
+        keys = np.fromiter(self._children, np.int64, len(self._children))
+        nodes = np.fromiter(self._children.values(), np.int32, len(keys))
+        parents, by = keys >> 8, keys & 255
+        counts = np.bincount(parents, minlength=len(self._token))
+        one = counts[parents] == 1
+        self._is_inner = counts > 0
+        self._only_byte = np.full(len(counts), _NONE, np.int16)
+        self._only_child = np.full(len(counts), _NONE, np.int32)
+        self._only_byte[parents[one]], self._only_child[parents[one]] = by[one], nodes[one]
+        self._row = np.where(counts > 1, np.cumsum(counts > 1), 0).astype(np.int32)
+        self._grid = np.full((self._row.max() + 1, 256), _NONE, np.int32)
+        self._grid[self._row[parents[~one]], by[~one]] = nodes[~one]
+        self._tokens_at = np.array(self._token, np.int32)
+        self._lengths = np.zeros(max(self._sizes, default=0) + 1, np.int64)
+        self._lengths[list(self._sizes)] = list(self._sizes.values())
+        self._pair_at = np.full(1 << PLACES, _NONE, np.int64)
+        self._fits_at = np.zeros(1 << PLACES, bool)
+
     def _restart(self) -> None:
         self.start = State(((_NONE, 0),))
         self._states = {self.start.threads: self.start}
@@ -192,6 +223,68 @@ class Transducer:
         ended += found
         return left
 
+    def _fit(self, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """``neighbours`` of many pairs."""
+        keys = (before.astype(np.int64) + 1) << 32 | tokens
+        places = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PLACES)).astype(np.int64)
+        fits = self._fits_at[places]
+        absent = np.flatnonzero(self._pair_at[places] != keys)
+        if len(absent):
+            new, at = np.unique(keys[absent], return_inverse=True)
+            found = np.array([self._neighbours((key >> 32) - 1, key & 0xFFFFFFFF) for key in new.tolist()])[at]
+            fits[absent] = found
+            # One after another, so that a place has a pair and what was found for it, also if two pairs share it.
+            places, last = np.unique(places[absent], return_index=True)
+            self._pair_at[places], self._fits_at[places] = keys[absent][last], found[last]
+        return fits
+
+    def _follow_all(self, given: Sequence[Sequence[tuple[int, int]]], rests: Sequence[bytes]) -> np.ndarray:
+        """As ``_follow``, for many pieces side by side: the tokens that end with each byte of all of them."""
+        data = np.frombuffer(b"".join(rests), np.uint8)
+        sizes = np.array([len(r) for r in rests])
+        ends = np.cumsum(sizes)
+        begins, size = ends - sizes, len(data)
+        more = np.ones(size, bool)
+        more[ends - 1] = False
+        # Threads: the place of their next byte, their node, and where the token before them is found: at a place, or
+        # behind all places if it was given.
+        begun = np.flatnonzero(more) + 1
+        counts = np.array([len(threads) for threads in given])
+        before, nodes = np.array(list(chain.from_iterable(given)), np.int64).reshape(-1, 2).T
+        at = np.concatenate([np.repeat(begins, counts), begun])
+        node = np.concatenate([nodes, np.zeros(len(begun), np.int64)])
+        source = np.concatenate([np.arange(size, size + len(nodes)), begun - 1])
+        where, tokens, sources = [], [], []
+        while len(at):
+            child = self._grid[self._row[node], data[at]]
+            one = np.flatnonzero(self._only_byte[node] == data[at])
+            child[one] = self._only_child[node[one]]
+            node = child
+            on = np.flatnonzero(node >= 0)
+            at, node, source = at[on], node[on], source[on]
+            token = self._tokens_at[node]
+            ends_here = np.flatnonzero(token >= 0)
+            where.append(at[ends_here])
+            tokens.append(token[ends_here])
+            sources.append(source[ends_here])
+            on = np.flatnonzero(more[at] & self._is_inner[node])
+            at, node, source = at[on] + 1, node[on], source[on]
+        where, tokens, sources = map(np.concatenate, (where, tokens, sources))
+        # By the distance from the piece's begin, for what is found at a place depends on the places before it.
+        distance = where - np.repeat(begins, sizes)[where]
+        order = np.argsort(distance, kind="stable")
+        where, tokens, sources = where[order], tokens[order], sources[order]
+        found = np.concatenate([np.full(size, _NONE), before])
+        start = 0
+        for stop in np.cumsum(np.bincount(distance)).tolist():
+            fits = np.flatnonzero(self._fit(found[sources[start:stop]], tokens[start:stop])) + start
+            found[where[fits]] = tokens[fits]
+            start = stop
+        found = found[:size]
+        if size and found.min() < 0:
+            raise ValueError(f"byte {data[found.argmin()]} has no token")
+        return found
+
     def _step(self, state: State, byte: int) -> tuple[int, State]:
         ended: list[int] = []
         reached = tuple(self._follow(state.threads, bytes((byte,)), ended))
@@ -203,20 +296,26 @@ class Transducer:
         state.steps[byte] = ended[0], after
         return ended[0], after
 
+    def _lead(self, data: bytes, state: State, ended: list[int], worth: int) -> tuple[int, State]:
+        """How many bytes steps lead on from ``state``, and the state they lead to; adds to ``ended`` as they do. Steps
+        that were needed ``worth`` times are made."""
+        for at, byte in enumerate(data):
+            step = state.steps.get(byte, 0)
+            if type(step) is int:
+                if step + 1 < worth:
+                    state.steps[byte] = step + 1
+                    return at, state
+                step = self._step(state, byte)
+            token, state = step
+            ended.append(token)
+        return len(data), state
+
     def _read(self, data: bytes, threads: State | Sequence[tuple[int, int]], ended: list[int]) -> State | Sequence[tuple[int, int]]:
         """Add to ``ended`` the token that ends with each byte; the state, or the threads, after the last one."""
         if not isinstance(threads, State):
             return self._follow(threads, data, ended)
-        state = threads
-        for at, byte in enumerate(data):
-            step = state.steps.get(byte, False)
-            if step is False:
-                # Needed for the first time: followed by its threads.
-                state.steps[byte] = None
-                return self._follow(state.threads, data[at:], ended)
-            token, state = step or self._step(state, byte)
-            ended.append(token)
-        return state
+        at, state = self._lead(data, threads, ended, WORTH_ALONE)
+        return state if at == len(data) else self._follow(state.threads, data[at:], ended)
 
     def _path(self, ended: list[int], stop: int) -> list[int]:
         """The tokens that lead to the place ``stop``; ``ended`` has the token that ends at each place from 1."""
@@ -253,31 +352,51 @@ class Transducer:
         self._read(data, self.start, ended)
         return self._path(ended, len(ended))
 
-
-class _Known(dict):
-    """What short texts gave. When it is full, it starts again and keeps what is asked for once more."""
-
-    def __init__(self, make, room: int):
-        super().__init__()
-        self._make, self._room, self._before = make, room, {}
-
-    def __missing__(self, text: str) -> bytes:
-        found = self._before.get(text)
-        if found is None:
-            found = self._make(text)
-            if len(text) > LONGEST_KNOWN:
-                return found
-        if len(self) >= self._room // 2:
-            self._before = dict(self)
-            self.clear()
-        self[text] = found
-        return found
+    def pieces(self, many: Sequence[bytes]) -> list[bytes]:
+        """The ids of each piece, as little-endian unsigned 32-bit; none is empty."""
+        numbers = list(map(self.ranks.get, many))
+        out = [b"" if n is None else n.to_bytes(4, "little") for n in numbers]
+        short = []
+        for i, number in enumerate(numbers):
+            if number is None and len(many[i]) > EMIT_EVERY:
+                out[i] = np.fromiter(self.emit(many[i]), "<u4").tobytes()
+            elif number is None:
+                short.append(i)
+        ended: list[int] = []
+        places, given, rests = [], [], []
+        for data in map(many.__getitem__, short):
+            at, state = self._lead(data, self.start, ended, WORTH_TOGETHER)
+            if at < len(data):
+                rests.append(data[at:])
+                given.append(state.threads)
+                places.append(len(ended))
+                ended += [_NONE] * len(rests[-1])
+        found = np.array(ended, np.int64)
+        if rests:
+            sizes = np.array([len(r) for r in rests])
+            shift = np.array(places) - np.cumsum(sizes) + sizes
+            found[np.arange(sizes.sum()) + np.repeat(shift, sizes)] = self._follow_all(given, rests)
+        # Back along the paths of all pieces at once.
+        sizes = np.array([len(many[i]) for i in short], np.int64)
+        ends = np.cumsum(sizes)
+        at, begins, used = ends, ends - sizes, np.zeros(len(found) + 1, np.int64)
+        while len(at):
+            used[at] = 1
+            at = at - self._lengths[found[at - 1]]
+            on = np.flatnonzero(at > begins)
+            at, begins = at[on], begins[on]
+        ids = found[used[1:] > 0].astype("<u4").tobytes()
+        start = 0
+        for i, stop in zip(short, (4 * np.cumsum(used)[ends]).tolist(), strict=True):
+            out[i], start = ids[start:stop], stop
+        return out
 
 
 # A run of white space begins a piece, whatever is before it; so a text may be cut there.
 _CUT = regex.compile(r"(?<=\S)\s")
-# Runs of the blanks that are common, with what follows; and white space of any other kind.
-_WORDS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+# The blanks that are common, and white space of any other kind.
+_BLANKS = b" \t\n\r"
+_IS_BLANK = np.array([b in _BLANKS for b in range(256)])
 _OTHER_BLANKS = regex.compile(r"[^\S \t\n\r]")
 
 
@@ -299,22 +418,115 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self._split = regex.compile(pattern).findall
-        self._known = _Known(self._of_word, MAX_KNOWN)
-
-    def _of_word(self, text: str) -> bytes:
-        pieces = self._split(text)
-        if len(pieces) > 1:
-            # Words are kept beside pieces: most are one, and a piece on its own is split to itself.
-            return b"".join(map(self._known.__getitem__, pieces))
-        ids = self.transducer.piece(text.encode())
-        return pack(f"<{len(ids)}I", *ids)
+        blocks = ("".join(map(chr, range(i, i + 4096))) for i in range(0, sys.maxunicode, 4096))
+        others = chain.from_iterable(map(_OTHER_BLANKS.findall, blocks))
+        self._other_blank = re.compile(b"|".join(re.escape(c.encode()) for c in others)).search
+        # What words and pieces gave. When half of the room is full, they start again and keep what is asked for once more.
+        self._known: dict[bytes, bytes] = {}
+        self._before: dict[bytes, bytes] = {}
+
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """Of distinct words that are not known, those that are not known from before either; their ids go to the known."""
+        known, before, new = self._known, self._before, []
+        for word in words:
+            ids = before.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                known[word] = ids
+        return new
+
+    def _pieces(self, words: list[bytes]) -> dict[bytes, list[bytes]]:
+        """The pieces of each word. Words that begin with a blank and do not end with white space are split as one text."""
+        pieces, joined, texts = {}, [], []
+        for word in words:
+            text = word.decode()
+            if text[0] in " \t\n\r" and not text[-1].isspace():
+                joined.append(word)
+                texts.append(text)
+            else:
+                pieces[word] = [p.encode() for p in self._split(text)]
+        found = self._split("".join(texts))
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        wanted = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        cuts = np.searchsorted(ends, wanted) + 1
+        if len(joined) and (cuts[-1] > len(ends) or (ends[cuts - 1] != wanted).any()):
+            # The pattern leaves something out.
+            return pieces | {w: [p.encode() for p in self._split(t)] for w, t in zip(joined, texts, strict=True)}
+        start = 0
+        for word, cut in zip(joined, cuts.tolist(), strict=True):
+            pieces[word] = [word] if cut - start == 1 else [p.encode() for p in found[start:cut]]
+            start = cut
+        return pieces
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words, known or not."""
+        known = self._known
+        found = list(map(known.get, words))
+        absent = [i for i, ids in enumerate(found) if ids is None]
+        new = self._learn([words[i] for i in absent])
+        # Words are kept beside pieces: most are one, and a piece on its own is split to itself.
+        cut = self._pieces(new)
+        pieces = self._learn([p for p in dict.fromkeys(chain.from_iterable(cut.values())) if p not in known])
+        known.update(zip(pieces, self.transducer.pieces(pieces), strict=True))
+        for word, parts in cut.items():
+            if parts != [word]:
+                known[word] = b"".join(map(known.__getitem__, parts))
+        for i in absent:
+            found[i] = known[words[i]]
+        for word in chain(new, pieces):
+            if len(word) > LONGEST_KNOWN:
+                known.pop(word, None)
+        if len(known) > MAX_KNOWN // 2:
+            self._before, self._known = known, {}
+        return found
 
-    def _part(self, text: str) -> bytes:
-        words = self._split(text) if _OTHER_BLANKS.search(text) else _WORDS.findall(text)
-        return b"".join(map(self._known.__getitem__, words))
+    def _together(self, data: bytes, ends: np.ndarray) -> list[bytes]:
+        """The ids of texts whose bytes lie in ``data`` one after another; ``ends`` begins with 0."""
+        blank = _IS_BLANK[np.frombuffer(data, np.uint8)]
+        # A word is a run of blanks with what follows it, or what a text begins with.
+        begins = blank.copy()
+        begins[1:] &= ~blank[:-1]
+        begins[ends[ends < len(data)]] = True
+        if self._other_blank(data):
+            for start, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                if self._other_blank(data, start, end):
+                    sizes = [len(p.encode()) for p in self._split(data[start:end].decode())]
+                    # A text of which the pattern leaves something out is one word.
+                    begins[start:end] = False
+                    begins[start + np.cumsum([0, *sizes[:-1]] if sum(sizes) == end - start else [0])] = True
+        starts = np.flatnonzero(begins)
+        if not len(starts):
+            return [b""] * (len(ends) - 1)
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        words = words.dictionary_encode()
+        _, offsets, held = words.dictionary.buffers()
+        stops, held = np.frombuffer(offsets, "<i4")[: len(words.dictionary) + 1].tolist(), held.to_pybytes()
+        ids = self._ids([held[i:j] for i, j in zip(stops, stops[1:], strict=False)])
+        _, offsets, held = pa.array(ids, pa.large_binary()).take(words.indices).buffers()
+        stops = np.frombuffer(offsets, "<i8")[np.searchsorted(starts, ends)].tolist()
+        held = held.to_pybytes() if held else b""
+        return [held[i:j] for i, j in zip(stops, stops[1:], strict=False)]
 
     def encode(self, text: str) -> bytes:
-        return b"".join([self._part(part) for part in slices(text)])
+        parts = (part.encode() for part in slices(text))
+        return b"".join([self._together(part, np.array([0, len(part)]))[0] for part in parts])
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; some are encoded together, and one that is longer in slices."""
+        texts = texts.cast(pa.large_string())
+        _, offsets, held = texts.buffers()
+        ends = np.frombuffer(offsets, "<i8")[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        out: list[bytes] = []
+        while (start := len(out)) < len(texts):
+            stop = int(np.searchsorted(ends, ends[start] + GROUP, "right")) - 1
+            if stop <= start:
+                out.append(self.encode(texts[start].as_py()))
+            else:
+                data = held[ends[start] : ends[stop]].to_pybytes() if held else b""
+                out += self._together(data, ends[start : stop + 1] - ends[start])
+        return out
 
 
 # Bytes that may follow in each state, and the state after them. 0 is the end of a character; 1 to 3 bytes
@@ -464,11 +676,10 @@ def encode(
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), text_or_empty(text_col).alias(text))
 
     def run(batches) -> Iterator[dict[str, list]]:
-        to_ids = encoder(path, pattern).encode
+        to_ids = encoder(path, pattern).encode_all
         for batch in batches:
             *kept, texts = batch.columns
-            # One text at a time, so that no second copy of the batch is made.
-            yield {**dict(zip(keep, kept, strict=True)), column: [to_ids(t.as_py()) for t in texts]}
+            yield {**dict(zip(keep, kept, strict=True)), column: to_ids(texts)}
 
     schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField(column, T.BinaryType())])
     return map_batches(rows, run, schema), column

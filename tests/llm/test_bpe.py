@@ -2,7 +2,9 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -49,6 +51,73 @@ def test_transducer_equals_merging_for_any_vocabulary(seed):
             assert own.piece(text.encode()) == library.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_pieces_side_by_side_are_as_alone(seed, monkeypatch):
+    rng = random.Random(seed)
+    # Steps that are made at once, soon or late; few places, so that pairs take one another's.
+    monkeypatch.setattr(bpe, "WORTH_TOGETHER", rng.choice([1, 2, 32]))
+    monkeypatch.setattr(bpe, "PLACES", rng.choice([2, 12]))
+    ranks = {bytes([b]): b for b in range(256)}
+    letters = "ab" if seed % 2 else "abc"
+    while len(ranks) < 256 + 30:
+        data = "".join(rng.choices(letters, k=300)).encode()
+        parts = bpe.Transducer(ranks).merge(data)[0]
+        pairs = [a + b for a, b in zip(parts, parts[1:], strict=False) if len(a + b) < 12]
+        ranks.setdefault(rng.choice(pairs), len(ranks))
+    own, library = bpe.Transducer(ranks, max_states=rng.choice([5, 50, 5000])), tiktoken.Encoding("x", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+    assert own.pieces([]) == []
+    for n in [1, 2, 3, 9, 30, 64, 65, 200]:
+        texts = ["".join(rng.choices(letters, k=rng.randrange(1, n + 1))) for _ in range(60)]
+        assert own.pieces([t.encode() for t in texts]) == [np.array(library.encode_ordinary(t), "<u4").tobytes() for t in texts]
+
+
+def test_a_byte_without_a_token_is_an_error():
+    own = bpe.Transducer({b"a": 0, b"b": 1, b"ab": 2})
+    assert own.pieces([b"aab"]) == [np.array([0, 2], "<u4").tobytes()]
+    for piece in [b"cab", b"acb", b"abc"]:
+        with pytest.raises(ValueError):
+            own.pieces([b"abab", piece])
+
+
+def test_rare_words_are_not_followed_one_by_one(monkeypatch):
+    calls = 0
+    follow = bpe.Transducer._follow
+
+    def counted(*args):
+        nonlocal calls
+        calls += 1
+        return follow(*args)
+
+    monkeypatch.setattr(bpe.Transducer, "_follow", counted)
+    rng = random.Random(1)
+    text = " ".join("".join(rng.choices("aeinorstqxé", k=8)) for _ in range(4000))
+    assert bpe.Encoder(RANKS, bpe.default_pattern()).encode(text) == ids_of(text)
+    assert calls < 1000
+
+
+def test_texts_together_are_as_alone(monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_KNOWN", 100)
+    own = bpe.Encoder(RANKS, bpe.default_pattern())
+    texts = ["", " ", "a", "a ", " a", "\n\n", "\x85\n\na", " \xa0", " \xa0 \n\nabc", "\n\n\nabc \u3000", *PIECES, *(some_text(i, 8) for i in range(300)), "", "xy" * 700, ""]
+    random.Random(3).shuffle(texts)
+    wanted = [ids_of(t) for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        for group in (1, 50, 1000, 1 << 20):
+            monkeypatch.setattr(bpe, "GROUP", group)
+            assert own.encode_all(pa.array(texts, kind)) == wanted
+        assert own.encode_all(pa.array(texts, kind).slice(7, 100)) == wanted[7:107]
+    assert own.encode_all(pa.array([], pa.string())) == [] and own.encode_all(pa.array(["", None])) == [b"", b""]
+
+
+def test_a_pattern_may_leave_something_out():
+    pattern = r"\p{L}+|\s+(?!\S)|\s+"
+    own, merge = bpe.Encoder(RANKS, pattern), bpe.Transducer(RANKS)
+    texts = ["one two-three 4 five", "4 -", "six\xa07 eight", "7", " nine. ten"]
+    for text, got in zip(texts, own.encode_all(pa.array(texts)), strict=True):
+        ids = [i for p in regex.findall(pattern, text) for i in merge.piece(p.encode())]
+        assert got == np.array(ids, "<u4").tobytes()
+
+
 def test_ids_are_emitted_as_soon_as_they_are_sure():
     own = bpe.Transducer(RANKS)
     read = 0
