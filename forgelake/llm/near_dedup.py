@@ -1,9 +1,9 @@
 """Near-duplicate documents by weighted minimum hashing of TF-IDF shingles (operator 2).
 
-1. A pass counts document frequencies of word shingles. Only shingles in more than ``COMMON`` of all
-   documents differ in their weight, so each task reports just the shingles that are common among its
-   own documents. At most (mean shingles per document) / ``COMMON`` shingles are common, whatever the
-   corpus; that table is broadcast.
+1. Two passes count document frequencies of word shingles. Only shingles in more than ``COMMON`` of all
+   documents differ in their weight: the first pass counts by cells that shingles share, the second counts the
+   shingles of well-filled cells one by one, so their numbers are exact. At most (mean shingles per document)
+   / ``COMMON`` shingles are common, whatever the corpus; that table is broadcast.
 2. A shingle weighs (1 + ln tf) times its idf, which falls from 1 + ``IDF_RANGE`` for rare shingles to 1
    for those in every document. The range is narrow so that a large group of near copies, whose own
    shingles are common, is not pulled apart by its rare edits.
@@ -53,7 +53,9 @@ IDF_RANGE = 0.25
 SMALL, BLOCK = 8, 32
 # Counters for shingles of vertices in crowded buckets; shingles that share one only cost time.
 COUNTERS = 1 << 21
-# Shingles a task gathers before it adds them to its counts.
+# Cells in which shingles are counted together first: a rare one then costs a task nothing but its cell.
+CELLS = 1 << 18
+# Shingles a task gathers before it adds them to its counts, and counts it holds before it gives them on.
 FOLD = 1 << 18
 _TABLE = 1 << 11
 _PIECE = 512
@@ -162,60 +164,96 @@ def narrow(shingles: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nd
     return values, np.bincount(inverse, weights, len(values)).astype(np.float32)
 
 
-class _Frequent:
-    """Counts of the most frequent values of a stream in bounded memory (Misra and Gries, in blocks).
-
-    Whenever there are more than ``limit`` counters, the largest count beyond them is taken off all. That takes off
-    at least ``limit`` times as much in total, so no count falls short by more than the length of the stream
-    divided by ``limit``.
-    """
+class _Counts:
+    """How often each value of a stream has come."""
 
     def __init__(self):
         self.values, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def add(self, values: np.ndarray, limit: int) -> None:
+    def add(self, values: np.ndarray) -> None:
         new, often = np.unique(values, return_counts=True)
         both, counts = np.concatenate([self.values, new]), np.concatenate([self.counts, often])
         order = np.argsort(both, kind="stable")
         both, counts = both[order], counts[order]
         first = np.flatnonzero(np.append(True, both[1:] != both[:-1])[: len(both)])
         self.values, self.counts = both[first], np.add.reduceat(counts, first) if len(first) else counts
-        if len(self.counts) > limit:
-            counts = self.counts - np.partition(self.counts, -limit - 1)[-limit - 1]
-            self.values, self.counts = self.values[counts > 0], counts[counts > 0]
 
 
-def common_shingles(texts: DataFrame, size: int, common: float) -> DataFrame:
-    """Shingles in more than ``common`` of all rows, with the number of rows they were counted in.
+def _distinct_shingles(batches, size: int) -> Iterator[np.ndarray]:
+    """The shingles of each row, each once."""
+    for batch in batches:
+        for words in each_text(batch.column(0).to_pylist()):
+            yield np.unique(shingle_hashes(words, size))
 
-    A task counts in bounded memory, which takes off about an eighth of that share of its rows at most, and leaves
-    out shingles that occur in no more than another eighth of it (and in one row only). So a count falls short
-    by about a quarter of ``common`` at most, however the rows are dealt out.
-    """
 
-    def count(batches) -> Iterator[dict[str, list]]:
-        n, read, held, parts, waiting = 0, 0, _Frequent(), [], 0
+def _cell(shingles: np.ndarray) -> np.ndarray:
+    return (shingles & np.uint64(CELLS - 1)).astype(np.intp)
 
-        def fold():
-            held.add(np.concatenate([*parts, np.zeros(0, np.uint64)]), max(1 << 17, int(8 * read / (common * max(1, n)))))
-            parts.clear()
 
-        for batch in batches:
-            for words in each_text(batch.column(0).to_pylist()):
-                parts.append(np.unique(shingle_hashes(words, size)))
-                n += 1
-                read += len(parts[-1])
-                waiting += len(parts[-1])
-                if waiting > FOLD:
-                    fold()
-                    waiting = 0
-        fold()
-        keep = held.counts > max(1.0, common / 8 * n)
-        yield {"hash": held.values[keep].view(np.int64).tolist(), "n": held.counts[keep].tolist(), "rows": [0] * int(keep.sum())}
-        yield {"hash": [0], "n": [0], "rows": [n]}
-
-    counted = map_batches(texts, count, "hash bigint, n bigint, rows bigint")
-    return materialize(counted.groupBy("hash").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")), "shingle-counts")
+def _full_cells(texts: DataFrame, size: int, common: float) -> tuple[np.ndarray, int]:
+    """For each cell whether its shingles together are counted in more than ``common`` of all rows; and how many rows."""
+
+    def fill(batches) -> Iterator[dict[str, pa.Array]]:
+        n, total, parts, waiting = 0, np.zeros(CELLS, np.int64), [], 0
+        for shingles in _distinct_shingles(batches, size):
+            n += 1
+            parts.append(_cell(shingles))
+            waiting += len(shingles)
+            if waiting > FOLD:
+                total += np.bincount(np.concatenate(parts), minlength=CELLS)
+                parts, waiting = [], 0
+        if parts:
+            total += np.bincount(np.concatenate(parts), minlength=CELLS)
+        at = np.flatnonzero(total)
+        yield {"cell": pa.array(at.astype(np.int32)), "n": pa.array(total[at])}
+        # The rows themselves have a number that no cell has.
+        yield {"cell": pa.array([-1], pa.int32()), "n": pa.array([n], pa.int64())}
+
+    filled = map_batches(texts, fill, "cell int, n bigint")
+    counts = materialize(filled.groupBy("cell").agg(F.sum("n").alias("n")), "shingle-cells")
+    rows = counts.filter("cell < 0").agg(F.sum("n")).first()[0] or 0
+    found = counts.filter((F.col("cell") >= 0) & (F.col("n") > common * rows)).select("cell").toArrow()
+    full = np.zeros(CELLS, bool)
+    full[found["cell"].to_numpy()] = True
+    return full, rows
+
+
+def common_shingles(texts: DataFrame, size: int, common: float) -> DataFrame:
+    """Shingles in more than ``common`` of all rows, with the number of rows each is in, however the rows are dealt
+    out; a last row has the number of all rows.
+
+    A shingle is in no more rows than its cell counts, so those of other than full cells are not common. The rest is
+    counted by itself, in bounded memory: a task that has met many gives on their counts and starts anew.
+    """
+    full, documents = _full_cells(texts, size, common)
+    spark = texts.sparkSession
+    total = spark.range(1).select(F.lit(0).cast("bigint").alias("hash"), F.lit(0).cast("bigint").alias("n"), F.lit(documents).cast("bigint").alias("rows"))
+    if not full.any():
+        return total
+    shared = spark.sparkContext.broadcast(full)
+
+    def count(batches) -> Iterator[dict[str, pa.Array]]:
+        held, parts, waiting = _Counts(), [], 0
+
+        def given() -> dict[str, pa.Array]:
+            return {"hash": pa.array(held.values.view(np.int64)), "n": pa.array(held.counts)}
+
+        for shingles in _distinct_shingles(batches, size):
+            parts.append(shingles[shared.value[_cell(shingles)]])
+            waiting += len(parts[-1])
+            if waiting > FOLD:
+                held.add(np.concatenate(parts))
+                parts, waiting = [], 0
+                if len(held.values) > FOLD:
+                    yield given()
+                    held = _Counts()
+        if parts:
+            held.add(np.concatenate(parts))
+        yield given()
+
+    counted = map_batches(texts, count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+    found = counted.filter(F.col("n") > common * documents).withColumn("rows", F.lit(0).cast("bigint"))
+    return materialize(found.unionByName(total), "shingle-counts")
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, common: float, idf_range: float):

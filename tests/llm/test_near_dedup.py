@@ -1,11 +1,12 @@
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from forgelake.llm import near_dedup
 from forgelake.llm.components import components
-from forgelake.llm.words import WORD
+from forgelake.llm.words import WORD, each_text, shingle_hashes
 
 
 def sentence(rng, n):
@@ -125,6 +126,29 @@ def test_common_shingles_counts(documents):
     assert max(r["n"] for r in counts.collect()) == 200
 
 
+def test_common_shingles_are_counted_exactly_however_the_rows_are_dealt_out(documents):
+    """A shingle that is common in all rows need not come twice in any part of them."""
+    rng = random.Random(9)
+    passages = [sentence(rng, 5) for _ in range(40)]
+    # The k-th passage is in every (k + 2)-th row: shares from a half down to 1 in 41, on both sides of the border.
+    rows = [(i, " . ".join(" ".join([*p, *sentence(rng, 6)]) for k, p in enumerate(passages) if i % (k + 2) == 0) + f" end{i}") for i in range(400)]
+    words = {i: list(each_text([t]))[0] for i, t in rows}
+    want = Counter(h for w in words.values() for h in np.unique(shingle_hashes(w, 5)).view(np.int64).tolist())
+    want = {h: n for h, n in want.items() if n > 0.04 * 400}
+    assert len(want) == 23
+    for parts in (1, 7, 80, 400):
+        found = near_dedup.common_shingles(documents(rows).repartition(parts).select("text"), 5, 0.04)
+        assert {r["hash"]: r["n"] for r in found.filter("rows = 0").collect()} == want
+        assert found.agg(F.sum("rows")).first()[0] == 400
+
+
+def test_counts_that_a_task_gives_on_early_are_added_up(documents, monkeypatch):
+    monkeypatch.setattr(near_dedup, "FOLD", 20)
+    docs = documents([(i, " ".join(f"a{j}" for j in range(60)) + f" x{i}") for i in range(30)]).coalesce(1)
+    found = near_dedup.common_shingles(docs.select("text"), 5, 0.5)
+    assert sorted(r["n"] for r in found.filter("rows = 0").collect()) == [30] * 56
+
+
 def test_a_crowded_bucket_is_compared_as_by_brute_force(documents):
     """Most texts are one passage and a long own part, too long to be alike; a few with a short own part are."""
     rng = random.Random(8)
