@@ -1,5 +1,6 @@
 """Landed responses to stored tables, against a plain-Python crawl."""
 
+import datetime
 import hashlib
 import json
 import random
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from forgelake import schemas
 from forgelake.operators.crawl import crawl
+from forgelake.plans import registry
+from forgelake.plans.bindings import Bound
 
 
 def forge(seed):
@@ -99,3 +102,23 @@ def test_a_second_crawl_on_top_of_the_first(spark):
     second = crawl(pages, seeds("u1"), max_visits=4, stored=first, now=now)
     want = plain_crawl(world, set(), ["u1"], 4, plain_crawl(world, set(), ["u0"], 2))
     assert stored_as_plain(second) == want
+
+
+def test_tickets_are_joined_once_for_both_endpoints(spark, tmp_path, monkeypatch):
+    def table(name, columns, *rows):
+        spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    table("region", "r_regionkey int, r_name string", (0, "R"))
+    table("nation", "n_nationkey int, n_name string, n_regionkey int", (0, "N", 0))
+    table("customer", "c_custkey long, c_name string, c_nationkey int", (0, "u0", 0), (1, "u1", 0))
+    table("part", "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double", (3, "n", "b", "t", 5, 9.5))
+    table("orders", "o_orderkey long, o_custkey long, o_orderdate date", (7, 0, datetime.date(2020, 1, 2)))
+    day = datetime.date(2020, 1, 3)
+    lines = [(7, n, 3, 1, flag, "O", day) for n, flag in enumerate("NRN", 1)]
+    table("lineitem", "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string, l_shipdate date", *lines)
+    written, write = [], registry.materialize
+    monkeypatch.setattr(registry, "materialize", lambda df, label: written.append(label) or write(df, label))
+    pages = registry._landing(Bound(spark, str(tmp_path)))
+    assert written == ["tickets"]
+    items = {r["endpoint"]: [i["id"] for i in json.loads(r["body"])] for r in pages.filter("endpoint IN ('issues', 'pulls')").collect()}
+    assert items == {"issues": [71, 72, 73], "pulls": [72]}
